@@ -29,49 +29,150 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAGIC = b"WTOK1"
 _HEAD, _ENTRY = struct.Struct("<5sB32sI"), struct.Struct("<BqQIQ")
-#: A blank before a character that is no white space always starts a pre-token of a byte-level pattern.
-_UNIT = re.compile(r" (?=[!-~\w])")
-_KEPT = 250_000
+#: A piece may begin with these after a blank or newline: no tokenizer's pattern takes them for white space.
+_SAFE = re.compile(r"[!-~\w]")
+#: Pieces that can be encoded many at a time, and pieces with a tail of signs after a letter or digit.
+_EASY = "^\n?[!-~\u00c0-\u024f]+$"
+_TAILED = "^(?P<bare>(?s:.*)[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])(?P<tail>[.,;:!?|*#&%$@()]+)$"
+_KEPT = 500_000
 
 
-class UnitCache(dict):
-    """Ids (as little-endian uint32 bytes) of space-led units; two generations of bounded size."""
+def _is_byte_level(tokenizer) -> bool:
+    """Whether the file is a plain byte-level BPE, for which texts may be cut into units."""
+    import json
+
+    spec = json.loads(tokenizer.to_str())
+    pre = spec["pre_tokenizer"] or {}
+    return spec["normalizer"] is None and spec["post_processor"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and spec["model"]["type"] == "BPE" and not spec["model"].get("ignore_merges") and all(not t["normalized"] and not t["lstrip"] and not t["rstrip"] and t["content"].startswith("<|") for t in spec["added_tokens"])
+
+
+class Pieces(dict):
+    """Ids (little-endian uint32 bytes) of pieces: a newline and what follows it, or what follows a blank. None: not separable."""
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer, self.old = tokenizer, {}
+        self.newline = self.whole("\n")
+        if hasattr(tokenizer.model, "_resize_cache"):
+            tokenizer.model._resize_cache(0)  # what it would hold is held here
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encodes easy pieces line by line: each newline is one id, which shows where a piece begins."""
+        mark = int.from_bytes(self.newline, "little")
+        lines = [p if p[0] == "\n" else f"\n {p}" for p in pieces]
+        texts = ["".join(lines[i : i + 200]) for i in range(0, len(lines), 200)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        cuts = [*np.flatnonzero(ids == mark).tolist(), len(ids)]
+        if len(self.newline) != 4 or len(cuts) != len(pieces) + 1:
+            raise ValueError("the tokenizer does not keep newlines apart")
+        data = ids.tobytes()
+        for p, a, b in zip(pieces, cuts, cuts[1:]):
+            self[p] = data[4 * a : 4 * b] if p[0] == "\n" else data[4 * a + 4 : 4 * b]
+
+    def ids(self, pieces: list[str], easy: list[bool]) -> list[bytes | None]:
+        old = self.old
+        missing = []
+        for p, plain in zip(pieces, easy):
+            if p not in self:
+                if p in old:
+                    self[p] = old[p]
+                elif plain and "<|" not in p:
+                    missing.append(p)
+                else:
+                    rest = p[1:] if p[:1] == "\n" else p
+                    if not _SAFE.match(rest):
+                        self[p] = None
+                    elif rest is p:
+                        self[p] = self.whole(" " + p)
+                    else:
+                        self[p] = self.newline + self.whole(rest)
+        if missing:
+            self.learn(missing)
+        out = [self[p] for p in pieces]
+        if len(self) > _KEPT:  # two generations: what was not asked for during one is forgotten
+            self.old = dict(self)
+            self.clear()
+        return out
+
 
-    def __missing__(self, unit: str) -> bytes:
-        ids = self.old.get(unit)
-        if ids is None:
-            ids = np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(unit) <= 64:
-            self[unit] = ids
-        return ids
+class Encoder:
+    """tokenizer.encode(text).ids as bytes; a plain byte-level tokenizer's texts are cut where its pattern must cut.
+
+    A blank before a character that is no white space starts a pre-token, and a newline before
+    one is a pre-token; pieces between such places do not depend on each other. So a batch is
+    split, its distinct pieces are encoded once, and the ids are gathered by piece number.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.plain, self.pieces = tokenizer, _is_byte_level(tokenizer), Pieces(tokenizer)
 
     def encode(self, text: str) -> bytes:
-        """As tokenizer.encode(text).ids: units split where the pattern must split anyway are looked up."""
-        if "<|" in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        units = _UNIT.split(text)
-        units[1:] = [" " + x for x in units[1:]]
-        out = b"".join(map(self.__getitem__, units))
-        if len(self) > _KEPT:
-            self.old = dict(self)
-            self.clear()
+        return self.encode_many(pa.array([text]))[0]
+
+    def encode_many(self, texts: pa.Array, most: int = 16_000_000) -> list[bytes]:
+        """Ids of each text (null: empty), in slices of about `most` bytes."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.plain:
+            return [self.pieces.whole(t) for t in texts.to_pylist()]
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        out, begin = [], 0
+        while begin < len(texts):
+            before = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + most, side="right")))
+            out += self._slice(texts.slice(begin, end - begin))
+            begin = end
+        return out
+
+    def _slice(self, texts: pa.Array) -> list[bytes]:
+        one, none = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
+        lines = pc.replace_substring(pc.binary_join_element_wise(one, texts, none), "\n", " \n")
+        split = pc.split_pattern(lines, " ")
+        coded = split.values.dictionary_encode()
+        codes, known = coded.indices.to_numpy(), coded.dictionary
+        cut = pc.extract_regex(known, _TAILED)
+        bare = pc.coalesce(pc.struct_field(cut, "bare"), known).dictionary_encode()
+        tail = pc.fill_null(pc.struct_field(cut, "tail"), "").dictionary_encode()
+        heads = self.pieces.ids(bare.dictionary.to_pylist(), pc.match_substring_regex(bare.dictionary, _EASY).to_pylist())
+        tails = [self.pieces.whole(t) for t in tail.dictionary.to_pylist()]
+        bad = np.fromiter((h is None for h in heads), bool, len(heads))[bare.indices.to_numpy()]
+        ids = [*(h or b"" for h in heads), *tails]
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(length) - length
+        both = np.empty(2 * len(codes), np.int64)  # each piece: the ids of its bare part, then of its tail
+        both[::2], both[1::2] = bare.indices.to_numpy()[codes], tail.indices.to_numpy()[codes] + len(heads)
+        n = length[both]
+        upto = np.cumsum(n)
+        gathered = flat[np.repeat(start[both] - upto + n, n) + np.arange(upto[-1])]
+        total = np.r_[0, upto[1::2]]
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        wrong = np.r_[0, np.cumsum(bad[codes])]
+        special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        # The first piece of each text is the empty one before its first newline: it is known as wrong.
+        whole = special | (wrong[offsets[1:]] - wrong[offsets[:-1]] > 1)
+        out = []
+        for k, (a, b, alone) in enumerate(zip(total[offsets[:-1]].tolist(), total[offsets[1:]].tolist(), whole.tolist())):
+            if alone:
+                text = texts[k].as_py()
+                out.append(self.pieces.whole(text) if text else b"")
+            else:
+                out.append(gathered[a + len(self.pieces.newline) // 4 : b].tobytes())
         return out
 
 
 @lru_cache(1)
-def _encoder(path: str) -> UnitCache:
+def _encoder(path: str) -> Encoder:
     from tokenizers import Tokenizer
 
-    return UnitCache(Tokenizer.from_file(path))
+    return Encoder(Tokenizer.from_file(path))
 
 
 @lru_cache(4)
@@ -112,8 +213,8 @@ def _frames(tokenizer: str, dictionary: bytes, width: int, end: int, level: int)
         encoder, (pack, _) = _encoder(tokenizer), _zstd(dictionary, level)
         for batch in batches:
             n, crc, frames = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = encoder.encode(text or "") + last
+            for ids in encoder.encode_many(batch.column(1)):
+                ids += last
                 n.append(len(ids) // 4)
                 crc.append(zlib.crc32(ids))
                 frames.append(pack.compress(_narrow(ids, width)))
