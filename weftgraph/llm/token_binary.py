@@ -40,7 +40,7 @@ _SAFE = re.compile(r"[!-~\w]")
 #: Pieces that can be encoded many at a time, and pieces with a tail of signs after a letter or digit.
 _EASY = "^\n?[!-~\u00c0-\u024f]+$"
 _TAILED = "^(?P<bare>(?s:.*)[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])(?P<tail>[.,;:!?|*#&%$@()]+)$"
-_KEPT = 500_000
+_KEPT = 350_000
 
 
 def _is_byte_level(tokenizer) -> bool:
@@ -118,7 +118,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         return self.encode_many(pa.array([text]))[0]
 
-    def encode_many(self, texts: pa.Array, most: int = 16_000_000) -> list[bytes]:
+    def encode_many(self, texts: pa.Array, most: int = 8_000_000) -> list[bytes]:
         """Ids of each text (null: empty), in slices of about `most` bytes."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not self.plain:
@@ -145,13 +145,13 @@ class Encoder:
         tails = [self.pieces.whole(t) for t in tail.dictionary.to_pylist()]
         bad = np.fromiter((h is None for h in heads), bool, len(heads))[bare.indices.to_numpy()]
         ids = [*(h or b"" for h in heads), *tails]
-        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(length) - length
-        both = np.empty(2 * len(codes), np.int64)  # each piece: the ids of its bare part, then of its tail
+        length = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        flat, start = np.frombuffer(b"".join(ids), "<u4"), (np.cumsum(length) - length).astype(np.int32)
+        both = np.empty(2 * len(codes), np.int32)  # each piece: the ids of its bare part, then of its tail
         both[::2], both[1::2] = bare.indices.to_numpy()[codes], tail.indices.to_numpy()[codes] + len(heads)
         n = length[both]
-        upto = np.cumsum(n)
-        gathered = flat[np.repeat(start[both] - upto + n, n) + np.arange(upto[-1])]
+        upto = np.cumsum(n, dtype=np.int32)  # a slice has far fewer than 2**31 ids
+        gathered = flat[np.repeat(start[both] - upto + n, n) + np.arange(upto[-1], dtype=np.int32)]
         total = np.r_[0, upto[1::2]]
         offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
         wrong = np.r_[0, np.cumsum(bad[codes])]
