@@ -16,7 +16,7 @@ quantiles of the document id. A heavily repeated id spans several parts by a has
 
 A null text is empty (just the end id). A null document id sorts first. Repeated ids are all kept,
 ordered by a hash of their tokens. An empty table gives no shard. Extra columns are ignored. The
-dictionary is trained on at most ``samples`` documents (lowest hash of the id), part of the format.
+dictionary is trained on about ``samples`` documents (lowest hashes of the id), part of the format.
 """
 
 from __future__ import annotations
@@ -193,13 +193,15 @@ def _wide(ids: bytes, width: int) -> bytes:
     return ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, width: int, samples: int = 400, size: int = 32_768, doc_id: str = "doc_id", text: str = "text") -> bytes:
-    """A zstandard dictionary from the serialised ids of the documents with the lowest id hashes; empty if there are too few."""
+def train_dictionary(docs: DataFrame, tokenizer: str, width: int, rows: int, samples: int = 400, size: int = 32_768, doc_id: str = "doc_id", text: str = "text") -> bytes:
+    """A zstandard dictionary from the serialised ids of about `samples` of the table's rows (lowest hashes of the id); empty if there are too few."""
     import zstandard
 
-    picked = docs.select(doc_id, text).where(F.length(text).between(1, 20_000)).orderBy(F.xxhash64(doc_id), doc_id, text).limit(samples)
+    share = min(1.0, samples / max(1, rows))
+    most = int(share * ((1 << 64) - 1)) - (1 << 63)
+    picked = docs.select(doc_id, text).where((F.xxhash64(doc_id) <= most) & F.length(text).between(1, 20_000)).limit(4 * samples)
     encoder = _encoder(tokenizer)
-    data = [_narrow(encoder.encode(r[1]), width) for r in picked.collect()]
+    data = [_narrow(encoder.encode(t), width) for _, t in sorted(((r[0] is None, r[0] or 0), r[1]) for r in picked.collect())]
     try:
         return zstandard.train_dictionary(size, data).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -258,7 +260,7 @@ def _shards(dictionary: bytes, width: int, most: int):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, parts: int | None = None, shard_bytes: int = 4 << 20, level: int = 3, samples: int = 400, doc_id: str = "doc_id", text: str = "text") -> None:
+def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, parts: int | None = None, shard_bytes: int = 4 << 20, level: int = 1, samples: int = 400, doc_id: str = "doc_id", text: str = "text") -> None:
     """Writes the ids of every text, each with end_id appended, below path (tables `shards` and `dictionary`)."""
     spark = docs.sparkSession
     from tokenizers import Tokenizer
@@ -266,9 +268,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, pa
     width = 2 if max(end_id, Tokenizer.from_file(tokenizer).get_vocab_size() - 1) < 1 << 16 else 4
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    dictionary = train_dictionary(rows, tokenizer, width, samples)
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
-    cuts = sorted(cuts)[: parts - 1]
+    cuts, n = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts), F.count("*")).first()
+    cuts = sorted(cuts or [])[: parts - 1]
+    dictionary = train_dictionary(rows, tokenizer, width, n, samples)
     frames = rows.mapInArrow(_frames(tokenizer, dictionary, width, end_id, level), "doc_id long, n long, crc long, frame binary")
     # Parts below and up to an id: equal cuts belong to a repeated id, which is spread over its parts by the crc.
     low, high = _searched(cuts)
