@@ -1,11 +1,278 @@
-"""Queries of the graph library by name."""
+"""Queries of the graph library by name, on graphs derived from the relational tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weftgraph import oracles
+from weftgraph.algorithms import blocks, components, forest, ranks, strong
+from weftgraph.model import Graph
+from weftgraph.operators.messages import along_edges, combine, request
+from weftgraph.operators.sort import tera_sort
+from weftgraph.plans.supersteps import Program, run
+from weftgraph.sources import tables, text
+from weftgraph.storage import materialize, scratch_path
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+#: From this degree on, vertices are mirrored.
+TAU = 4
+
+
+def _written(graph: Graph) -> Graph:
+    """The derived graph, computed once: loops read it many times."""
+    return Graph(materialize(graph.vertices, "vertices"), materialize(graph.edges, "edges"))
+
+
+def sparse(spark: SparkSession, sf_dir: str) -> Graph:
+    return _written(tables.sparse_graph(spark, sf_dir))
+
+
+def cyclic(spark: SparkSession, sf_dir: str) -> Graph:
+    return _written(tables.cyclic_graph(spark, sf_dir))
+
+
+def directed(spark: SparkSession, sf_dir: str) -> Graph:
+    return _written(tables.event_graph(spark, sf_dir))
+
+
+def _first(graph: Graph) -> int:
+    return graph.vertices.agg(F.min("id")).first()[0] or 0
+
+
+def _rounded(ranked: DataFrame) -> DataFrame:
+    return ranked.select("id", F.round("rank", 6).alias("rank"))
+
+
+def graph_vertices(spark, sf_dir):
+    return tables.sparse_graph(spark, sf_dir).vertices.select("id")
+
+
+def graph_degrees(spark, sf_dir):
+    return tables.sparse_graph(spark, sf_dir).degrees()
+
+
+def adjacency_text_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "text")
+    text.write_lines(text.adjacency_lines(tables.cyclic_graph(spark, sf_dir), weighted=True), path)
+    return text.parse_adjacency(text.lines(spark, path), weighted=True).edges
+
+
+def cc_sizes(spark, sf_dir):
+    return components.component_sizes(components.pointer_jumping(sparse(spark, sf_dir)))
+
+
+def sssp(spark, sf_dir, **how):
+    g = sparse(spark, sf_dir)
+    return ranks.shortest_paths(g, _first(g), **how)
+
+
+def sssp_weighted(spark, sf_dir):
+    g = cyclic(spark, sf_dir)
+    return ranks.shortest_paths(g, _first(g), weighted=True)
+
+
+def fieldbcast(spark, sf_dir, **how):
+    g = tables.event_graph(spark, sf_dir)
+    return ranks.field_broadcast(g, g.vertices.select("id", (F.col("id") * 7).alias("field")), **how)
+
+
+def fieldbcast_lookup(spark, sf_dir):
+    g = tables.event_graph(spark, sf_dir)
+    fields = g.vertices.where("id % 3 <> 0").select("id", (F.col("id") * 7).alias("field"))
+    return ranks.field_broadcast(g, fields, lookup=True, default=0)
+
+
+def msf(spark, sf_dir, **how):
+    return forest.spanning_forest_edges(cyclic(spark, sf_dir), **how)
+
+
+def msf_weight(spark, sf_dir):
+    return msf(spark, sf_dir).agg(F.count("*").alias("n_edges"), F.sum("weight").alias("weight"))
+
+
+def scc_decompose(spark, sf_dir):
+    g = directed(spark, sf_dir)
+    return strong.decompose(g, materialize(strong.min_labels(g), "labels"))[0]
+
+
+def scc_sizes(spark, sf_dir):
+    return components.component_sizes(strong.strong_components(directed(spark, sf_dir)))
+
+
+def _tree(spark, sf_dir):
+    return materialize(blocks.spanning_forest(sparse(spark, sf_dir)), "tree")
+
+
+def _ordered(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    g = cyclic(spark, sf_dir)
+    order = materialize(blocks.preorder(materialize(blocks.spanning_forest(g), "tree")), "order")
+    return order, materialize(blocks.merge_tree(g, order), "merged")
+
+
+def _stats(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    order, merged = _ordered(spark, sf_dir)
+    return materialize(blocks.subtree_minmax(order, merged), "stats"), merged
+
+
+def aux_cc(spark, sf_dir):
+    stats, merged = _stats(spark, sf_dir)
+    return blocks.aux_components(stats, blocks.aux_graph(stats, merged))
+
+
+def case1_mark(spark, sf_dir):
+    stats, merged = _stats(spark, sf_dir)
+    return blocks.mark_non_tree(merged, blocks.aux_components(stats, blocks.aux_graph(stats, merged)))
+
+
+def _items(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select(F.col("user_id").alias("key"), F.col("event_id").cast("string").alias("content"))
+
+
+def aggregators(spark, sf_dir):
+    """AND, sum and maximum over computed vertices, as the program's control would see them."""
+    g = sparse(spark, sf_dir)
+    seen = {}
+    on = lambda x: F.when(F.col("__on"), x)
+    program = Program(
+        initial={"degree": F.col("degree")},
+        compute=lambda c: seen.update(c.aggregates) or {},
+        stay_active=lambda c: F.lit(c.step < 2),
+        aggregates={"all_linked": F.bool_and(on(F.col("degree") > 0)), "total": F.sum(on(F.col("degree"))), "most": F.max(on(F.col("degree")))},
+    )
+    run(Graph(g.degrees(), g.edges), program)
+    return spark.createDataFrame([(seen["all_linked"], seen["total"], seen["most"])], "all_linked boolean, total bigint, most bigint")
+
+
+def combiners(spark, sf_dir):
+    """Messages along edges, combined by minimum, sum and argmin."""
+    g = tables.event_graph(spark, sf_dir)
+    sent = along_edges(g.degrees(), g.edges, tau=TAU)
+    return combine(sent, least=F.min("id"), total=F.sum("id"), slowest=F.min(F.struct("degree", "id"))["id"])
+
+
+def request_respond(spark, sf_dir):
+    """Each edge asks its target for the square of its degree."""
+    g = tables.event_graph(spark, sf_dir)
+    return request(g.edges.select("src", "dst"), g.degrees(), "dst", {"answer": F.col("degree") * F.col("degree")}, distinct=True)
+
+
+def vertex_add(spark, sf_dir):
+    """Each vertex sends to a vertex that it adds in the same step; each new one counts what reaches it."""
+    target = (F.col("id") % 10) + 9_000_000
+    program = Program(
+        initial={"got": F.lit(0).cast("bigint")},
+        compute=lambda c: {} if c.step == 1 else {"got": F.col("got") + F.coalesce("msg_n", F.lit(0))},
+        combine={"n": F.sum("n")},
+        send=lambda c: F.lit(c.step == 1),
+        add=lambda c, state: state.select(target.alias("id"), F.lit(0).cast("bigint").alias("got")) if c.step == 1 else None,
+        messages=lambda c, state, g: state.where("sends").select(target.alias("dst"), F.lit(1).alias("n")),
+    )
+    return run(sparse(spark, sf_dir), program).state
+
+
+def _min_label(control=lambda c: None, stay=lambda c: F.lit(False)) -> Program:
+    return Program(
+        initial={"label": F.col("id"), "computed": F.lit(0).cast("bigint")},
+        compute=lambda c: {"computed": F.col("computed") + 1, "label": F.least("label", "msg_label") if c.step > 1 else F.col("label")},
+        message={"label": F.col("label")},
+        combine={"label": F.min("label")},
+        send=lambda c: F.lit(True) if c.step == 1 else F.col("label") != F.col("old_label"),
+        stay_active=stay,
+        control=control,
+    )
+
+
+def force_terminate(spark, sf_dir):
+    """Labels after two steps: the message of the second step is lost."""
+    return run(sparse(spark, sf_dir), _min_label(lambda c: "terminate" if c.step == 3 else None)).state.select("id", "label")
+
+
+def wake_all(spark, sf_dir):
+    """All vertices are woken for steps 2 and 3, and then stop."""
+    program = Program(initial={"computed": F.lit(0).cast("bigint")}, compute=lambda c: {"computed": F.col("computed") + 1}, control=lambda c: "wake" if c.step <= 3 else None)
+    return run(sparse(spark, sf_dir), program).state
+
+
+def multi_phase(spark, sf_dir):
+    """Two phases of min-label steps over the same state; the second begins where the first has ended."""
+    return run(sparse(spark, sf_dir), _min_label(), phases=2).state.select("id", "label")
+
+
+def put_fastq(spark, sf_dir):
+    source, target = scratch_path(spark, "fastq"), scratch_path(spark, "reads")
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    record = F.array(F.format_string("@%d", "k"), F.format_string("ACGT%d", "k"), F.lit("+"), F.lit("IIII"))
+    # explode keeps a record's lines together in a part
+    text.write_lines(rows.select(F.explode(record).alias("value")), source)
+    text.put_fastq(spark, source, target)
+    return text.lines(spark, target)
+
+
+def put_dir(spark, sf_dir):
+    source, target = scratch_path(spark, "local"), scratch_path(spark, "put")
+    text.write_lines(text.adjacency_lines(tables.event_graph(spark, sf_dir)), source, max_lines=50)
+    text.put(spark, source, target)
+    return text.parse_adjacency(text.lines(spark, target)).degrees()
+
+
+def queries() -> dict[str, Query]:
+    named: dict[str, Query] = {
+        "graph_vertices": graph_vertices,
+        "graph_degrees": graph_degrees,
+        "adjacency_text_roundtrip": adjacency_text_roundtrip,
+        "hashmin_cc": lambda s, d: components.hash_min(sparse(s, d)),
+        "hashmin_cc_mirror": lambda s, d: components.hash_min(sparse(s, d), tau=TAU),
+        "sv_cc": lambda s, d: components.pointer_jumping(sparse(s, d), star_hook=True),
+        "svplus_cc": lambda s, d: components.pointer_jumping(sparse(s, d)),
+        "sv_cc_lookup": lambda s, d: components.pointer_jumping(sparse(s, d), star_hook=True, lookup=True),
+        "cc_sizes": cc_sizes,
+        "cc_message_report": lambda s, d: components.message_report(sparse(s, d)),
+        "pagerank": lambda s, d: _rounded(ranks.page_rank(directed(s, d))),
+        "pagerank_mirror": lambda s, d: _rounded(ranks.page_rank(directed(s, d), tau=TAU)),
+        "sssp": sssp,
+        "sssp_mirror": lambda s, d: sssp(s, d, tau=TAU),
+        "sssp_weighted": sssp_weighted,
+        "fieldbcast_directed": lambda s, d: fieldbcast(s, d, directed=True),
+        "fieldbcast_undirected": lambda s, d: fieldbcast(s, d, directed=False),
+        "fieldbcast_lookup": fieldbcast_lookup,
+        "msf": msf,
+        "msf_lookup": lambda s, d: msf(s, d, lookup=True),
+        "msf_weight": msf_weight,
+        "scc_trim": lambda s, d: strong.trim(directed(s, d)),
+        "scc_minlabel": lambda s, d: strong.min_labels(directed(s, d)),
+        "scc_decompose": scc_decompose,
+        "scc": lambda s, d: strong.strong_components(directed(s, d)),
+        "scc_two_rounds": lambda s, d: strong.strong_components(directed(s, d), rounds=2),
+        "scc_sizes": scc_sizes,
+        "spanning_forest": _tree,
+        "euler_tour": lambda s, d: blocks.euler_tour(_tree(s, d)),
+        "list_rank": lambda s, d: blocks.list_positions(blocks.list_ranks(blocks.euler_tour(_tree(s, d)))),
+        "preorder": lambda s, d: blocks.preorder(_tree(s, d)).select("id", "color", "pre"),
+        "subtree_size": lambda s, d: blocks.preorder(_tree(s, d)).select("id", "color", "nd"),
+        "merge_tree_edges": lambda s, d: _ordered(s, d)[1],
+        "subtree_minmax": lambda s, d: _stats(s, d)[0],
+        "aux_graph": lambda s, d: blocks.aux_graph(*_stats(s, d)),
+        "aux_cc": aux_cc,
+        "case1_mark": case1_mark,
+        "bcc": lambda s, d: blocks.biconnected(cyclic(s, d)),
+        "terasort": lambda s, d: tera_sort(_items(s, d)),
+        "terasort_prefix": lambda s, d: tera_sort(_items(s, d), prefix=True),
+        "aggregators": aggregators,
+        "combiners": combiners,
+        "request_respond": request_respond,
+        "vertex_add": vertex_add,
+        "force_terminate": force_terminate,
+        "wake_all": wake_all,
+        "multi_phase": multi_phase,
+        "put_fastq": put_fastq,
+        "put_dir": put_dir,
+    }
+    return named
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracles.oracle_sql()

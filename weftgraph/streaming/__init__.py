@@ -1,0 +1 @@
+"""No streaming operators: graph programs here are batch fixpoints, as they are in the engine whose queries this library answers."""
