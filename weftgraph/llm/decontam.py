@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import materialize
+from weftgraph.llm.common import lean, materialize
 
 WINDOW = 8
 BLOCK = 8_000_000
@@ -58,7 +58,7 @@ def windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["pattern", "item"])
 
     items = benchmark.select(F.col(item_id).cast("string"), F.col(text)).where(F.col(item_id).isNotNull())
-    return items.mapInArrow(run, "pattern string, item string").groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return items.mapInArrow(lean(run), "pattern string, item string").groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
 _BUILT: dict = {}
@@ -106,7 +106,7 @@ def _scan(shared, key: str, at: int, names: list[str], prior: bool):
                 hits = [a + b for a, b in zip(batch.column("hits").to_pylist(), hits)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n, pa.int64()), pa.array(hits, kind)], names=[*names, "n_words", "hits"])
 
-    return run
+    return lean(run)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, block: int = BLOCK, drop: tuple[str, ...] = ()) -> DataFrame:
@@ -146,7 +146,7 @@ def digest(scanned: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
             cols = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.bool_())))], names=schema.fieldNames())
 
-    return scanned.mapInArrow(run, schema)
+    return scanned.mapInArrow(lean(run), schema)
 
 
 def merged(hits: list[dict]) -> list[tuple[int, int]]:
@@ -180,4 +180,4 @@ def with_spans(scanned: DataFrame, text: str = "text") -> DataFrame:
             spans = [[{"begin": b, "end": e} for b, e in original_spans(t or "", h)] for t, h in zip(batch.column(at).to_pylist(), batch.column("hits").to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))], names=schema.fieldNames())
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import chunks, materialize
+from weftgraph.llm.common import chunks, lean, materialize
 
 ORDER = 4
 BITS = 12
@@ -99,7 +99,7 @@ def _count_rows(langs: list[str], bits: int):
                     held, size = {}, 0
         yield from flush(held)
 
-    return run
+    return lean(run)
 
 
 @dataclass
@@ -241,7 +241,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             more = [pa.array([x or "und" for x in tags]), pa.array(np.where(und, 0.0, score)), pa.array(low, mask=und), pa.array(letters)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.fieldNames())
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def length_class(n: Column) -> Column:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import materialize
+from weftgraph.llm.common import lean, materialize
 
 # Fixed values of the MPEG audio standard: kbit/s by (version 1 or 2, layer), Hz by version, samples a frame.
 BITRATES = {
@@ -241,7 +241,7 @@ def to_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array([pack(padded(r)) for r in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return rows.mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
 
 
 def seek_digest(offsets: list[int]) -> int:
@@ -270,7 +270,7 @@ def features(media: DataFrame, seek_table: bool = True) -> DataFrame:
             cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), schema)
 
 
 def store_and_read(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seek_table: bool = True) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import materialize
+from weftgraph.llm.common import lean, materialize
 
 REACH = 4
 SUPPORT = 3
@@ -131,7 +131,7 @@ def find_base(docs: DataFrame, text: str = "text", drop: tuple[str, ...] = ()) -
             kinds = (*[pa.int64()] * 4, pa.string(), _SPANS, _NEAR, pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=schema.fieldNames())
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def _slot(term: str) -> int:
@@ -150,7 +150,7 @@ def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
     What map tasks get to know the terms by is a bitmap of SLOTS bits, whatever their number; a
     term that only shares a slot falls out in the join at the end.
     """
-    slots = [r[0] for r in terms.select("term").mapInArrow(_bitmap, "slot int").distinct().collect()]
+    slots = [r[0] for r in terms.select("term").mapInArrow(lean(_bitmap), "slot int").distinct().collect()]
     bits = np.zeros(SLOTS // 8, np.uint8)
     np.bitwise_or.at(bits, np.array(slots, np.int64) // 8, np.uint8(1) << (np.array(slots, np.int64) % 8).astype(np.uint8))
     shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
@@ -178,7 +178,7 @@ def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
                     yield flush()
         yield flush()
 
-    counted = docs.select(text).mapInArrow(run, "term string, n long")
+    counted = docs.select(text).mapInArrow(lean(run), "term string, n long")
     return counted.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
@@ -245,4 +245,4 @@ def sanitize(docs: DataFrame, text: str = "text") -> DataFrame:
             cols[at] = pa.array([masked(t, s or []) for t, s in zip(cols[at].to_pylist(), batch.column("all_spans").to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(lean(run), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import chunks, materialize
+from weftgraph.llm.common import chunks, lean, materialize
 
 STATS = (
     "n_chars", "n_words", "mean_word", "distinct_words", "repeated_next", "top_word", "upper", "digits", "symbols", "exclaims", "pipes", "marked_words", "distinct_lines", "line_words", "punct_ends",
@@ -93,7 +93,7 @@ def with_statistics(docs: DataFrame, text: str = "text", drop: tuple[str, ...] =
             own = np.concatenate(parts) if parts else np.zeros((0, len(STATS)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(own[:, k]) for k in range(len(STATS)))], names=schema.fieldNames())
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 @dataclass

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.algorithms.stars import star_components
-from weftgraph.llm.common import chunks, materialize
+from weftgraph.llm.common import chunks, lean, materialize
 
 LIMIT = 3
 PIVOTS = 16
@@ -79,7 +79,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 3, drop:
             fp = np.concatenate(parts).view(np.int64) if parts else np.array([], np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fp)], names=schema.fieldNames())
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def _pivots() -> np.ndarray:
@@ -232,7 +232,7 @@ def _compare(limit: int, most: int):
             if len(whole) > 1 and (out := linked(whole)) is not None:
                 yield out
 
-    return run
+    return lean(run)
 
 
 def links(fps: DataFrame, limit: int = LIMIT, most: int = MOST) -> DataFrame:

@@ -25,6 +25,7 @@ import hashlib
 import re
 import struct
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,6 +34,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import lean
+
 MAGIC = b"WTOK1"
 _HEAD, _ENTRY = struct.Struct("<5sB32sI"), struct.Struct("<BqQIQ")
 #: A piece may begin with these after a blank or newline: no tokenizer's pattern takes them for white space.
@@ -40,7 +43,7 @@ _SAFE = re.compile(r"[!-~\w]")
 #: Pieces that can be encoded many at a time, and pieces with a tail of signs after a letter or digit.
 _EASY = "^\n?[!-~\u00c0-\u024f]+$"
 _TAILED = "^(?P<bare>(?s:.*)[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])(?P<tail>[.,;:!?|*#&%$@()]+)$"
-_KEPT = 350_000
+_KEPT = 250_000
 
 
 def _is_byte_level(tokenizer) -> bool:
@@ -116,23 +119,23 @@ class Encoder:
         self.tokenizer, self.plain, self.pieces = tokenizer, _is_byte_level(tokenizer), Pieces(tokenizer)
 
     def encode(self, text: str) -> bytes:
-        return self.encode_many(pa.array([text]))[0]
+        return next(self.encode_many(pa.array([text])))
 
-    def encode_many(self, texts: pa.Array, most: int = 8_000_000) -> list[bytes]:
-        """Ids of each text (null: empty), in slices of about `most` bytes."""
+    def encode_many(self, texts: pa.Array, most: int = 6_000_000) -> Iterator[bytes]:
+        """Ids of each text (null: empty), computed in slices of about `most` bytes."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not self.plain:
-            return [self.pieces.whole(t) for t in texts.to_pylist()]
+            yield from (self.pieces.whole(t) for t in texts.to_pylist())
+            return
         ends = np.cumsum(pc.binary_length(texts).to_numpy())
-        out, begin = [], 0
+        begin = 0
         while begin < len(texts):
             before = ends[begin - 1] if begin else 0
             end = max(begin + 1, int(np.searchsorted(ends, before + most, side="right")))
-            out += self._slice(texts.slice(begin, end - begin))
+            yield from self._slice(texts.slice(begin, end - begin))
             begin = end
-        return out
 
-    def _slice(self, texts: pa.Array) -> list[bytes]:
+    def _slice(self, texts: pa.Array) -> Iterator[bytes]:
         one, none = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
         lines = pc.replace_substring(pc.binary_join_element_wise(one, texts, none), "\n", " \n")
         split = pc.split_pattern(lines, " ")
@@ -158,14 +161,13 @@ class Encoder:
         special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
         # The first piece of each text is the empty one before its first newline: it is known as wrong.
         whole = special | (wrong[offsets[1:]] - wrong[offsets[:-1]] > 1)
-        out = []
+        del codes, known, cut, bare, tail, heads, tails, both, n, flat, start, split, coded, lines
         for k, (a, b, alone) in enumerate(zip(total[offsets[:-1]].tolist(), total[offsets[1:]].tolist(), whole.tolist())):
             if alone:
                 text = texts[k].as_py()
-                out.append(self.pieces.whole(text) if text else b"")
+                yield self.pieces.whole(text) if text else b""
             else:
-                out.append(gathered[a + len(self.pieces.newline) // 4 : b].tobytes())
-        return out
+                yield gathered[a + len(self.pieces.newline) // 4 : b].tobytes()
 
 
 @lru_cache(1)
@@ -221,8 +223,9 @@ def _frames(tokenizer: str, dictionary: bytes, width: int, end: int, level: int)
                 crc.append(zlib.crc32(ids))
                 frames.append(pack.compress(_narrow(ids, width)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(frames, pa.binary())], names=["doc_id", "n", "crc", "frame"])
+        encoder.pieces.old = {}
 
-    return run
+    return lean(run)
 
 
 def shard_bytes_of(held: list[tuple[int | None, int, bytes]], width: int, digest: bytes) -> bytes:
@@ -257,7 +260,7 @@ def _shards(dictionary: bytes, width: int, most: int):
         if held:
             yield pack(part, shard, before, held)
 
-    return run
+    return lean(run)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, parts: int | None = None, shard_bytes: int = 4 << 20, level: int = 1, samples: int = 400, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -338,7 +341,7 @@ def _documents(dictionary: bytes, offsets: dict[int, int], with_ids: bool):
                     arrays.append(pa.array(cols[4], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
-    return run
+    return lean(run)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from weftgraph.llm.common import lean
+
 MARK = "▁"
 LONG = 64
 HELD = 400_000
@@ -130,4 +132,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", drop: tup
                 m += b
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.array(n, np.int64)), pa.array(np.array(m, np.int64))], names=schema.fieldNames())
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
