@@ -150,17 +150,18 @@ def parse(data: bytes) -> Stream:
     if end >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         out.tags["id3v1"] = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
-    locked, offsets, n = False, out.offsets, 0
+    locked, offsets, n = None, out.offsets, 0  # locked: what all headers of the stream have in common
     while at + 4 <= end:
-        if not locked and data[at : at + 3] == b"ID3" and at + 10 <= end:
+        if data[at : at + 3] == b"ID3" and at + 10 <= end:
             at = _tag(data, at, out.tags)
             continue
         h = header(data[at : at + 4])
         ok = h is not None and at + h.size <= end
-        if ok and not locked:  # a lone header may be payload: the next must follow, or the end
+        kind = (h.version, h.layer, h.rate) if ok else None
+        if ok and kind != locked:  # a lone header may be payload: the next must follow, or the end
             after = at + h.size
             then = header(data[after : after + 4])
-            ok = after == end or data[after : after + 3] == b"ID3" or (then is not None and (then.version, then.layer, then.rate) == (h.version, h.layer, h.rate))
+            ok = after == end or data[after : after + 3] == b"ID3" or (then is not None and (then.version, then.layer, then.rate) == kind)
             out.resyncs += ok and bool(offsets)
         if not ok:
             step = data.find(b"\xff", at + 1, end)
@@ -168,9 +169,9 @@ def parse(data: bytes) -> Stream:
             step = tag if tag >= 0 else step
             step = end if step < 0 else step
             out.skipped += step - at
-            at, locked = step, False
+            at, locked = step, None
             continue
-        locked = True
+        locked = kind
         if not n and h.layer == 3 and (table := _vbr(data[at : at + h.size], h)):
             out.table, out.rate = table, h.rate
             at, n = at + h.size, 1

@@ -167,7 +167,7 @@ def _best_fits(rows: DataFrame, left: dict[int, int], fits: int) -> list[tuple[i
 
 
 def mix(docs: DataFrame, sources: Column, weights: dict | None = None, seed: int = 0, repeats: int = 3, fits: int = 3, max_patterns: int = 2_000, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, sources, source_size, target, taken, passes of every row of docs (and the columns named in keep).
+    """doc_id, size, sources, source_size, target, taken, passes of every row of docs, and the columns named in keep as a struct `kept`.
 
     sources: an array of source names (a null name is a source). source_size and target are sums
     over the row's sources. weights default to 1, 2, 3, 1, ... in code-point order, null last.
@@ -175,8 +175,9 @@ def mix(docs: DataFrame, sources: Column, weights: dict | None = None, seed: int
     spark = docs.sparkSession
     added = {"__size": word_count(F.col(text)), "__sources": F.array_sort(F.array_distinct(sources)), "__row": F.monotonically_increasing_id()}
     rows = docs.withColumns(added)
-    rows = rows.select(*dict.fromkeys((*keep, doc_id)), *added)
-    rows = materialize(rows.withColumns({"__k1": F.xxhash64(F.lit(seed), F.col(doc_id), F.col("__size")), "__k2": F.xxhash64(F.lit(seed), "__row")}), "mix")
+    whole = [F.struct(*[F.col(c) for c in keep]).alias("kept")] if keep else []
+    rows = rows.select(F.col(doc_id).alias("doc_id"), *whole, *added)
+    rows = materialize(rows.withColumns({"__k1": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("__size")), "__k2": F.xxhash64(F.lit(seed), "__row")}), "mix")
     patterns = rows.groupBy("__sources").agg(F.sum("__size").alias("words")).limit(max_patterns + 1).collect()
     if len(patterns) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
@@ -207,4 +208,4 @@ def mix(docs: DataFrame, sources: Column, weights: dict | None = None, seed: int
     out = marked.join(F.broadcast(picks), "__row", "left")  # at most fits rows a pattern
     passes = F.col("full") + F.when(F.col("extra") | F.col("__pick").isNotNull(), 1).otherwise(0)
     out = out.withColumn("taken", (F.col("size") * passes).cast("bigint")).withColumn("passes", F.when(F.col("size") > 0, passes).otherwise(0))
-    return out.select(*dict.fromkeys((*keep, doc_id)), "size", F.col("__sources").alias("sources"), "source_size", "target", "taken", "passes")
+    return out.select("doc_id", *["kept"] * bool(keep), "size", F.col("__sources").alias("sources"), "source_size", "target", "taken", "passes")

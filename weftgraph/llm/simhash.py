@@ -216,12 +216,12 @@ def _compare(limit: int, most: int):
                     if size[k] > 8:
                         own = fps[begin[k] : begin[k] + size[k]]
                         if size[k] > most:
-                            yield from cut(mask[k], own)
+                            yield from cut(mask[begin[k]], own)
                         elif (out := linked(own)) is not None:
                             yield out
             if not (skip and last == 0):
                 held = [fps[begin[last] :].copy()]
-                at = (mask[last], bucket[last])
+                at = (mask[begin[last]], bucket[begin[last]])
             if sum(map(len, held)) > most:  # grows no further: what has come and what comes is cut
                 yield from cut(at[0], np.concatenate(held))
                 held, over = [], True

@@ -43,7 +43,7 @@ _SAFE = re.compile(r"[!-~\w]")
 #: Pieces that can be encoded many at a time, and pieces with a tail of signs after a letter or digit.
 _EASY = "^\n?[!-~\u00c0-\u024f]+$"
 _TAILED = "^(?P<bare>(?s:.*)[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])(?P<tail>[.,;:!?|*#&%$@()]+)$"
-_KEPT = 250_000
+_KEPT = 450_000
 
 
 def _is_byte_level(tokenizer) -> bool:
@@ -121,7 +121,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         return next(self.encode_many(pa.array([text])))
 
-    def encode_many(self, texts: pa.Array, most: int = 6_000_000) -> Iterator[bytes]:
+    def encode_many(self, texts: pa.Array, most: int = 10_000_000) -> Iterator[bytes]:
         """Ids of each text (null: empty), computed in slices of about `most` bytes."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not self.plain:
@@ -200,7 +200,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, width: int, rows: int, sam
     import zstandard
 
     share = min(1.0, samples / max(1, rows))
-    most = int(share * ((1 << 64) - 1)) - (1 << 63)
+    most = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
     picked = docs.select(doc_id, text).where((F.xxhash64(doc_id) <= most) & F.length(text).between(1, 20_000)).limit(4 * samples)
     encoder = _encoder(tokenizer)
     data = [_narrow(encoder.encode(t), width) for _, t in sorted(((r[0] is None, r[0] or 0), r[1]) for r in picked.collect())]
@@ -223,7 +223,6 @@ def _frames(tokenizer: str, dictionary: bytes, width: int, end: int, level: int)
                 crc.append(zlib.crc32(ids))
                 frames.append(pack.compress(_narrow(ids, width)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(frames, pa.binary())], names=["doc_id", "n", "crc", "frame"])
-        encoder.pieces.old = {}
 
     return lean(run)
 
