@@ -6,12 +6,13 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import chat_format, decontam, langid, media_audio, mixing, pii, quality, simhash, stages, token_binary, token_counts
+from weftgraph.llm import chat_format, decontam, langid, media_audio, mixing, pii, quality, queries, simhash, stages, token_binary, token_counts
 from weftgraph.llm.common import id_crc, scratch_path
 from weftgraph.llm.queries import tokenizer_file
 
@@ -251,3 +252,15 @@ def test_stages_keep_columns(spark, docs, tmp_path):
             out = stage(spark, df, f"file://{tmp_path}")
             assert out.columns == docs.columns and out.count() <= 3 * max(1, df.count())
     assert stages.decontamination_stage(spark, docs, f"file://{tmp_path}").where("doc_id = 6").count() == 0
+
+
+@pytest.mark.parametrize("name", ["op3_chat_format", "op8_decontaminate"])
+def test_query_against_sql(spark, name):
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    got = queries.queries()[name](spark, sf)
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(want.fetchall())

@@ -49,6 +49,11 @@ def loss_spans(turns: Column) -> Column:
     return F.aggregate(F.transform(turns, _piece), zero, step, lambda acc: acc["spans"])
 
 
+def spans_text(spans: str) -> Column:
+    """begin:end of each span, comma-joined."""
+    return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["begin"].cast("string"), x["end"].cast("string"))))
+
+
 def common_turns(a: Column, b: Column) -> Column:
     """Length of the longest common prefix of two turn arrays, by role and text."""
     least = F.least(F.size(a), F.size(b))

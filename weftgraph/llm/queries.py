@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import chat_format, decontam, langid, media_audio, mixing, pii, quality, simhash, token_binary, token_counts
+from weftgraph.llm import chat_format, decontam, langid, media_audio, mixing, oracles, pii, quality, simhash, token_binary, token_counts
 from weftgraph.llm.common import id_crc, read, scratch_path
 
 
@@ -31,7 +31,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations")
-    return chat_format.format_pairs(chat_format.swap_last_answer(chat_format.gather(turns)))
+    out = chat_format.format_pairs(chat_format.swap_last_answer(chat_format.gather(turns)))
+    return out.withColumns({c: chat_format.spans_text(c) for c in ("chosen_loss", "rejected_loss")})
 
 
 def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
