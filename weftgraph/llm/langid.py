@@ -2,8 +2,9 @@
 
 Training counts character 4-grams of all training texts in map tasks (sorted runs), sums them in
 one shuffle and builds the models on the driver. The tables have a proven bound: a language's
-4-grams are hashed into ``slots / languages`` slots, each slot keeps its smallest 4-gram, so the
-driver and the broadcast hold at most ``slots`` top-order entries whatever the corpus size.
+4-grams are hashed into ``slots / languages`` slots, each slot keeps its most frequent 4-gram with
+that 4-gram's own count, so the driver and the broadcast hold at most ``slots`` top-order entries
+whatever the corpus size; a rarer 4-gram of the same slot is scored by back-off.
 Lookup tables are sorted arrays of hashed n-grams with one column per language. A text gets the
 language of the lowest cross-entropy per character; a text is rejected where that exceeds a limit
 calibrated for the language and length class on the training texts.
@@ -190,7 +191,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int =
         return None
     bits = max(10, (slots // len(langs)).bit_length() - 1)
     counted = rows.mapInArrow(_count_rows(langs, bits), "lang int, slot long, key long, n long")
-    got = counted.groupBy("lang", "slot").agg(F.min("key").alias("key"), F.sum("n").alias("n")).select("lang", "key", "n").toArrow()
+    # one shuffle: a slot holds all counts of its 4-grams, so both groupings run where they are
+    summed = counted.repartition("lang", "slot").groupBy("lang", "slot", "key").agg(F.sum("n").alias("n"))
+    most = F.max(F.struct("n", (-F.col("key")).alias("key"))).alias("most")
+    got = summed.groupBy("lang", "slot").agg(most).select("lang", (-F.col("most.key")).alias("key"), F.col("most.n").alias("n")).toArrow()
     if not got.num_rows:
         return None
     lang_ix = got["lang"].to_numpy()
