@@ -51,6 +51,20 @@ def test_kneser_ney_sums_to_one():
     assert abs(np.exp2(model.score(every)[:, 0].astype(float)).sum() - 1) < 1e-3
 
 
+def test_slots_keep_the_most_frequent(spark):
+    texts = [EN, FR, EN + " " + FR] * 3
+    df = spark.createDataFrame([(t, "a") for t in texts], "text string, lang string")
+    g, n = np.unique(np.concatenate([langid.grams([t])[0] for t in texts]), return_counts=True)
+    for slots in (1 << 22, 1 << 4):  # the second has fewer slots than 4-grams; 1024 is the least
+        bits = max(10, slots.bit_length() - 1)
+        best = {}
+        for key, count in zip(g.tolist(), n.tolist()):
+            slot = (key * int(langid._MIX) & (1 << 64) - 1) >> (64 - bits)
+            best[slot] = max(best.get(slot, (0, 0)), (count, -key))
+        top = langid.train(df, slots=slots).keys[-1]
+        assert sorted(top.tolist()) == sorted((np.array([-k for _, k in best.values()], np.uint64) * langid._MIX).tolist())
+
+
 def test_token_counts(docs):
     path = tokenizer_file("piece_bpe_32k.model")
     pieces, longest = token_counts.load_pieces(path)
@@ -138,6 +152,10 @@ def test_mixing(spark, docs):
     out = mixing.mix(many, F.array("source")).select(F.col("sources")[0].alias("s"), "size", "target", "taken").toPandas()
     for _, g in out.groupby("s"):
         assert abs(g.taken.sum() - g.target.iloc[0]) <= 2 and (g.taken <= 3 * g["size"]).all()
+    few = spark.createDataFrame([(i, " ".join(["w"] * n), f"s{i // 6}") for i, n in enumerate((1984, 60, 300, 420, 75, 510, 2000, 350, 240, 90, 120, 35))], "doc_id long, text string, source string")
+    out = mixing.mix(few, F.array("source")).select(F.col("sources")[0].alias("s"), "size", "target", "taken").toPandas()
+    for _, g in out.groupby("s"):  # a document of half the source must not leave a gap of its size
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 0.05 * g.target.iloc[0] and (g.taken <= 3 * g["size"]).all()
     both = many.withColumn("sources", F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("s0"), F.lit("s9"))).otherwise(F.array("source")))
     assert mixing.mix(both, F.col("sources")).count() == 800 and mixing.mix(docs.where("false"), F.array("source")).count() == 0
     flow = mixing.min_cost_flow({0: 10, 1: 10}, {0: ["a", "b"], 1: ["b"]}, {"a": 15, "b": 12})

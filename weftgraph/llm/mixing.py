@@ -8,7 +8,8 @@ pattern's k-th pass over its documents costs k - 1 a token, so repetition is spr
 (convex). A pattern's flow is whole passes over all its documents plus a rest, which seeded
 selection fills: documents in order of a seeded 64-bit hash up to a threshold, found digit by
 digit from histograms of 4096 buckets (one small aggregation a digit, no sort), then up to
-``fits`` single documents whose size fits best what is still missing.
+``fits`` single documents that get one more pass (never beyond ``repeats``): each the largest that
+what is still missing can hold, the last the nearest in size, which may overshoot.
 
 A null text has size 0; a document of size 0 is never taken. A null source is a source of its
 own, ordered last; an empty list of sources belongs to none and is never taken. Ties and repeated
@@ -146,27 +147,30 @@ def thresholds(rows: DataFrame, rest: dict[int, int]) -> tuple[dict[int, tuple[i
     return {p: (pack(d[:5]), pack(d[5:])) for p, d in prefix.items()}, left
 
 
-def _best_fits(rows: DataFrame, left: dict[int, int], fits: int) -> list[tuple[int, int]]:
-    """(pattern, row) of single documents outside the extra pass that come nearest to what is missing."""
+def _best_fits(rows: DataFrame, left: dict[int, int], fits: int, repeats: int) -> list[tuple[int, int]]:
+    """(pattern, row) of single documents, one a round and pattern, given one more pass to fill what is missing.
+
+    Of equal sizes those outside the extra pass come first.
+    """
     spark, picked, left = rows.sparkSession, [], dict(left)
-    for _ in range(fits):
+    for turn in range(fits):
         open_ = [(p, n) for p, n in left.items() if n > 0]
         if not open_:
             break
         want = spark.createDataFrame(open_, "pattern int, missing long")
-        free = rows.where(~F.col("extra") & (F.col("size") > 0)).join(F.broadcast(want), "pattern")
+        free = rows.where((F.col("full") + F.col("extra").cast("int") < repeats) & (F.col("size") > 0)).join(F.broadcast(want), "pattern")
         if picked:
             free = free.join(F.broadcast(spark.createDataFrame(picked, "pattern int, __row long")), ["pattern", "__row"], "left_anti")
         gap = F.abs(F.col("missing") - F.col("size"))
-        best = free.where(gap < F.col("missing")).groupBy("pattern").agg(F.min(F.struct(gap.alias("gap"), "__k1", "__row", "size")).alias("b")).collect()
-        left = {p: 0 for p in left}
+        room = gap < F.col("missing") if turn + 1 == fits else F.col("size") <= F.col("missing")
+        best = free.where(room).groupBy("pattern").agg(F.min(F.struct(gap.alias("gap"), "extra", "__k1", "__row", "size")).alias("b")).collect()
         for r in best:
             picked.append((r["pattern"], r["b"]["__row"]))
             left[r["pattern"]] = dict(open_)[r["pattern"]] - r["b"]["size"]
     return picked
 
 
-def mix(docs: DataFrame, sources: Column, weights: dict | None = None, seed: int = 0, repeats: int = 3, fits: int = 3, max_patterns: int = 2_000, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, sources: Column, weights: dict | None = None, seed: int = 0, repeats: int = 3, fits: int = 6, max_patterns: int = 2_000, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, sources, source_size, target, taken, passes of every row of docs, and the columns named in keep as a struct `kept`.
 
     sources: an array of source names (a null name is a source). source_size and target are sums
@@ -203,9 +207,9 @@ def mix(docs: DataFrame, sources: Column, weights: dict | None = None, seed: int
     limits = spark.createDataFrame([(p, *bounds.get(p, (0, 0))) for p in words], "pattern int, __t1 long, __t2 long")
     k1, k2 = F.shiftrightunsigned("__k1", 4), F.shiftrightunsigned("__k2", 4)
     marked = known.join(F.broadcast(limits), "pattern").withColumn("extra", (k1 < F.col("__t1")) | ((k1 == F.col("__t1")) & (k2 < F.col("__t2"))))
-    picked = _best_fits(marked, left, fits)
+    picked = _best_fits(marked, left, fits, repeats)
     picks = spark.createDataFrame([(r,) for _, r in picked], "__row long").withColumn("__pick", F.lit(1))
     out = marked.join(F.broadcast(picks), "__row", "left")  # at most fits rows a pattern
-    passes = F.col("full") + F.when(F.col("extra") | F.col("__pick").isNotNull(), 1).otherwise(0)
+    passes = F.col("full") + F.col("extra").cast("int") + F.coalesce("__pick", F.lit(0))
     out = out.withColumn("taken", (F.col("size") * passes).cast("bigint")).withColumn("passes", F.when(F.col("size") > 0, passes).otherwise(0))
     return out.select("doc_id", *["kept"] * bool(keep), "size", F.col("__sources").alias("sources"), "source_size", "target", "taken", "passes")
