@@ -150,7 +150,7 @@ def thresholds(rows: DataFrame, rest: dict[int, int]) -> tuple[dict[int, tuple[i
 def _best_fits(rows: DataFrame, left: dict[int, int], fits: int, repeats: int) -> list[tuple[int, int]]:
     """(pattern, row) of single documents, one a round and pattern, given one more pass to fill what is missing.
 
-    Of equal sizes those outside the extra pass come first.
+    Of equal sizes those with fewer passes come first; a document may be given more than one.
     """
     spark, picked, left = rows.sparkSession, [], dict(left)
     for turn in range(fits):
@@ -158,12 +158,12 @@ def _best_fits(rows: DataFrame, left: dict[int, int], fits: int, repeats: int) -
         if not open_:
             break
         want = spark.createDataFrame(open_, "pattern int, missing long")
-        free = rows.where((F.col("full") + F.col("extra").cast("int") < repeats) & (F.col("size") > 0)).join(F.broadcast(want), "pattern")
-        if picked:
-            free = free.join(F.broadcast(spark.createDataFrame(picked, "pattern int, __row long")), ["pattern", "__row"], "left_anti")
+        again = spark.createDataFrame(picked, "pattern int, __row long").groupBy("__row").agg(F.count("*").cast("int").alias("__pick"))
+        free = rows.join(F.broadcast(want), "pattern").join(F.broadcast(again), "__row", "left").fillna(0, ["__pick"])
+        free = free.where((F.col("full") + F.col("extra").cast("int") + F.col("__pick") < repeats) & (F.col("size") > 0))
         gap = F.abs(F.col("missing") - F.col("size"))
         room = gap < F.col("missing") if turn + 1 == fits else F.col("size") <= F.col("missing")
-        best = free.where(room).groupBy("pattern").agg(F.min(F.struct(gap.alias("gap"), "extra", "__k1", "__row", "size")).alias("b")).collect()
+        best = free.where(room).groupBy("pattern").agg(F.min(F.struct(gap.alias("gap"), "__pick", "extra", "__k1", "__row", "size")).alias("b")).collect()
         for r in best:
             picked.append((r["pattern"], r["b"]["__row"]))
             left[r["pattern"]] = dict(open_)[r["pattern"]] - r["b"]["size"]
@@ -208,7 +208,7 @@ def mix(docs: DataFrame, sources: Column, weights: dict | None = None, seed: int
     k1, k2 = F.shiftrightunsigned("__k1", 4), F.shiftrightunsigned("__k2", 4)
     marked = known.join(F.broadcast(limits), "pattern").withColumn("extra", (k1 < F.col("__t1")) | ((k1 == F.col("__t1")) & (k2 < F.col("__t2"))))
     picked = _best_fits(marked, left, fits, repeats)
-    picks = spark.createDataFrame([(r,) for _, r in picked], "__row long").withColumn("__pick", F.lit(1))
+    picks = spark.createDataFrame([(r,) for _, r in picked], "__row long").groupBy("__row").agg(F.count("*").cast("int").alias("__pick"))
     out = marked.join(F.broadcast(picks), "__row", "left")  # at most fits rows a pattern
     passes = F.col("full") + F.col("extra").cast("int") + F.coalesce("__pick", F.lit(0))
     out = out.withColumn("taken", (F.col("size") * passes).cast("bigint")).withColumn("passes", F.when(F.col("size") > 0, passes).otherwise(0))
