@@ -1,14 +1,16 @@
 """PII by information-theoretic sanitisation.
 
 Base spans (e-mail, IP address, card, phone) are protected entities. Which other terms give an
-entity away is estimated from the corpus: a term t beside entity e (within ``REACH`` words in some
-text) discloses the share PMI(t, e) / IC(e) of e's information, where
-PMI = log2(N n(t,e) / (n(t) n(e))), IC(e) = log2(N / n(e)), N texts in all, and n counts distinct
-texts. A term that reaches ``DISCLOSES`` and stands beside the entity in at least ``SUPPORT``
-different surroundings is a span of its own (kind ``term``): generalised, or removed beyond
-``REMOVES``. Counts cover all texts; copies of a passage are one surrounding, else a copied
-passage would make every word in it telling. Disclosing pairs meet their occurrences in a join, never in a
-broadcast of unknown size.
+entity away is estimated from the corpus: a term t in a text with entity e discloses the share
+PMI(t, e) / IC(e) of e's information, where PMI = log2(N n(t,e) / (n(t) n(e))),
+IC(e) = log2(N / n(e)), N texts in all, and n counts texts. A term that reaches ``DISCLOSES``, and
+meets the entity more often than chance would have it (``CHANCE``, a bound on the
+hypergeometric tail of one pair), discloses it: each of its occurrences in the texts with the
+entity is a span of its own (kind ``term``), generalised, or removed beyond ``REMOVES``. There is
+no least number of texts: a word found nowhere else gives a single passage's entity away once the
+corpus is large enough to call it rare. Copies of a text with entities count as one text. Pairs are
+formed of a text's entities and those of its terms that are rare enough for the share (an exact
+bound), and meet their occurrences in a join, never in a broadcast of unknown size.
 
 A null text is empty. A table without entities has no terms. Repeated rows get equal spans.
 Extra columns are ignored. Every scan is linear in the text, whatever its runs of characters.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from math import lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +30,8 @@ from pyspark.sql import types as T
 
 from weftgraph.llm.common import lean, materialize
 
-REACH = 4
-SUPPORT = 3
 DISCLOSES = 0.9
+CHANCE = 0.001
 REMOVES = 0.999
 SLOTS = 1 << 22
 KINDS = ("email", "ip", "card", "phone")
@@ -91,28 +93,26 @@ def _entity(kind: int, value: str) -> str:
     return hashlib.blake2b(f"{KINDS[kind]}:{value}".encode(), digest_size=8).hexdigest()
 
 
-def context(text: str, spans: list[tuple[int, int, int]], reach: int = REACH) -> list[dict]:
-    """The words within reach of each base span and outside all of them, with a hash of the words around the span."""
-    out = []
-    for begin, kind, end in spans:
-        from_ = max(0, begin - 40 * reach)
-        around = [(m.group(), from_ + m.start()) for m in _TERM.finditer(text[from_:begin])][-reach:]
-        around += [(m.group(), end + m.start()) for m in _TERM.finditer(text[end : end + 40 * reach])][:reach]
-        name, whole = _entity(kind, text[begin:end]), hashlib.blake2b(" ".join(w for w, _ in around).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
-        for word, at in around:
-            if not any(b < at + len(word) and at < e for b, _, e in spans):
-                out.append({"entity": name, "term": word.lower(), "begin": at, "end": at + len(word), "around": whole})
+def words_outside(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
+    """All words of the text outside the base spans."""
+    out, k, reached = [], 0, 0
+    for m in _TERM.finditer(text):
+        while k < len(spans) and spans[k][0] < m.end():
+            reached = max(reached, spans[k][2])
+            k += 1
+        if m.start() >= reached:
+            out.append({"term": m.group().lower(), "begin": m.start(), "end": m.end()})
     return out
 
 
 SPAN = "struct<begin:int,kind:int,end:int>"
-BASE = f"n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<{SPAN}>, near array<struct<entity:string,term:string,begin:int,end:int,around:string>>, entities array<string>"
+BASE = f"n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<{SPAN}>, words array<struct<term:string,begin:int,end:int>>, entities array<string>, copy string"
 _SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_NEAR = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("begin", pa.int32()), ("end", pa.int32()), ("around", pa.string())]))
+_WORDS = pa.list_(pa.struct([("term", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
 
 
 def find_base(docs: DataFrame, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
-    """docs (without drop) with the base spans of every whole text, their entities and the terms near them."""
+    """docs (without drop) with the base spans of every whole text, their entities, and of texts with entities the other words and a hash."""
     added = T.StructType.fromDDL(BASE)
     kept = docs.drop(*added.fieldNames())
     at = kept.columns.index(text)
@@ -126,9 +126,9 @@ def find_base(docs: DataFrame, text: str = "text", drop: tuple[str, ...] = ()) -
                 spans = base_spans(t) if t else []
                 own = [{"begin": b, "kind": k, "end": e} for b, k, e in spans]
                 names_ = sorted({_entity(k, t[b:e]) for b, k, e in spans})
-                rows.append((*(sum(x[1] == k for x in spans) for k in range(4)), hashlib.sha256(joined(spans).encode()).hexdigest(), own, context(t, spans) if spans else [], names_))
-            cols = list(zip(*rows)) or [[]] * 8
-            kinds = (*[pa.int64()] * 4, pa.string(), _SPANS, _NEAR, pa.list_(pa.string()))
+                rows.append((*(sum(x[1] == k for x in spans) for k in range(4)), hashlib.sha256(joined(spans).encode()).hexdigest(), own, words_outside(t, spans) if spans else [], names_, hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if spans else None))
+            cols = list(zip(*rows)) or [[]] * 9
+            kinds = (*[pa.int64()] * 4, pa.string(), _SPANS, _WORDS, pa.list_(pa.string()), pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=schema.fieldNames())
 
     return kept.mapInArrow(lean(run), schema)
@@ -150,9 +150,9 @@ def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
     What map tasks get to know the terms by is a bitmap of SLOTS bits, whatever their number; a
     term that only shares a slot falls out in the join at the end.
     """
-    slots = [r[0] for r in terms.select("term").mapInArrow(lean(_bitmap), "slot int").distinct().collect()]
+    slots = terms.select("term").mapInArrow(lean(_bitmap), "slot int").distinct().toArrow()["slot"].to_numpy().astype(np.int64)
     bits = np.zeros(SLOTS // 8, np.uint8)
-    np.bitwise_or.at(bits, np.array(slots, np.int64) // 8, np.uint8(1) << (np.array(slots, np.int64) % 8).astype(np.uint8))
+    np.bitwise_or.at(bits, slots // 8, np.uint8(1) << (slots % 8).astype(np.uint8))
     shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def run(batches):
@@ -182,38 +182,63 @@ def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
     return counted.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, text: str = "text", support: int = SUPPORT, least: float = DISCLOSES) -> DataFrame | None:
-    """(entity, term, share): pairs whose term gives the entity away; None if no pair has the support.
+def _log_choose(n: int, k: int) -> float:
+    return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
 
-    found: find_base() with a row number __row. A text's copies have the same words around an
-    entity; support counts different surroundings, so copies support nothing.
+
+def by_chance(n: int, n_e: int, n_t: int, n_et: int) -> float:
+    """Log of a bound on the chance of n_et texts or more with both: the expected number of sets of n_et such texts."""
+    return _log_choose(n_e, n_et) + _log_choose(n_t, n_et) - _log_choose(n, n_et)
+
+
+def disclosing(docs: DataFrame, found: DataFrame, text: str = "text", least: float = DISCLOSES, chance: float = CHANCE) -> DataFrame | None:
+    """(__row, term, share): the terms of each text that give one of its entities away; None without entities.
+
+    found: find_base() with a row number __row. Of the copies of a text with entities one is
+    counted, in N and n(t) as well.
     """
-    near = found.select("__row", F.explode("near").alias("x")).select("__row", "x.*")
-    pairs = near.groupBy("entity", "term", "around").agg(F.count_distinct("__row").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("support"))
-    pairs = materialize(pairs.where(F.col("support") >= support), "pii_pairs")
-    if pairs.isEmpty():
+    known = found.where("copy is not null")
+    copies = materialize(known.groupBy("copy").agg(F.min("__row").alias("__row"), F.count("*").alias("copies")), "pii_copies")
+    more = copies.agg(F.sum(F.col("copies") - 1)).first()[0]
+    if more is None:
         return None
-    n = float(docs.count())
-    by_entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    all_ = pairs.join(by_entity, "entity").join(term_counts(docs, pairs, text), "term")
-    together = F.least("n_et", "n_e", "n_t")
-    pmi, ic = F.log2(F.lit(n) * together / (F.col("n_e") * F.col("n_t"))), F.log2(F.lit(n) / F.col("n_e"))
-    return all_.withColumn("share", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))).where(F.col("share") >= least).select("entity", "term", "share")
+    n = docs.count() - more
+    first = copies.select("__row", "copies")
+    entities = known.select("__row", F.explode("entities").alias("entity"))
+    n_e = entities.join(first, "__row", "left_semi").groupBy("entity").agg(F.count("*").alias("n_e"))
+    terms = materialize(known.select("__row", F.explode(F.array_distinct("words.term")).alias("term")).join(first, "__row", "left"), "pii_terms")
+    extra = terms.groupBy("term").agg(F.sum(F.coalesce(F.col("copies") - 1, F.lit(0))).alias("extra"))
+    n_t = extra.join(term_counts(docs, extra, text), "term").select("term", (F.col("n_t") - F.col("extra")).alias("n_t"))
+    # PMI >= least * IC needs n(t) <= N^(1 - least) n(e)^least, as n(t,e) <= n(e)
+    rare = F.col("n_t") <= F.pow(F.lit(float(n)), F.lit(1 - least)) * F.pow("n_e", F.lit(least)) * (1 + 1e-9)
+    pairs = entities.join(n_e, "entity").join(terms.join(n_t, "term"), "__row").where(rare)
+    pairs = materialize(pairs.select("__row", "entity", "term", "n_e", "n_t", F.col("copies").isNotNull().alias("counts")), "pii_pairs")
+    together = pairs.where("counts").groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_et"))
+    pmi, ic = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))), F.log2(F.lit(float(n)) / F.col("n_e"))
+    shares = together.withColumn("share", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))).where(F.col("share") >= least)
+
+    def run(batches):
+        for batch in batches:
+            e, t, et = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n_e", "n_t", "n_et"))
+            yield batch.filter(pa.array([by_chance(n, *x) <= log(chance) for x in zip(e, t, et)], pa.bool_())).select(["entity", "term", "share"])
+
+    telling = shares.mapInArrow(lean(run), "entity string, term string, share double")
+    return pairs.join(telling, ["entity", "term"]).groupBy("__row", "term").agg(F.max("share").alias("share"))
 
 
 def find(docs: DataFrame, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
     """docs (without drop) with counts, base_sha256, base, and all_spans: base and disclosing terms in order, terms with their share."""
     found = materialize(find_base(docs, text, drop).withColumn("__row", F.monotonically_increasing_id()), "pii")
-    pairs = disclosing(docs, found, text)
+    telling = disclosing(docs, found, text)
     ordered = "array<struct<begin:int,kind:int,end:int,share:double>>"
     base = F.transform("base", lambda x: F.struct(x["begin"].alias("begin"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(None).cast("double").alias("share")))
-    if pairs is None:
-        return found.withColumn("all_spans", base.cast(ordered)).drop("__row", "near", "entities")
-    near = found.select("__row", F.explode("near").alias("x")).select("__row", "x.*")
-    hits = near.join(materialize(pairs, "pii_pairs"), ["entity", "term"]).groupBy("__row", "begin", "end").agg(F.max("share").alias("share"))
+    if telling is None:
+        return found.withColumn("all_spans", base.cast(ordered)).drop("__row", "words", "entities", "copy")
+    words = found.where("copy is not null").select("__row", F.explode("words").alias("x")).select("__row", "x.*")
+    hits = words.join(telling, ["__row", "term"])
     spans = hits.groupBy("__row").agg(F.collect_list(F.struct("begin", F.lit(4).alias("kind"), "end", "share")).alias("terms"))  # of one text
     every = F.array_sort(F.concat(base.cast(ordered), F.coalesce(F.col("terms").cast(ordered), F.array().cast(ordered))))
-    return found.join(spans, "__row", "left").withColumn("all_spans", every).drop("__row", "near", "entities", "terms")
+    return found.join(spans, "__row", "left").withColumn("all_spans", every).drop("__row", "words", "entities", "copy", "terms")
 
 
 def spans_text(column: str = "all_spans"):
