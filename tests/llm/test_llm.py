@@ -162,6 +162,17 @@ def test_mixing(spark, docs):
     assert sum(f for (p, s), f in flow.items() if s == "a") == 15 and sum(f for (p, s), f in flow.items() if s == "b") == 12 and flow[1, "b"] >= 10
 
 
+def test_mixing_goes_on_after_a_long_document(spark):
+    """Short documents behind a long one in hash order are not passed over, however many are needed."""
+    rng = random.Random(3)
+    rows = [(s * 1000 + i, " ".join(["w"] * (20_000 if i == 0 else rng.randint(10, 80))), f"s{s:02}") for s in range(12) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = {f"s{s:02}": [1, 2, 6, 9][s % 4] for s in range(12)}
+    out = mixing.mix(df, F.array("source"), weights).select(F.col("sources")[0].alias("s"), "size", "target", "taken").toPandas()
+    for _, g in out.groupby("s"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 80 and (g.taken <= 3 * g["size"]).all()
+
+
 def test_simhash(spark, docs):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(40)]

@@ -7,9 +7,11 @@ is cut is shared anew. A min-cost flow routes each pattern's tokens to its sourc
 pattern's k-th pass over its documents costs k - 1 a token, so repetition is spread evenly
 (convex). A pattern's flow is whole passes over all its documents plus a rest, which seeded
 selection fills: documents in order of a seeded 64-bit hash up to a threshold, found digit by
-digit from histograms of 4096 buckets (one small aggregation a digit, no sort), then up to
-``fits`` single documents that get one more pass (never beyond ``repeats``): each the largest that
-what is still missing can hold, the last the nearest in size, which may overshoot.
+digit from histograms of 4096 buckets (one small aggregation a digit, no sort). The document that
+does not fit is skipped, and the order goes on from it over documents no larger than what is still
+missing, until none is left that fits; then those that fit get one more pass, never beyond
+``repeats``. What is still missing is less than any document with a pass to give; one document, the
+nearest in size, may overshoot it.
 
 A null text has size 0; a document of size 0 is never taken. A null source is a source of its
 own, ordered last; an empty list of sources belongs to none and is never taken. Ties and repeated
@@ -116,61 +118,81 @@ def _digit(level: int) -> Column:
     return F.shiftrightunsigned(F.col(key), 64 - DIGIT * (level + 1)).bitwiseAND(F.lit((1 << DIGIT) - 1))
 
 
-def thresholds(rows: DataFrame, rest: dict[int, int]) -> tuple[dict[int, tuple[int, int]], dict[int, int]]:
-    """By pattern: the bounds below which a document's two 60-bit keys put it in the extra pass, and the words still missing.
+def _pack(digits: list[int]) -> int:
+    return sum(d << DIGIT * (4 - i) for i, d in enumerate(digits))
 
-    The documents of a pattern in key order fit into its rest up to one that does not; that one is
-    found digit by digit. Only a histogram of 4096 buckets a pattern is sorted.
+
+def _from(t1: str, t2: str) -> Column:
+    """Whether a row's two 60-bit keys are at or beyond a bound."""
+    k1, k2 = F.shiftrightunsigned("__k1", 4), F.shiftrightunsigned("__k2", 4)
+    return (k1 > F.col(t1)) | ((k1 == F.col(t1)) & (k2 >= F.col(t2)))
+
+
+def thresholds(rows: DataFrame, rest: dict[int, int], begin: dict[int, tuple[int, int]]) -> tuple[dict[int, tuple[int, int]], dict[int, int], set[int]]:
+    """By pattern: the bounds below which a document's two 60-bit keys put it in the extra pass, and the words still missing; and the patterns with a document that did not fit.
+
+    The documents of a pattern that are no larger than its rest, in key order from begin, fit into
+    it up to one that does not; that one is found digit by digit. Only a histogram of 4096 buckets
+    a pattern is sorted.
     """
     spark = rows.sparkSession
     prefix: dict[int, list[int]] = {p: [] for p in rest}
-    left, live = dict(rest), set(rest)
+    left, live, stopped = dict(rest), set(rest), set()
     order = Window.partitionBy("pattern").orderBy("digit")
     for level in range(10):
         if not live:
             break
-        where = spark.createDataFrame([(p, left[p], *prefix[p]) for p in sorted(live)], ", ".join(["pattern int", "most long", *(f"d{i} long" for i in range(level))]))
-        own = rows.join(F.broadcast(where), "pattern")  # a row a pattern: bounded by max_patterns
+        where = spark.createDataFrame([(p, left[p], rest[p], *begin[p], *prefix[p]) for p in sorted(live)], ", ".join(["pattern int", "most long", "rest long", "b1 long", "b2 long", *(f"d{i} long" for i in range(level))]))
+        own = rows.join(F.broadcast(where), "pattern").where((F.col("size") > 0) & (F.col("size") <= F.col("rest")) & _from("b1", "b2"))  # a row a pattern: bounded by max_patterns
         for i in range(level):
             own = own.where(_digit(i) == F.col(f"d{i}"))
-        counts = own.groupBy("pattern", "most", _digit(level).alias("digit")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
-        over = counts.withColumn("upto", F.sum("words").over(order)).where("upto > most")
-        found = {r["pattern"]: r["b"] for r in over.groupBy("pattern").agg(F.min_by(F.struct("digit", "words", "n", "upto"), "digit").alias("b")).collect()}
+        counts = own.groupBy("pattern", "most", _digit(level).alias("digit")).agg(F.sum("size").alias("words"), F.count("*").alias("n")).withColumn("upto", F.sum("words").over(order))
+        over = F.when(F.col("upto") > F.col("most"), F.col("digit"))
+        found = {r["pattern"]: r for r in counts.groupBy("pattern").agg(F.max("upto").alias("words"), F.min(over).alias("at"), F.min_by(F.struct("digit", "words", "n", "upto"), over).alias("b")).collect()}
         for p in sorted(live):
-            b = found.get(p)
+            b = found[p]["b"] if p in found and found[p]["at"] is not None else None
             prefix[p].append(1 << DIGIT if b is None else b["digit"])
-            if b is not None:
+            if b is None:
+                left[p] -= found[p]["words"] if p in found else 0
+            else:
                 left[p] -= b["upto"] - b["words"]
+                stopped.add(p)
             if b is None or b["n"] <= 1 or left[p] <= 0:
                 live.discard(p)
-    pack = lambda digits: sum(d << DIGIT * (4 - i) for i, d in enumerate(digits))
-    return {p: (pack(d[:5]), pack(d[5:])) for p, d in prefix.items()}, left
+    return {p: (_pack(d[:5]), _pack(d[5:])) for p, d in prefix.items()}, left, stopped
 
 
-def _best_fits(rows: DataFrame, left: dict[int, int], fits: int, repeats: int) -> list[tuple[int, int]]:
-    """(pattern, row) of single documents, one a round and pattern, given one more pass to fill what is missing.
+def fill(rows: DataFrame, rest: dict[int, int], full: dict[int, int], repeats: int) -> tuple[dict[int, list[tuple]], dict[int, int]]:
+    """By pattern: rounds (most, begin, end) that each give one more pass to the documents of at most `most` words and keys from begin to below end; and the words still missing.
 
-    Of equal sizes those with fewer passes come first; a document may be given more than one.
+    A skipped document is larger than what is missing from then on. So within a pass the next round
+    begins where the last one stopped, and in the next pass all that fit have been taken equally often.
     """
-    spark, picked, left = rows.sparkSession, [], dict(left)
-    for turn in range(fits):
-        open_ = [(p, n) for p, n in left.items() if n > 0]
-        if not open_:
-            break
-        want = spark.createDataFrame(open_, "pattern int, missing long")
-        again = spark.createDataFrame(picked, "pattern int, __row long").groupBy("__row").agg(F.count("*").cast("int").alias("__pick"))
-        free = rows.join(F.broadcast(want), "pattern").join(F.broadcast(again), "__row", "left").fillna(0, ["__pick"])
-        free = free.where((F.col("full") + F.col("extra").cast("int") + F.col("__pick") < repeats) & (F.col("size") > 0))
-        gap = F.abs(F.col("missing") - F.col("size"))
-        room = gap < F.col("missing") if turn + 1 == fits else F.col("size") <= F.col("missing")
-        best = free.where(room).groupBy("pattern").agg(F.min(F.struct(gap.alias("gap"), "__pick", "extra", "__k1", "__row", "size")).alias("b")).collect()
-        for r in best:
-            picked.append((r["pattern"], r["b"]["__row"]))
-            left[r["pattern"]] = dict(open_)[r["pattern"]] - r["b"]["size"]
-    return picked
-
-
-def mix(docs: DataFrame, sources: Column, weights: dict | None = None, seed: int = 0, repeats: int = 3, fits: int = 6, max_patterns: int = 2_000, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    rounds: dict[int, list[tuple]] = {p: [] for p in rest}
+    left, done, begin = dict(rest), {p: full[p] for p in rest}, {p: (0, 0) for p in rest}
+    while open_ := {p: n for p, n in left.items() if n > 0 and done[p] < repeats}:
+        end, after, stopped = thresholds(rows, open_, begin)
+        for p, most in open_.items():
+            rounds[p].append((most, *begin[p], *end[p]))
+            whole = p not in stopped or (after[p] == most and begin[p] == end[p])
+            begin[p], left[p] = (0, 0) if whole else end[p], after[p]
+            done[p] += whole
+    return rounds, left
+
+
+def _nearest(rows: DataFrame, left: dict[int, int], repeats: int) -> list[int]:
+    """Row numbers: by pattern the document nearest in size to what is missing, if a pass of it is better than none."""
+    open_ = [(p, n) for p, n in left.items() if n > 0]
+    if not open_:
+        return []
+    want = rows.sparkSession.createDataFrame(open_, "pattern int, missing long")
+    free = rows.join(F.broadcast(want), "pattern").where((F.col("full") + F.col("extra") < repeats) & (F.col("size") > 0))
+    gap = F.abs(F.col("missing") - F.col("size"))
+    best = free.where(gap < F.col("missing")).groupBy("pattern").agg(F.min(F.struct(gap.alias("gap"), "extra", "__k1", "__row")).alias("b")).collect()
+    return [r["b"]["__row"] for r in best]
+
+
+def mix(docs: DataFrame, sources: Column, weights: dict | None = None, seed: int = 0, repeats: int = 3, max_patterns: int = 2_000, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, sources, source_size, target, taken, passes of every row of docs, and the columns named in keep as a struct `kept`.
 
     sources: an array of source names (a null name is a source). source_size and target are sums
@@ -203,13 +225,14 @@ def mix(docs: DataFrame, sources: Column, weights: dict | None = None, seed: int
     schema = T.StructType([T.StructField("__sources", T.ArrayType(T.StringType())), T.StructField("pattern", T.IntegerType()), T.StructField("full", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
     facts = spark.createDataFrame(table, schema)
     known = rows.withColumnRenamed("__size", "size").join(F.broadcast(facts), rows["__sources"].eqNullSafe(facts["__sources"])).drop(facts["__sources"])
-    bounds, left = thresholds(known, {p: r for p, r in rest.items() if r > 0})
-    limits = spark.createDataFrame([(p, *bounds.get(p, (0, 0))) for p in words], "pattern int, __t1 long, __t2 long")
+    rounds, left = fill(known.select("pattern", "size", "__k1", "__k2"), {p: r for p, r in rest.items() if r > 0}, full, repeats)
+    limits = spark.createDataFrame([(p, rounds.get(p, [])) for p in words], "pattern int, __rounds array<struct<most:long,b1:long,b2:long,e1:long,e2:long>>")
     k1, k2 = F.shiftrightunsigned("__k1", 4), F.shiftrightunsigned("__k2", 4)
-    marked = known.join(F.broadcast(limits), "pattern").withColumn("extra", (k1 < F.col("__t1")) | ((k1 == F.col("__t1")) & (k2 < F.col("__t2"))))
-    picked = _best_fits(marked, left, fits, repeats)
-    picks = spark.createDataFrame([(r,) for _, r in picked], "__row long").groupBy("__row").agg(F.count("*").cast("int").alias("__pick"))
-    out = marked.join(F.broadcast(picks), "__row", "left")  # at most fits rows a pattern
-    passes = F.col("full") + F.col("extra").cast("int") + F.coalesce("__pick", F.lit(0))
+    beyond = lambda r, t: (k1 > r[t + "1"]) | ((k1 == r[t + "1"]) & (k2 >= r[t + "2"]))
+    taken = F.size(F.filter("__rounds", lambda r: (F.col("size") <= r["most"]) & beyond(r, "b") & ~beyond(r, "e")))
+    marked = known.join(F.broadcast(limits), "pattern").withColumn("extra", F.when(F.col("size") > 0, taken).otherwise(0)).drop("__rounds")
+    picks = spark.createDataFrame([(r, 1) for r in _nearest(marked, left, repeats)], "__row long, __pick int")
+    out = marked.join(F.broadcast(picks), "__row", "left")  # at most a row a pattern
+    passes = F.col("full") + F.col("extra") + F.coalesce("__pick", F.lit(0))
     out = out.withColumn("taken", (F.col("size") * passes).cast("bigint")).withColumn("passes", F.when(F.col("size") > 0, passes).otherwise(0))
     return out.select("doc_id", *["kept"] * bool(keep), "size", F.col("__sources").alias("sources"), "source_size", "target", "taken", "passes")
