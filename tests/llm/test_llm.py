@@ -95,6 +95,21 @@ def test_preferences(spark):
             for b, e in r[f"{side}_loss"]:
                 assert r[f"{side}_text"][e - 8 : e] == "<|end|>\n" and r[f"{side}_text"][:b].endswith("<|assistant|>\n")
     assert out[0]["rejected_text"] == "<|assistant|>\nyes<|end|>\n<|user|>\nso?<|end|>\n" and out[4]["rejected_text"] == "" and out[2]["n_common"] == 1
+    spans = chat_format.loss_spans(F.col("turns"))
+    roles = ["user", "assistant", None]
+    turn = lambda i, k: (k, roles[(i * k) % 3], None if k % 7 == 3 else "é" * (k % 5))
+    made = [(i, [turn(i, k) for k in range(i)]) for i in (0, 1, 2, 3, 8, 33, 700)]
+    frame = spark.createDataFrame(made, f"i int, turns {'array<struct<turn:bigint,role:string,text:string>>'}")
+    for r in frame.select("i", "turns", chat_format.render(F.col("turns")).alias("t"), spans.alias("s")).collect():
+        want, at = [], 0
+        for x in r["turns"]:
+            head, body = f"<|{x['role'] or 'unknown'}|>\n", f"{x['text'] or ''}<|end|>\n"
+            want += [(at + len(head), at + len(head) + len(body))] * (x["role"] == "assistant")
+            at += len(head) + len(body)
+        assert len(r["t"]) == at and [tuple(x) for x in r["s"]] == want
+    lone = spark.createDataFrame([(None, k, "user", "a") for k in range(5)], "conv_id long, turn long, role string, text string")
+    assert [r["prompt"] for r in chat_format.format_pairs(chat_format.swap_last_answer(chat_format.gather(lone))).collect()] == ["<|user|>\na<|end|>\n"] * 5
+    assert chat_format.format_pairs(chat_format.swap_last_answer(chat_format.gather(lone.where("false")))).count() == 0
     assert "python" not in chat_format.format_pairs(chat_format.swap_last_answer(chat_format.gather(df)))._jdf.queryExecution().toString().lower()
 
 
@@ -135,7 +150,7 @@ def test_audio(docs):
         assert r["bad_crc"] == 0 and r["skipped_bytes"] == 0 and r["n_samples"] == 1152 * r["n_frames"] and len(r["seek_offsets"]) == r["n_frames"]
     data = media_audio.pack(media_audio.padded(b"word " * 2000))
     whole = media_audio.parse(data)
-    assert whole.table["frames"] == len(whole.offsets) and whole.table["bytes"] == len(data) - data.index(b"\xff\xfb")
+    assert whole.table["frames"] == len(whole.offsets) and whole.table["bytes"] == len(data) - 128 - data.index(b"\xff\xfb")
     cut = whole.offsets[3]
     broken = media_audio.parse(data[:cut] + b"\xff\xfbjunk\xff" + data[cut:])
     assert broken.resyncs == 1 and broken.skipped == 7 and len(broken.offsets) == len(whole.offsets)
@@ -145,6 +160,46 @@ def test_audio(docs):
     assert media_audio.crc16(b"123456789") == 0xAEE7
 
 
+def _by_the_standard(data):
+    """Payload and frame offsets of a stream, by an independent reading of the headers."""
+    at = 10 + sum((b & 127) << 7 * (3 - i) for i, b in enumerate(data[6:10]))
+    size = lambda at: 144 * {14: 320, 13: 256, 12: 224, 11: 192, 10: 160, 9: 128, 8: 112, 7: 96, 6: 80, 5: 64, 4: 56, 3: 48, 2: 40, 1: 32}[data[at + 2] >> 4] * 1000 // 48000
+    out, offsets = b"", []
+    at += size(at)  # the table's frame
+    while data[at : at + 2] == b"\xff\xfa":
+        offsets.append(at)
+        out += data[at + 23 : at + size(at)]
+        at += size(at)
+    assert data[at:] == data[-128:] and data[at : at + 3] == b"TAG"
+    return out, offsets
+
+
+def test_audio_is_lossless_for_any_bytes():
+    """Tags, sync patterns and headers in the payload change nothing, wherever they stand."""
+    rng = random.Random(8)
+    header = media_audio._HEADS[13][:4]
+    signs = [b"TAG", b"ID3", b"ID3\x03\0\0\0\0\0\x7f", b"\xff\xfb", b"\xff" * 5, header, header * 3, b"Xing", b"VBRI", b"\0" * 9]
+    cases = [b"x" * k + sign + b"y" * 100 for sign in signs for k in range(0, 140)]
+    cases += [b"".join(rng.choice([*signs, rng.randbytes(rng.randint(1, 400))]) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    for raw in cases:
+        own = media_audio.padded(raw)
+        data = media_audio.pack(own)
+        stream = media_audio.parse(data)
+        plain, offsets = _by_the_standard(data)
+        assert media_audio.payload(data, stream) == own == plain[: len(own)] and stream.offsets == offsets
+        assert (stream.bad_crc, stream.skipped, stream.resyncs, stream.samples) == (0, 0, 0, 1152 * len(offsets))
+
+
+def test_audio_empty_and_clashing(docs):
+    clash = docs.select("doc_id", "text", F.lit(1).alias("media"), F.lit(2).alias("feature"), F.lit(3).alias("n_bytes"))
+    out = media_audio.store_and_read(clash)
+    assert out.count() == docs.count() and media_audio.store_and_read(docs.where("false")).count() == 0
+    long = docs.sparkSession.createDataFrame([(1, "TAGé" * 400_000)], "doc_id long, text string")
+    r = media_audio.store_and_read(long).first()
+    raw = ("TAGé" * 400_000).encode()
+    assert r["payload_sha256"] == hashlib.sha256(media_audio.padded(raw)).hexdigest() and len(r["seek_offsets"]) == r["n_frames"] > 2000
+
+
 def test_mixing(spark, docs):
     a = sorted(map(str, mixing.mix(docs, F.array("source")).collect()))
     assert a == sorted(map(str, mixing.mix(docs.repartition(5), F.array("source")).collect())) and len(a) == docs.count()
@@ -223,9 +278,14 @@ def test_decontamination(spark, docs):
         got = plain[r["doc_id"]]
         assert (got["n_words"], got["n_hit"], got["n_items"], got["contaminated"]) == (len(w), len(hit), len(found), len(found) >= 2)
         assert got["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest() == cut[r["doc_id"]]["items_sha256"]
-    spans = {r["doc_id"]: r["spans"] for r in decontam.with_spans(decontam.scan(docs, bench)).collect()}
-    assert TEXTS[7][spans[7][0]["begin"] : spans[7][0]["end"]] == EN.upper()
+        spans = [tuple(map(int, x.split(":"))) for x in got["spans"].split(",") if x]
+        assert [x for b, e in spans for x in low(r["text"][b:e])] == [w[j] for j in sorted(hit)] and got["spans"] == cut[r["doc_id"]]["spans"]
+    assert plain[7]["spans"] == f"0:{len(EN)}" and all(cut[i]["n_words"] == plain[i]["n_words"] for i in plain)
     assert decontam.scan(docs, bench.where("false")).where("size(hits) > 0").count() == 0
+    assert decontam.digest(decontam.scan(docs.where("false"), bench)).count() == 0
+    clash = docs.select("doc_id", "text", F.lit("x").alias("hits"), F.lit("y").alias("spans"), F.lit("z").alias("item"))
+    again = {r["doc_id"]: r for r in decontam.digest(decontam.scan(clash, bench, block=200)).collect()}
+    assert all(again[i]["items_sha256"] == plain[i]["items_sha256"] and again[i]["item"] == "z" for i in plain)
 
 
 def test_quality(spark):

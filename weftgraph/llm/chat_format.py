@@ -6,9 +6,10 @@ comes with its loss spans: [start, end) code points of assistant texts, the end
 
 Turns are ordered by (turn, role, text); nulls first. A null role reads ``unknown``, a null text is
 empty; turns are equal if role and text are, null-safe. A conversation missing on one side is
-empty: prompt and that completion are empty texts. Rows with a null conversation id form one
-conversation. Repeated rows are repeated turns. The row of a pair is as long as its
-conversations are; nothing else is gathered. Extra columns are ignored.
+empty: prompt and that completion are empty texts. Rows with a null conversation id belong to no
+conversation: each is one of its own, so they never meet in one task. Repeated rows are repeated
+turns. An empty table gives no rows. The row of a pair is as long as its conversations are; nothing
+else is gathered. Extra columns are ignored; a text of any length is kept whole.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ TURN = "struct<turn:bigint,role:string,text:string>"
 
 
 def gather(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, turns): one row a conversation."""
+    """(conv_id, turns): one row a conversation, and one for each row with a null conversation id."""
     item = F.struct(F.col(turn).cast("bigint").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    return turns.groupBy(F.col(conv).alias("conv_id")).agg(F.sort_array(F.collect_list(item)).alias("turns"))
+    rows = turns.select(F.col(conv).alias("conv_id"), item.alias("item"))
+    lone = rows.where("conv_id is null").select("conv_id", F.array("item").alias("turns"))
+    whole = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("item")).alias("turns"))
+    return whole.unionByName(lone)
 
 
 def _piece(x: Column) -> Column:
@@ -37,16 +41,24 @@ def render(turns: Column) -> Column:
     return F.concat_ws("", F.transform(turns, lambda x: _piece(x)["all"]))
 
 
-def loss_spans(turns: Column) -> Column:
-    """array<struct<begin, end>> of assistant texts within render(turns)."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("spans"))
+def _upto(sizes: Column) -> Column:
+    """Prefix sums of an array by doubling: each round adds what stands 1, 2, 4, ... places before."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda k: k < F.size(sizes))
+
+    def add(acc: Column, k: Column) -> Column:
+        moved = F.concat(F.array_repeat(F.lit(0).cast("bigint"), k), F.slice(acc, F.lit(1), F.size(acc) - k))
+        return F.zip_with(acc, moved, lambda x, y: x + y)
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + p["head"]
-        end = begin + p["body"]
-        return F.struct(end.alias("at"), F.when(p["on"], F.concat(acc["spans"], F.array(F.struct(begin.alias("begin"), end.alias("end"))))).otherwise(acc["spans"]).alias("spans"))
+    return F.aggregate(steps, sizes, add)
 
-    return F.aggregate(F.transform(turns, _piece), zero, step, lambda acc: acc["spans"])
+
+def loss_spans(turns: Column) -> Column:
+    """array<struct<begin, end>> of assistant texts within render(turns)."""
+    pieces = F.transform(turns, _piece)
+    ends = _upto(F.transform(pieces, lambda p: p["head"] + p["body"]))
+    span = lambda p, end: F.struct((end - p["body"]).alias("begin"), end.alias("end"), p["on"].alias("on"))
+    own = F.filter(F.zip_with(pieces, ends, span), lambda x: x["on"])
+    return F.transform(own, lambda x: F.struct(x["begin"], x["end"]))
 
 
 def spans_text(spans: str) -> Column:

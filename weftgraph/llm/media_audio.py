@@ -6,11 +6,13 @@ exact duration in samples with the byte offset of every frame. Where the next he
 follow, it moves on byte by byte until two consistent headers stand one frame apart, counting
 what it skipped. ``pack`` writes a payload as ancillary data of silent MPEG-1 layer III frames
 (48 kHz, mono, CRC, variable bit rate) after an ID3v2.3 tag with the length and a Xing frame with
-table of contents; ``payload`` reads it back.
+table of contents; ``payload`` reads it back. An ID3v1 tag ends the stream, so that payload never
+stands where a reader looks for that tag, whatever its bytes are.
 
 A null text is empty; every payload is padded with bytes 0 to a positive multiple of 64. An empty
-or foreign byte string parses to no frames. Equal texts give equal streams. Extra columns are
-ignored. A row's memory is a small multiple of its text.
+or foreign byte string parses to no frames, an empty table gives no rows. Equal texts give equal
+streams. Only the id and the text are read: other columns, of whatever names, are ignored. A row's
+memory is a small multiple of its text, however long.
 """
 
 from __future__ import annotations
@@ -189,6 +191,8 @@ def parse(data: bytes) -> Stream:
     return out
 
 
+#: Fixed value of the format: an ID3v1 tag is 128 bytes, here with the title "payload" and no genre.
+ID3V1 = b"TAG" + b"payload".ljust(124, b"\0") + b"\xff"
 _SIZES = [3 * k for k in BITRATES[1, 3][1:]]  # bytes of 48 kHz frames
 _OVER = 4 + 2 + 17
 _HEADS = []
@@ -199,7 +203,7 @@ _ROOM = [s - _OVER for s in _SIZES]
 
 
 def pack(payload: bytes) -> bytes:
-    """An MPEG-1 layer III stream that carries payload: full frames at 320 kbit/s, the last as small as it can be."""
+    """An MPEG-1 layer III stream that carries payload: full frames at 320 kbit/s, the last as small as it can be, then an ID3v1 tag."""
     frames, at, top = [], 0, _ROOM[-1]
     while at < len(payload):
         part = payload[at : at + top]
@@ -217,7 +221,7 @@ def pack(payload: bytes) -> bytes:
         pos += len(f)
     toc = bytes(min(255, 256 * ends[i * len(frames) // 100] // total) if frames else 0 for i in range(100))
     xing = b"\xff\xfb\x34\xc0" + bytes(17) + b"Xing" + struct.pack(">III", 7, len(frames), total) + toc
-    return tag + xing.ljust(144, b"\0") + body
+    return tag + xing.ljust(144, b"\0") + body + ID3V1
 
 
 def payload(data: bytes, stream: Stream) -> bytes:

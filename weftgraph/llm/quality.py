@@ -8,9 +8,12 @@ expression over the statistic columns, inside whole-stage code generation.
 The fit uses at most ``max_train`` labelled rows (those with the smallest hash of the id): a
 documented bound of driver memory; the statistics and scores cover all rows.
 
-A null text counts as empty; empty texts have statistics 0 and are scored. Null labels are not
-learned from; a repeated label of an id is averaged and rounded. With labels of one kind only (or
-none) the score is their smoothed share. Extra columns are ignored; repeated rows score alike.
+A null text counts as empty; empty texts have statistics 0 and are scored; a text of any length is
+read whole. Null labels and labels of a null id are not learned from; a repeated label of an id is
+averaged and rounded. With labels of one kind only (or none) the score is their smoothed share. An
+empty table gives no rows. Repeated rows score alike. ``score`` reads the id and the text only, so
+columns of any name are ignored; ``with_statistics`` keeps other columns and replaces those named
+as the statistics.
 """
 
 from __future__ import annotations
@@ -213,18 +216,53 @@ def fit(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = STATS, trees: int
     return model
 
 
-def train(stats: DataFrame, labels: DataFrame, allowed: Column, max_train: int = 20_000, doc_id: str = "doc_id", label: str = "quality") -> RuleModel:
-    """Fits on the labelled rows of stats for which allowed holds."""
-    own = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.round(F.avg(label)).alias("__y"))
-    rows = stats.where(allowed).join(own, F.col(doc_id) == F.col("__id")).select("__y", *STATS, F.xxhash64("__id").alias("__h"), "__id")
-    got = rows.orderBy("__h", "__id").limit(max_train).toPandas()
-    return fit(got[list(STATS)].to_numpy(np.float64), got["__y"].to_numpy(np.float64))
-
-
-def score(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs; labels of held-out rows are never read into the fit."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def train(
+    stats: DataFrame,
+    labels: DataFrame,
+    allowed: Column,
+    max_train: int = 20_000,
+    doc_id: str = "doc_id",
+    label: str = "quality",
+) -> RuleModel:
+    """Fits on the labelled rows of stats for which allowed holds: those with the smallest hashes of the id.
+
+    Labels are keyed by the id of stats. A first pass counts the rows; a bound on the hash then keeps
+    max_train of them and a margin, so that no task sends more than its share to the driver.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
+    own = known.groupBy(F.col(doc_id).alias("__id")).agg(F.round(F.avg(label)).alias("__y"))
+    rows = stats.where(allowed).join(own, F.col(doc_id) == F.col("__id"))
+    rows = rows.select("__y", *STATS, F.xxhash64("__id").alias("__h"), "__id")
+    n = own.count()
+    if n > 2 * max_train:  # rows of labels, not of documents: where these repeat, the margin only grows
+        shares = rows.select("__h").agg(*[F.count_if(F.col("__h") <= _bound(k)).alias(f"k{k}") for k in range(65)]).first()
+        least = next(k for k in range(65) if shares[k] >= max_train or k == 64)
+        rows = rows.where(F.col("__h") <= _bound(least))
+    got = rows.orderBy("__h", "__id").limit(max_train).toArrow()
+    x = np.stack([got[c].to_numpy() for c in STATS], axis=1) if got.num_rows else np.zeros((0, len(STATS)))
+    return fit(x.astype(np.float64), got["__y"].to_numpy().astype(np.float64))
+
+
+def _bound(k: int) -> int:
+    """Upper end of the lowest k + 1 steps of a geometric ladder over all 64-bit hashes (each 1.25 times the one before)."""
+    return min((1 << 63) - 1, int((1 << 64) * 1.25 ** (k - 64)) - (1 << 63))
+
+
+def score(
+    docs: DataFrame,
+    labels: DataFrame,
+    held_out: Column,
+    threshold: float = 0.3,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs; labels of held-out rows are never read into the fit.
+
+    held_out is a condition on the id (as ``doc_id``); labels has the columns doc_id and quality.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     stats = materialize(with_statistics(rows, "text", drop=("text",)), "quality").withColumn("held_out", held_out)
-    model = train(stats, labels.withColumnRenamed(doc_id, "doc_id") if doc_id != "doc_id" else labels, ~F.col("held_out"))
+    own = labels.withColumnRenamed(doc_id, "doc_id") if doc_id != "doc_id" else labels
+    model = train(stats, own, ~F.col("held_out"))
     scored = stats.select("doc_id", "held_out", model.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

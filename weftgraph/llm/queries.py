@@ -43,8 +43,9 @@ def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = media_audio.store_and_read(read(spark, sf_dir, "documents"), seek_table=False)
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_samples")
+    out = media_audio.store_and_read(read(spark, sf_dir, "documents"))
+    digest = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+    return out.select(*digest, "feature", "n_frames", "n_samples", "sample_rate", "seek_offsets", "bad_crc", "skipped_bytes")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.scan(docs, read(spark, sf_dir, "benchmark"), drop=("text",))
-    return decontam.digest(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return decontam.digest(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

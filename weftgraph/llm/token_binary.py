@@ -17,6 +17,7 @@ quantiles of the document id. A heavily repeated id spans several parts by a has
 A null text is empty (just the end id). A null document id sorts first. Repeated ids are all kept,
 ordered by a hash of their tokens. An empty table gives no shard. Extra columns are ignored. The
 dictionary is trained on about ``samples`` documents (lowest hashes of the id), part of the format.
+A text of any length is one frame.
 """
 
 from __future__ import annotations
@@ -44,6 +45,10 @@ _SAFE = re.compile(r"[!-~\w]")
 _EASY = "^\n?[!-~\u00c0-\u024f]+$"
 _TAILED = "^(?P<bare>(?s:.*)[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])(?P<tail>[.,;:!?|*#&%$@()]+)$"
 _KEPT = 450_000
+#: Ids of a training sample of the dictionary.
+PIECE = 4096
+#: Fixed value of the format: how a trained dictionary begins.
+_TRAINED = (0xEC30A437).to_bytes(4, "little")
 
 
 def _is_byte_level(tokenizer) -> bool:
@@ -195,19 +200,36 @@ def _wide(ids: bytes, width: int) -> bytes:
     return ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, width: int, rows: int, samples: int = 400, size: int = 32_768, doc_id: str = "doc_id", text: str = "text") -> bytes:
-    """A zstandard dictionary from the serialised ids of about `samples` of the table's rows (lowest hashes of the id); empty if there are too few."""
+def train_dictionary(
+    docs: DataFrame,
+    tokenizer: str,
+    width: int,
+    rows: int,
+    samples: int = 400,
+    size: int = 32_768,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> bytes:
+    """A zstandard dictionary from the serialised ids of about `samples` of the table's rows (lowest hashes of the id).
+
+    Texts of any length take part, long ones as several samples of ``PIECE`` ids. Where the ids are
+    too few or too alike for the trainer, their last `size` bytes are the dictionary as they stand,
+    which the format's readers take alike; it is empty only if the sample has no text.
+    """
     import zstandard
 
     share = min(1.0, samples / max(1, rows))
     most = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
-    picked = docs.select(doc_id, text).where((F.xxhash64(doc_id) <= most) & F.length(text).between(1, 20_000)).limit(4 * samples)
-    encoder = _encoder(tokenizer)
-    data = [_narrow(encoder.encode(t), width) for _, t in sorted(((r[0] is None, r[0] or 0), r[1]) for r in picked.collect())]
+    picked = docs.select(doc_id, text).where((F.xxhash64(doc_id) <= most) & (F.length(text) > 0)).limit(4 * samples)
+    encoder, step = _encoder(tokenizer), PIECE * width
+    texts = sorted((r[0] is None, r[0] or 0, r[1]) for r in picked.collect())
+    whole = [_narrow(encoder.encode(t), width) for _, _, t in texts]
+    data = [ids[i : i + step] for ids in whole for i in range(0, len(ids), step)]
     try:
         return zstandard.train_dictionary(size, data).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b""
+        plain = b"".join(data)[-size:]
+        return plain if plain[:4] != _TRAINED else plain[4:]
 
 
 def _frames(tokenizer: str, dictionary: bytes, width: int, end: int, level: int):

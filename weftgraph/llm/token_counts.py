@@ -8,8 +8,8 @@ count in a table by which the texts are summed. No shuffle: each map task works
 Scores: log(1 / (rank + 2)) by a piece's rank in the public vocabulary, no training. A character
 outside the vocabulary costs one token a UTF-8 byte. Best score first, then fewer tokens.
 
-A null or blank text has 0 tokens. Pre-tokens are what white space separates, each preceded by
-the word mark. Pre-tokens over ``LONG`` characters are computed alone, not stored. Memory: at
+A null or blank text has 0 tokens; an empty table gives no rows; repeated rows count alike. Pre-tokens are what white space separates, each preceded by
+the word mark. Pre-tokens over ``LONG`` characters are put into a trie of their own each and not stored. Memory: at
 most ``HELD`` stored counts a worker, in two generations. Extra columns are kept; columns named
 as the results are replaced.
 """
