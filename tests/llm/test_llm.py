@@ -42,27 +42,103 @@ def test_language(docs):
     assert {r["lang_pred"] for r in langid.identify(docs.where("false"), F.lit(True)).union(langid.identify(docs, F.lit(False))).collect()} == {"und"}
 
 
-def test_kneser_ney_sums_to_one():
-    keys, _, _ = langid.grams([EN, EN[::-1]])
-    g, n = np.unique(keys, return_counts=True)
-    model = langid.build_model(["a"], np.zeros(len(g), int), g.astype(np.int64), n)
-    context = int(keys[20]) >> langid.BITS
-    every = np.array([context << langid.BITS | c for c in range(langid.CLASSES)], np.uint64)
-    assert abs(np.exp2(model.score(every)[:, 0].astype(float)).sum() - 1) < 1e-3
-
-
-def test_slots_keep_the_most_frequent(spark):
-    texts = [EN, FR, EN + " " + FR] * 3
-    df = spark.createDataFrame([(t, "a") for t in texts], "text string, lang string")
-    g, n = np.unique(np.concatenate([langid.grams([t])[0] for t in texts]), return_counts=True)
-    for slots in (1 << 22, 1 << 4):  # the second has fewer slots than 4-grams; 1024 is the least
-        bits = max(10, slots.bit_length() - 1)
-        best = {}
-        for key, count in zip(g.tolist(), n.tolist()):
-            slot = (key * int(langid._MIX) & (1 << 64) - 1) >> (64 - bits)
-            best[slot] = max(best.get(slot, (0, 0)), (count, -key))
-        top = langid.train(df, slots=slots).keys[-1]
-        assert sorted(top.tolist()) == sorted((np.array([-k for _, k in best.values()], np.uint64) * langid._MIX).tolist())
+def _classes_of(text):
+    """Letters lower-cased, any run of other characters as one boundary, a boundary before the text."""
+    out = [0]
+    for c in text:
+        c = ord(c.lower()[0]) if c.isalpha() else 0
+        if c or out[-1]:
+            out.append(c)
+    return out
+
+
+def _brute_models(texts):
+    """By language: order -> counts of n-grams as tuples, raw at order 4 and of different characters before below."""
+    models = {}
+    for lang in {x for _, x in texts}:
+        raw = collections.Counter()
+        for t, x in texts:
+            if x == lang:
+                seq = [0, 0, 0, *_classes_of(t)]
+                raw.update(tuple(seq[i : i + 4]) for i in range(len(seq) - 3))
+        levels = {4: raw}
+        for k in (3, 2, 1):
+            levels[k] = collections.Counter(g[1:] for g in levels[k + 1])
+        models[lang] = levels
+    return models
+
+
+def _brute_p(levels, gram):
+    """Interpolated Kneser-Ney by its definition."""
+    k = len(gram)
+    if not k:
+        return 1 / langid.CLASSES
+    own = levels[k]
+    ctx = [c for g, c in own.items() if g[:-1] == gram[:-1]]
+    lower = _brute_p(levels, gram[1:])
+    if not ctx:
+        return lower
+    n1, n2 = sum(c == 1 for c in own.values()), sum(c == 2 for c in own.values())
+    d = n1 / (n1 + 2 * n2) if n1 else 0.5
+    return max(own.get(gram, 0) - d, 0) / sum(ctx) + d * len(ctx) / sum(ctx) * lower
+
+
+LETTERS = [(EN, "en"), ("the rain in spain", "en"), (FR, "fr"), ("zażółć gęślą jaźń", "pl"), ("中文的語言模型", "zh"), ("語言 lang mix ABC", "zh"), ("a" * 9, "x")]
+
+
+def test_kneser_ney_against_its_definition(spark):
+    """Entropies of seen and unseen texts equal brute force, whatever the blocks and groups of the model."""
+    df = spark.createDataFrame(LETTERS * 2 + LETTERS[:2], "text string, lang string")
+    models = _brute_models(LETTERS * 2 + LETTERS[:2])
+    asked = [EN, FR, "rain le chat", "語 a", "zzz qqq", "żółw", "\U00020000\U00020001 中", "The Cat. SAT"]
+    for group, block in ((32, 4_000_000), (2, 60), (1, 10)):
+        model = langid.train(df, group=group, block=block)
+        assert model.langs == sorted(models) and (block > 1000) == (len(model.blocks) == 1)
+        got, _ = langid.score_texts(model, asked, most=20)
+        for i, text in enumerate(asked):
+            seq = [0, 0, 0, *langid._classes()[[ord(c) if c else 0 for c in ["", *text]]].tolist()]
+            seq = seq[:4] + [c for prev, c in zip(seq[3:], seq[4:]) if c or prev]
+            for j, lang in enumerate(model.langs):
+                bits = [-np.log2(_brute_p(models[lang], tuple(seq[k : k + 4]))) for k in range(len(seq) - 3)]
+                assert abs(np.mean(bits) - got[i, j]) < 2e-6, (text, lang)
+
+
+def test_kneser_ney_sums_to_one(spark):
+    model = langid.train(spark.createDataFrame([(EN, "a"), (EN[::-1], "a")], "text string, lang string"))
+    block = model.blocks[0]()
+    for text in (EN, "qx zz"):
+        context = int(langid.grams([text])[0][4]) >> langid.BITS
+        every = np.array([context << langid.BITS | c for c in range(langid.CLASSES)], np.uint64)
+        assert abs(np.exp2(block.score(every)[:, 0].astype(float)).sum() - 1) < 1e-3
+
+
+def test_language_of_many_and_of_few(spark, docs):
+    """More languages than a group has; a language of a single text that would calibrate; clashing columns; long texts."""
+    rng = random.Random(11)
+    words = {f"l{i:03}": ["".join(chr(97 + (i * 7 + rng.randrange(9)) % 26) + chr(0x430 + i % 32) for _ in range(4)) for _ in range(6)] for i in range(70)}
+    rows = [(i * 100 + k, " ".join(rng.choices(w, k=12)), x) for i, (x, w) in enumerate(words.items()) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(df, F.lit(True)).collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) > 0.97 * len(rows)
+    for text in ("solo uno", "otro dos", "tres cuatro", "cinco"):
+        one = langid.identify(spark.createDataFrame([(1, text, "es")], "doc_id long, text string, lang string"), F.lit(True)).first()
+        assert one["lang_pred"] == "es"
+    clash = docs.select("doc_id", "text", "lang", *[F.lit("x").alias(c) for c in ("bits", "key", "n", "training", "k", "limit")])
+    assert langid.identify(clash, F.lit(True)).where("key = 'x' and n = 'x'").count() == docs.count()
+    assert langid.identify(docs.where("false"), F.lit(True)).count() == 0
+    long = spark.createDataFrame([(1, EN, "en"), (2, FR, "fr"), (3, (FR + " ") * 40_000, None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(long, F.lit(True)).collect()}[3] == "fr"
+
+
+def test_rejection_holds_its_rate(spark):
+    """Of texts like the training texts few are beyond the limit; texts unlike any are."""
+    rng = random.Random(12)
+    words = {"en": EN.split(), "fr": FR.split()}
+    rows = [(i, " ".join(rng.choices(words["en" if i % 2 else "fr"], k=30)), "en" if i % 2 else "fr") for i in range(1500)]
+    rows += [(2000 + i, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(120)), None) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(df, F.pmod(id_crc(), F.lit(4)) != 2).collect()
+    assert all(r["rejected"] for r in got if r["doc_id"] >= 2000) and sum(r["rejected"] for r in got if r["doc_id"] < 2000) <= 2
 
 
 def test_token_counts(docs):

@@ -1,22 +1,32 @@
 """Language ID: interpolated Kneser-Ney character models, one per language.
 
-Training counts character 4-grams of all training texts in map tasks (sorted runs), sums them in
-one shuffle and builds the models on the driver. The tables have a proven bound: a language's
-4-grams are hashed into ``slots / languages`` slots, each slot keeps its most frequent 4-gram with
-that 4-gram's own count, so the driver and the broadcast hold at most ``slots`` top-order entries
-whatever the corpus size; a rarer 4-gram of the same slot is scored by back-off.
-Lookup tables are sorted arrays of hashed n-grams with one column per language. A text gets the
-language of the lowest cross-entropy per character; a text is rejected where that exceeds a limit
-calibrated for the language and length class on the training texts.
+Map tasks count the character 4-grams of all training texts in sorted runs, one shuffle sums them,
+and Spark derives all that the models are made of: continuation counts of the lower orders, the
+discounts, the probabilities and back-off weights of every n-gram seen. No n-gram is left out, so
+the model grows with the corpus.
+
+The model is cut into blocks: languages in groups of ``GROUP``, and within a group the n-grams by
+a hash of the two characters before the last one, on which every order above the second depends in
+full. As many blocks are made as keep each under ``BLOCK`` entries; orders 1 and 2 are part of
+each. The driver holds one block at a time; it makes sorted hash arrays with a column per language
+of it and broadcasts them. Workers read the texts once and go through the blocks for every stretch
+of texts, one block in memory at a time.
+
+A text gets the language of the lowest cross-entropy per character; ties go to the language first
+by code point. It is rejected where that exceeds a limit calibrated for the language and length
+class: one training text in ``LEFT_OUT``, by a hash of its content, is kept out of the counts, and
+the limit is at or beyond the entropy that a share of ``1 - FALSE`` of these texts stay within.
 
 Nulls and empties: a null text or one without a letter gives ``und``, score 0 and rejected; a null
-language is never learned from; without any training text everything is ``und``. Ties go to the
-language first by code point. Repeated rows are predicted alike. Extra columns are ignored by
-``predict`` and kept by ``identify``.
+language is never learned from; without any training text everything is ``und``. A language with
+no training text but left-out ones is learned from these. An empty table gives no rows. Texts of
+any length are read whole. Repeated rows are predicted alike. Extra columns are kept; those named
+as the results are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -26,25 +36,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import chunks, lean, materialize
+from weftgraph.llm.common import chunks, discard, lean, materialize
 
 ORDER = 4
-BITS = 12
+BITS = 16
 CLASSES = 1 << BITS
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = 1_000_003
 #: Upper ends of the length classes (letters) in which rejection is calibrated.
 LENGTHS = (20, 60, 200, 1000)
+#: Languages and entries of a block of the model.
+GROUP, BLOCK = 32, 4_000_000
+#: One training text in so many calibrates; the share of such texts that may be beyond the limit.
+LEFT_OUT, FALSE = 10, 0.001
 
 
 @lru_cache(1)
 def _classes() -> np.ndarray:
-    """Character class by code point: 0 for all but letters; letters lower-cased, high ones hashed into 12 bits."""
+    """Character class by code point: 0 for all but letters; letters lower-cased.
+
+    Letters beyond the basic plane are hashed into the code points of surrogates and of private
+    use, where no letter is; so no two letters of the basic plane share a class.
+    """
     table = np.zeros(0x110000, np.uint16)
     for point in range(0x110000):
         c = chr(point)
         if c.isalpha():
             low = ord(c.lower()[0])
-            table[point] = low if low < CLASSES else 1 + (low * 2654435761 >> 7) % (CLASSES - 1)
+            table[point] = low if low < CLASSES else 0xD800 + low * 2654435761 % (0xF900 - 0xD800)
     return table
 
 
@@ -70,16 +89,16 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, doc, counts
 
 
-def _count_rows(langs: list[str], bits: int):
-    """Map task: (lang, slot, key, n) of all its rows, merged in sorted runs of bounded size."""
+def _count_rows(langs: list[str]):
+    """Map task: (lang, key, n) of all its rows, merged in sorted runs of bounded size."""
     index = {x: i for i, x in enumerate(langs)}
 
     def flush(held: dict):
         for i, parts in held.items():
             keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
             n = np.bincount(at, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
-            slot = (keys * _MIX) >> np.uint64(64 - bits)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(slot.astype(np.int64)), pa.array(keys.astype(np.int64)), pa.array(n)], names=["lang", "slot", "key", "n"])
+            cols = [pa.array(np.full(len(keys), i, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(cols, names=["lang", "key", "n"])
 
     def run(batches):
         held: dict[int, list] = {}
@@ -103,11 +122,77 @@ def _count_rows(langs: list[str], bits: int):
     return lean(run)
 
 
+def _suffix(key: str, order: int) -> Column:
+    """The last `order` characters of an n-gram."""
+    return F.col(key).bitwiseAND(F.lit((1 << BITS * order) - 1))
+
+
+def probabilities(counted: DataFrame) -> DataFrame:
+    """(lang, ord, kind, key, value) from (lang, key, n) of 4-grams: kind 0 has p of each n-gram, kind 1 gamma of each context.
+
+    Interpolated Kneser-Ney: raw counts at order 4, below it the number of different characters
+    before an n-gram; one discount a language and order, n1 / (n1 + 2 n2), or 0.5 without n1.
+    """
+    top = counted.groupBy("lang", "key").agg(F.sum("n").cast("double").alias("c"))
+    levels = {ORDER: materialize(top, "langid_counts")}
+    for k in range(ORDER - 1, 0, -1):
+        shorter = levels[k + 1].groupBy("lang", _suffix("key", k).alias("key")).agg(F.count("*").cast("double").alias("c"))
+        levels[k] = materialize(shorter, "langid_counts")
+    ones = None
+    for k, level in levels.items():
+        own = level.groupBy("lang").agg(F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"))
+        own = own.withColumn("ord", F.lit(k))
+        ones = own if ones is None else ones.unionByName(own)
+    d = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(F.lit(0.5))
+    discounts = materialize(ones.select("lang", "ord", d.alias("d")), "langid_discounts")  # 4 rows a language
+    out, below = None, None
+    for k in range(1, ORDER + 1):
+        rows = levels[k].join(F.broadcast(discounts.where(F.col("ord") == k).drop("ord")), "lang")
+        rows = rows.withColumn("ctx", F.shiftrightunsigned("key", BITS))
+        totals = rows.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), (F.first("d") * F.count("*") / F.sum("c")).alias("gamma"))
+        totals = materialize(totals, "langid_contexts")
+        rows = rows.join(totals, ["lang", "ctx"])
+        if below is None:
+            base = F.lit(1.0 / CLASSES)
+        else:
+            lower = below.select("lang", F.col("key").alias("suffix"), F.col("value").alias("base"))
+            rows = rows.withColumn("suffix", _suffix("key", k - 1)).join(lower, ["lang", "suffix"])
+            base = F.col("base")
+        p = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("gamma") * base
+        below = materialize(rows.select("lang", "key", p.alias("value")), "langid_p")
+        own = below.select("lang", F.lit(k).alias("ord"), F.lit(0).alias("kind"), "key", "value")
+        ctx = totals.select("lang", F.lit(k).alias("ord"), F.lit(1).alias("kind"), F.col("ctx").alias("key"), F.col("gamma").alias("value"))
+        out = own.unionByName(ctx) if out is None else out.unionByName(own).unionByName(ctx)
+    done = materialize(out, "langid_model")
+    for table in (*levels.values(), discounts):
+        discard(table)
+    return done
+
+
+def _middle_column() -> Column:
+    """The two characters before an n-gram's last one (of a context: its last two); -1 for orders 1 and 2."""
+    shift = F.when(F.col("kind") == 0, F.shiftrightunsigned("key", BITS)).otherwise(F.col("key"))
+    return F.when(F.col("ord") >= 3, shift.bitwiseAND(F.lit((1 << 2 * BITS) - 1))).otherwise(F.lit(-1))
+
+
+def _block_column(blocks: int) -> Column:
+    middle = _middle_column()
+    return F.when(middle < 0, F.lit(-1)).otherwise(F.pmod(F.shiftright(middle * _SPREAD, 12), F.lit(blocks))).cast("int")
+
+
+def _block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
+    """Block of each 4-gram, as _block_column has it."""
+    middle = (keys >> np.uint64(BITS)) & np.uint64((1 << 2 * BITS) - 1)
+    return (middle * np.uint64(_SPREAD) >> np.uint64(12)) % np.uint64(blocks)
+
+
 @dataclass
-class Model:
+class Block:
     """Sorted hash arrays by order (1..4): n-gram hashes with log2 probabilities and context hashes with log2 back-off weights, a column per language."""
 
-    langs: list[str]
+    first: int  # number of its first language
+    part: int  # of `parts` blocks of these languages
+    parts: int
     keys: list[np.ndarray]
     logp: list[np.ndarray]
     contexts: list[np.ndarray]
@@ -115,105 +200,147 @@ class Model:
 
     def score(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
         """log2 p of each key's last character after its context, a column per language."""
+        width = self.logp[0].shape[1]
         if order == 0:
-            return np.full((len(keys), len(self.langs)), -float(BITS), np.float32)
+            return np.full((len(keys), width), -float(BITS), np.float32)
         at, found = _find(self.keys[order - 1], keys)
-        out = self.logp[order - 1][at]
+        out = self.logp[order - 1][at] if len(self.keys[order - 1]) else np.zeros((len(keys), width), np.float32)
         if not found.all():
             rest = keys[~found]
             lower = self.score(rest & np.uint64((1 << BITS * (order - 1)) - 1), order - 1)
             at, known = _find(self.contexts[order - 1], rest >> np.uint64(BITS))
-            out[~found] = lower + np.where(known[:, None], self.backoff[order - 1][at], np.float32(0))
+            lower[known] += self.backoff[order - 1][at[known]]
+            out[~found] = lower
         return out
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
     hashed = keys * _MIX
     at = np.minimum(np.searchsorted(table, hashed), len(table) - 1)
     return at, table[at] == hashed
 
 
-def build_model(langs: list[str], lang: np.ndarray, key: np.ndarray, n: np.ndarray) -> Model:
-    """Interpolated Kneser-Ney: raw counts at order 4, continuation counts below, one discount an order."""
-    per: list[list[tuple]] = [[] for _ in langs]  # of a language by order: grams, p, contexts, gamma
-    for i in range(len(langs)):
-        own = np.argsort(key[lang == i])
-        g, c = key[lang == i][own].astype(np.uint64), n[lang == i][own].astype(np.float64)
-        levels = []
-        for k in range(ORDER, 0, -1):
-            levels.append((g, c))
-            g, c = np.unique(g & np.uint64((1 << BITS * (k - 1)) - 1), return_counts=True)
-            c = c.astype(np.float64)
-        below = None
-        for k in range(1, ORDER + 1):
-            g, c = levels[ORDER - k]
-            n1, n2 = float((c == 1).sum()), float((c == 2).sum())
-            d = n1 / (n1 + 2 * n2) if n1 else 0.5
-            ctx, at = np.unique(g >> np.uint64(BITS), return_inverse=True)
-            total, kinds = np.bincount(at, weights=c), np.bincount(at)
-            gamma = d * kinds / total
-            base = 1 / CLASSES if below is None else below[1][np.searchsorted(below[0], g & np.uint64((1 << BITS * (k - 1)) - 1))]
-            p = np.maximum(c - d, 0) / total[at] + gamma[at] * base
-            per[i].append((g, p, ctx, gamma))
-            below = (g, p)
+def make_block(first: int, width: int, part: int, parts: int, rows: pa.Table) -> Block:
+    """A block from its rows (lang, ord, kind, key, value); what a language has not seen is filled in by back-off."""
+    lang, order, kind, value = (rows[c].to_numpy() for c in ("lang", "ord", "kind", "value"))
+    key = rows["key"].to_numpy().view(np.uint64)
     keys, logp, contexts, backoff = [], [], [], []
     lower = None
     for k in range(1, ORDER + 1):
-        every = np.unique(np.concatenate([p[k - 1][0] for p in per]))
-        ctxs = np.unique(np.concatenate([p[k - 1][2] for p in per]))
-        probs, gammas = np.empty((len(every), len(langs))), np.ones((len(ctxs), len(langs)))
-        down = None if k == 1 else np.searchsorted(lower[0], every & np.uint64((1 << BITS * (k - 1)) - 1))
-        up = np.searchsorted(ctxs, every >> np.uint64(BITS))
-        for i, levels in enumerate(per):
-            g, p, ctx, gamma = levels[k - 1]
-            gammas[np.searchsorted(ctxs, ctx), i] = gamma
-            probs[:, i] = gammas[up, i] * (1 / CLASSES if down is None else lower[1][down, i])
-            probs[np.searchsorted(every, g), i] = p
+        own, ctx = (order == k) & (kind == 0), (order == k) & (kind == 1)
+        every, at = np.unique(key[own], return_inverse=True)
+        ctxs, ctx_at = np.unique(key[ctx], return_inverse=True)
+        gammas = np.ones((len(ctxs), width))
+        gammas[ctx_at, lang[ctx] - first] = value[ctx]
+        if k == 1:
+            base = np.full((len(every), width), 1 / CLASSES)
+        else:
+            down = np.searchsorted(lower[0], every & np.uint64((1 << BITS * (k - 1)) - 1))
+            base = lower[1][down]
+        probs = gammas[np.searchsorted(ctxs, every >> np.uint64(BITS))] * base
+        probs[at, lang[own] - first] = value[own]
         lower = (every, probs)
         by, by_ctx = np.argsort(every * _MIX), np.argsort(ctxs * _MIX)
         keys.append((every * _MIX)[by])
         logp.append(np.log2(probs[by]).astype(np.float32))
         contexts.append((ctxs * _MIX)[by_ctx])
         backoff.append(np.log2(gammas[by_ctx]).astype(np.float32))
-    return Model(langs, keys, logp, contexts, backoff)
+    return Block(first, part, parts, keys, logp, contexts, backoff)
+
+
+@dataclass
+class Model:
+    """Languages in code-point order and, for each block, what loads it: a broadcast, or the block itself."""
 
+    langs: list[str]
+    blocks: list[Callable[[], Block]]
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int = 1 << 22, max_langs: int = 256) -> Model | None:
-    """Fits the models on all rows whose text and language are not null; None without any.
 
-    slots bounds the top-order entries of all models together; more than max_langs languages is an error.
-    """
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    langs = sorted(r[0] for r in rows.select("lang").distinct().limit(max_langs + 1).collect())
-    if len(langs) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+class _Shared:
+    """A broadcast block. One block is kept unpacked in a worker; others are read anew from Spark's file of the broadcast."""
+
+    held: tuple[int, Block] | None = None
+
+    def __init__(self, broadcast, alone: bool):
+        self.broadcast, self.alone = broadcast, alone
+
+    def __call__(self) -> Block:
+        if self.alone or not getattr(self.broadcast, "_path", None):
+            return self.broadcast.value
+        if _Shared.held is None or _Shared.held[0] != id(self.broadcast):
+            _Shared.held = None
+            _Shared.held = (id(self.broadcast), self.broadcast.load_from_path(self.broadcast._path))
+        return _Shared.held[1]
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", group: int = GROUP, block: int = BLOCK) -> Model | None:
+    """Fits the models on all rows whose text and language are not null; None without any."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    rows = rows.where("text is not null and lang is not null")
+    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())  # a row a language
     if not langs:
         return None
-    bits = max(10, (slots // len(langs)).bit_length() - 1)
-    counted = rows.mapInArrow(_count_rows(langs, bits), "lang int, slot long, key long, n long")
-    # one shuffle: a slot holds all counts of its 4-grams, so both groupings run where they are
-    summed = counted.repartition("lang", "slot").groupBy("lang", "slot", "key").agg(F.sum("n").alias("n"))
-    most = F.max(F.struct("n", (-F.col("key")).alias("key"))).alias("most")
-    got = summed.groupBy("lang", "slot").agg(most).select("lang", (-F.col("most.key")).alias("key"), F.col("most.n").alias("n")).toArrow()
-    if not got.num_rows:
+    table = probabilities(rows.mapInArrow(_count_rows(langs), "lang int, key long, n long"))
+    sizes = table.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("ord") <= 2).alias("fixed")).collect()
+    sizes = {r["lang"]: (r["n"], r["fixed"]) for r in sizes if r["n"]}
+    if not sizes:
         return None
-    lang_ix = got["lang"].to_numpy()
-    known = sorted(set(lang_ix.tolist()))
-    lang_ix = np.searchsorted(known, lang_ix)
-    return build_model([langs[i] for i in known], lang_ix, got["key"].to_numpy(), got["n"].to_numpy())
-
-
-def score_texts(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    names, number = [langs[i] for i in sorted(sizes)], {old: new for new, old in enumerate(sorted(sizes))}
+    renumber = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])
+    blocks = []
+    for first in range(0, len(names), group):
+        own = [i for i in sizes if first <= number[i] < first + group]
+        parts = max(1, -(-sum(n - fixed for n, fixed in map(sizes.get, own)) // block))
+        members = table.where(F.col("lang").isin(own)).withColumns({"part": _block_column(parts), "lang": renumber[F.col("lang")]})
+        for part in range(parts):
+            got = members.where(F.col("part").isin(-1, part)).drop("part").toArrow()
+            made = make_block(first, min(group, len(names) - first), part, parts, got)
+            alone = parts == 1 and len(names) <= group
+            blocks.append(_Shared(spark.sparkContext.broadcast(made), alone))
+    discard(table)
+    return Model(names, blocks)
+
+
+def score_texts(model: Model, texts: list[str | None], most: int = 8_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Cross-entropy in bits per character for each text and language, and letters per text."""
     out, letters = np.zeros((len(texts), len(model.langs))), np.zeros(len(texts), np.int64)
+    places = np.zeros(len(texts))
+    for stretch in _stretches(texts, most if len(model.blocks) > 1 else 1):
+        held = []
+        for begin, part in stretch:
+            keys, doc, n = grams(part)
+            letters[begin : begin + len(part)] = n
+            places[begin : begin + len(part)] = np.bincount(doc, minlength=len(part))
+            held.append((begin + doc.astype(np.int64), keys))
+        for load in model.blocks:
+            own = load()
+            for doc, keys in held:
+                if own.parts > 1:
+                    here = np.flatnonzero(_block_of(keys, own.parts) == own.part)
+                    doc, keys = doc[here], keys[here]
+                if not len(keys):
+                    continue
+                bits = own.score(keys)
+                starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+                width = bits.shape[1]
+                out[doc[starts], own.first : own.first + width] -= np.add.reduceat(bits, starts, axis=0, dtype=np.float64)
+    return out / np.maximum(places, 1)[:, None], letters
+
+
+def _stretches(texts: list[str | None], most: int) -> Iterator[list[tuple[int, list[str]]]]:
+    """Chunks of texts, as many together as have about `most` characters."""
+    held, size = [], 0
     for begin, part in chunks(texts):
-        keys, doc, n = grams(part)
-        bits = model.score(keys)
-        starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        own = begin + doc[starts]
-        out[own] = -np.add.reduceat(bits, starts, axis=0, dtype=np.float64) / np.diff(np.r_[starts, len(doc)])[:, None]
-        letters[begin : begin + len(part)] = n
-    return out, letters
+        held.append((begin, part))
+        size += sum(map(len, part))
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _judge(entropy: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,19 +357,19 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     names = ["lang_pred", "score", "bits", "n_letters"]
     kept = docs.drop(*names)
     if model is None:
-        return kept.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "bits": F.lit(None).cast("double"), "n_letters": F.lit(0).cast("long")})
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType()), T.StructField("n_letters", T.LongType())])
+        nothing = {"lang_pred": F.lit("und"), "score": F.lit(0.0), "bits": F.lit(None).cast("double"), "n_letters": F.lit(0).cast("long")}
+        return kept.withColumns(nothing)
+    kinds = (T.StringType(), T.DoubleType(), T.DoubleType(), T.LongType())
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds))])
     at = kept.columns.index(text)
 
     def run(batches):
-        own = shared.value
         for batch in batches:
-            entropy, letters = score_texts(own, batch.column(at).to_pylist())
+            entropy, letters = score_texts(model, batch.column(at).to_pylist())
             best, score, low = _judge(entropy, letters)
             und = letters == 0
-            tags = [None if u else own.langs[i] for i, u in zip(best, und)]
-            more = [pa.array([x or "und" for x in tags]), pa.array(np.where(und, 0.0, score)), pa.array(low, mask=und), pa.array(letters)]
+            tags = pa.array(["und" if u else model.langs[i] for i, u in zip(best, und)], pa.string())
+            more = [tags, pa.array(np.where(und, 0.0, score)), pa.array(low, mask=und), pa.array(letters)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.fieldNames())
 
     return kept.mapInArrow(lean(run), schema)
@@ -255,21 +382,31 @@ def length_class(n: Column) -> Column:
     return out
 
 
-def reject_limits(scored: DataFrame, training: Column, quantile: float = 0.999) -> list[tuple[str, int, float]]:
-    """(language, length class, limit in bits): half way from the training texts' quantile to 8 bits a character.
+def left_out(text: str = "text") -> Column:
+    """Whether a training text calibrates; equal texts do alike."""
+    return F.coalesce(F.pmod(F.xxhash64(F.col(text)), F.lit(LEFT_OUT)) == 0, F.lit(False))
+
+
+def reject_limits(scored: DataFrame, calibrating: Column, false: float = FALSE) -> DataFrame:
+    """(lang_pred, k, limit): limit in bits a character by language and length class, five rows a language.
 
-    8 bits are what text unlike anything seen costs under these models; a class without training
-    texts rejects nothing. Rows: languages times 5.
+    A share `false` of the calibrating texts, which the models have not seen, is beyond the quantile
+    q. The limit is half way from q to 8 bits, what text unlike anything seen costs at least, so
+    that at most this share of texts like them is rejected; a class without calibrating texts
+    rejects nothing.
     """
-    rows = scored.where(training & F.col("bits").isNotNull()).groupBy("lang_pred", length_class(F.col("n_letters")).alias("k")).agg(F.percentile_approx("bits", quantile, 10000).alias("q")).collect()
-    return [(r["lang_pred"], r["k"], r["q"] + max(0.5, (8.0 - r["q"]) / 2)) for r in rows]
+    rows = scored.where(calibrating & F.col("bits").isNotNull())
+    q = F.percentile_approx("bits", 1 - false, 10000).alias("q")
+    found = rows.groupBy("lang_pred", length_class(F.col("n_letters")).alias("k")).agg(q)
+    return found.select("lang_pred", "k", (F.col("q") + F.greatest(F.lit(0.5), (8.0 - F.col("q")) / 2)).alias("limit"))
 
 
-def with_rejection(scored: DataFrame, limits: list[tuple[str, int, float]]) -> DataFrame:
-    limit = F.lit(None).cast("double")
-    for lang, k, most in limits:
-        limit = F.when((F.col("lang_pred") == lang) & (length_class(F.col("n_letters")) == k), F.lit(most)).otherwise(limit)
-    return scored.withColumn("rejected", F.col("bits").isNull() | F.coalesce(F.col("bits") > limit, F.lit(False)))
+def with_rejection(scored: DataFrame, limits: DataFrame) -> DataFrame:
+    """scored with rejected; limits (five rows a language) is broadcast."""
+    own = limits.select(F.col("lang_pred").alias("__lang"), F.col("k").alias("__k"), F.col("limit").alias("__limit"))
+    on = (F.col("lang_pred") == F.col("__lang")) & (length_class(F.col("n_letters")) == F.col("__k"))
+    beyond = F.col("bits").isNull() | F.coalesce(F.col("bits") > F.col("__limit"), F.lit(False))
+    return scored.join(F.broadcast(own), on, "left").withColumn("rejected", beyond).drop("__lang", "__k", "__limit")
 
 
 def identify(docs: DataFrame, training: Column, text: str = "text", lang: str = "lang", drop: tuple[str, ...] = ()) -> DataFrame:
@@ -277,7 +414,14 @@ def identify(docs: DataFrame, training: Column, text: str = "text", lang: str =
 
     The scored rows are written once; calibration and result both read that table.
     """
-    marked = docs.withColumn("training", F.coalesce(training, F.lit(False)))
-    model = train(marked.where("training"), text, lang)
+    known = F.col("training") & F.col(text).isNotNull() & F.col(lang).isNotNull()
+    marked = docs.withColumn("training", F.coalesce(training, F.lit(False))).withColumn("__left", known & left_out(text))
+    tag = F.col(lang).cast("string")
+    kinds = marked.where(known).groupBy(tag.alias("lang")).agg(F.count_if(~F.col("__left")).alias("n")).collect()
+    lone = [r["lang"] for r in kinds if not r["n"]]  # learned from left-out texts, as there are no others
+    if lone:
+        marked = marked.withColumn("__left", F.col("__left") & ~F.coalesce(tag.isin(lone), F.lit(False)))
+    model = train(marked.where(F.col("training") & ~F.col("__left")), text, lang)
     scored = materialize(predict(marked, model, text).drop(*drop), "langid")
-    return with_rejection(scored, reject_limits(scored, F.col("training")))
+    limits = materialize(reject_limits(scored, F.col("__left")), "langid_limits")
+    return with_rejection(scored, limits).drop("__left")
