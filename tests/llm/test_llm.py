@@ -331,9 +331,71 @@ def test_simhash(spark, docs):
     assert out.count() == docs.count()
     got = {r["doc_id"]: r for r in out.collect()}
     assert got[0]["fp"] == got[1]["fp"] == got[2]["fp"] == 0 and got[2]["component_id"] == 0 and got[5]["component_id"] == 4
+    from xxhash import xxh64_intdigest
+
+    for i, t in enumerate(TEXTS):  # bits by their definition
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode()
+        words = [w for w in re.split(rb"[\x20\x09-\x0D]+", words) if w]
+        parts = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+        h = [xxh64_intdigest(p, 42) for p in parts]
+        want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        assert got[i]["fp"] & (1 << 64) - 1 == want
+    assert simhash.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_pivots_discard_no_link(spark):
+    """In a bucket of any size the interval search finds the components that all pairs give."""
+    rng = np.random.default_rng(3)
+    for n, limit in ((2, 3), (300, 3), (900, 12)):
+        base = rng.integers(0, 1 << 64, max(1, n // 6), dtype=np.uint64)
+        fps = np.unique(base[rng.integers(0, len(base), n)] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (n, 5), dtype=np.uint64), axis=1))
+        pairs = simhash.bucket_links(fps, simhash.distance_table(fps, simhash._pivots()), limit)
+        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= limit
+        assert all(near[a, b] for a, b in pairs)
+        label, own = np.arange(len(fps)), np.arange(len(fps))
+        for _ in range(len(fps)):
+            new = np.where(near, label[None, :], len(fps)).min(axis=1)
+            if (new == label).all():
+                break
+            label = new
+        for a, b in pairs:
+            own[own == max(own[a], own[b])] = min(own[a], own[b])
+        assert (own == label).all()
+
+
+def test_similar_texts(spark, docs):
+    """keep_one drops copies and texts that share 80 % of their five-word shingles, and leaves others alone."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    rows, near = [], {}
+    for i in range(120):
+        words = [word() for _ in range(200)]
+        rows.append((i * 10, " ".join(words)))
+        for k in range(1, 4):
+            changed = list(words)
+            for _ in range(k):
+                changed[rng.randrange(200)] = word()
+            rows.append((i * 10 + k, " ".join(changed).upper()))
+            a, b = ({tuple(x[j : j + 5]) for j in range(196)} for x in (words, changed))
+            near[i * 10 + k] = len(a & b) / len(a | b)
+    crowd = [word() for _ in range(300)]  # many distinct near copies of one text
+    rows += [(5000 + i, " ".join([*crowd[:150], word(), *crowd[151:]])) for i in range(400)]
+    rows += [(9000, None), (9001, ""), (None, "alone and only once here"), (9002, "x"), (9003, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"fp": F.lit(7), "id": F.lit(8), "group": F.lit(9), "shares": F.lit(1)})
+    kept = {r["doc_id"] for r in simhash.keep_one(df).collect()}
+    assert simhash.keep_one(df).columns == df.columns and {i * 10 for i in range(120)} <= kept and {5000, 9000, None, 9002} <= kept
+    assert not kept & {9001, 9003} and len([i for i in kept if i and 5000 < i < 5400]) == 0
+    high = [i for i, j in near.items() if j >= 0.8]
+    assert len(high) > 300 and sum(i in kept for i in high) <= 0.02 * len(high)
+    marked = simhash.with_fingerprint(df.select("doc_id", "text", "id").withColumn("id", F.monotonically_increasing_id()), "text", 5, orders=simhash.SHARES)
+    texts = simhash.with_pivots(marked.groupBy("fp", "shares").agg(F.min("id").alias("id")))
+    from weftgraph.algorithms.stars import star_components
+
+    plain, cut = ({(r[0], r[1]) for r in star_components(simhash.similar_links(texts, crowd=m)).collect()} for m in (4096, 12))
+    assert abs(len({c for _, c in plain}) - len({c for _, c in cut})) <= 3
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and kept.where("doc_id = 5 or doc_id = 1").count() == 0 and kept.where("doc_id = 159").count() == 1
-    assert simhash.near_duplicates(docs.where("false")).count() == 0
+    assert simhash.keep_one(docs.where("false")).count() == 0
 
 
 def test_decontamination(spark, docs):

@@ -41,24 +41,27 @@ def render(turns: Column) -> Column:
     return F.concat_ws("", F.transform(turns, lambda x: _piece(x)["all"]))
 
 
-def _upto(sizes: Column) -> Column:
-    """Prefix sums of an array by doubling: each round adds what stands 1, 2, 4, ... places before."""
-    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda k: k < F.size(sizes))
+def _upto(pieces: Column) -> Column:
+    """Ends of the pieces by doubling: each round adds what stands 1, 2, 4, ... places before, so nothing is appended to."""
+    rounds = F.when(F.size(pieces) > 1, F.ceil(F.log2(F.size(pieces)))).otherwise(0).cast("int")
+    steps = F.slice(F.array(*[F.lit(1 << k) for k in range(31)]), F.lit(1), rounds)
 
     def add(acc: Column, k: Column) -> Column:
         moved = F.concat(F.array_repeat(F.lit(0).cast("bigint"), k), F.slice(acc, F.lit(1), F.size(acc) - k))
         return F.zip_with(acc, moved, lambda x, y: x + y)
 
-    return F.aggregate(steps, sizes, add)
+    return F.aggregate(steps, F.transform(pieces, lambda p: p["head"] + p["body"]), add)
 
 
 def loss_spans(turns: Column) -> Column:
     """array<struct<begin, end>> of assistant texts within render(turns)."""
-    pieces = F.transform(turns, _piece)
-    ends = _upto(F.transform(pieces, lambda p: p["head"] + p["body"]))
     span = lambda p, end: F.struct((end - p["body"]).alias("begin"), end.alias("end"), p["on"].alias("on"))
-    own = F.filter(F.zip_with(pieces, ends, span), lambda x: x["on"])
-    return F.transform(own, lambda x: F.struct(x["begin"], x["end"]))
+
+    def spans(pieces: Column) -> Column:
+        own = F.filter(F.zip_with(pieces, _upto(pieces), span), lambda x: x["on"])
+        return F.transform(own, lambda x: F.struct(x["begin"], x["end"]))
+
+    return F.transform(F.array(F.transform(turns, _piece)), spans)[0]  # the pieces are made once
 
 
 def spans_text(spans: str) -> Column:

@@ -1,21 +1,33 @@
 """SimHash near-duplicates by pivot distance tables.
 
 Fingerprints: 64-bit majority over XXH64 (seed 42) of word shingles, repeats included. Distinct
-fingerprints within ``LIMIT`` bits are linked, and links make components.
-
-All pairs are never formed. The 64 bits are cut into 6 blocks; two fingerprints at 3 bits or fewer
-agree on at least 3 blocks, so comparing inside each of the 20 choices of 3 equal blocks loses no
-link. Inside such a bucket every member has a table of Hamming distances to ``PIVOTS`` reference
-fingerprints; a pair whose largest coordinate difference exceeds 3 is discarded (triangle
-inequality), the survivors are verified bit by bit. A bucket of more than ``MOST`` members is not
-compared at all but cut again: the bits not yet fixed are split in 4 parts, of which one must be
-equal. Members are distinct, so after the last cut a bucket has at most 2**14 members whatever
-the data: tasks stay bounded and the result exact. Of each bucket only a spanning forest of
-its links goes on.
+fingerprints within a limit of bits are linked, and links make components.
+
+Pivot tables are computed once, with the distinct fingerprints: ``PIVOTS`` bytes each, the Hamming
+distances to fixed reference fingerprints, stored beside the fingerprint and carried along. By the
+triangle inequality a pair within the limit differs by no more than it in any coordinate. So the
+members of a bucket are sorted by their first coordinate, only pairs in neighbouring distance
+intervals are looked at, those whose largest coordinate difference exceeds the limit are
+discarded, and the survivors are verified bit by bit. Of each bucket only a spanning forest of its
+links goes on.
+
+Pivots alone would leave a third of all pairs, so what may share a bucket is narrowed first:
+
+* up to 3 bits (``near_duplicates``): the 64 bits are cut into 6 blocks; two fingerprints at 3 bits
+  or fewer agree on at least 3 blocks, so comparing inside each of the 20 choices of 3 equal blocks
+  loses no link. A bucket of more than ``MOST`` members is not compared but cut again: the bits not
+  yet fixed are split in 4 parts, of which one must be equal. Members are distinct, so after the
+  last cut a bucket has at most 2**15: tasks stay bounded and the result exact.
+* beyond (``similar``, texts that share 80 % of their shingles and more): a bucket holds the texts
+  that have the same least shingle hash under one of ``SHARES`` hash orders; texts of similarity j
+  miss all of them with probability (1 - j)**SHARES, 0.0003 at 0.8. In a bucket of more than
+  ``CROWD`` a second order must agree (missed by 0.7 % at 0.8); a bucket that has more than that
+  even so is cut into slices, of which every two meet. Texts of an equal fingerprint are linked.
 
 A null text is empty; without a word the fingerprint is 0. Empty documents link like any other.
-Repeated rows share a fingerprint. An empty table gives no row. Extra columns are ignored by
-``near_duplicates`` and kept by ``keep_one``; columns of the results' names are replaced.
+Texts of any length are read whole. Repeated rows share a fingerprint. An empty table gives no row.
+Extra columns are ignored by ``near_duplicates`` and kept by ``keep_one``, whatever their names;
+names that begin with two underscores are the operator's own.
 """
 
 from __future__ import annotations
@@ -34,12 +46,14 @@ from weftgraph.llm.common import chunks, lean, materialize
 LIMIT = 3
 PIVOTS = 16
 MOST = 4096
+#: Bits of 64 by which texts of shingle similarity 0.8 and more differ, hash orders that bring them together, rows of a bucket.
+FAR, SHARES, CROWD = 12, 5, 512
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
 
-def fingerprints(texts: list[str], width: int = 3) -> np.ndarray:
-    """SimHash of each text as uint64."""
+def shingle_hashes(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of all shingles of all texts, repeats included, and their number in each text."""
     from xxhash import xxh64_intdigest as digest
 
     hashes, counts = [], []
@@ -55,29 +69,58 @@ def fingerprints(texts: list[str], width: int = 3) -> np.ndarray:
         begins = np.r_[0, ends[: n - width]].tolist()
         hashes += [digest(whole[b:e], 42) for b, e in zip(begins, (ends[width - 1 :] - 1).tolist())]
         counts.append(n - width + 1)
-    h = np.array(hashes, np.uint64)
-    counts = np.array(counts, np.int64)
-    out = np.zeros(len(texts), np.uint64)
-    doc = np.repeat(np.arange(len(texts)), counts) * 256
+    return np.array(hashes, np.uint64), np.array(counts, np.int64)
+
+
+def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Fingerprint of each text: a bit is 1 if it is in over half of the text's hashes."""
+    out = np.zeros(len(counts), np.uint64)
+    doc = np.repeat(np.arange(len(counts)), counts) * 256
     for byte in range(8):
-        table = np.bincount(doc + ((h >> np.uint64(8 * byte)) & np.uint64(255)).astype(np.int64), minlength=256 * len(texts)).reshape(-1, 256)
+        at = doc + ((h >> np.uint64(8 * byte)) & np.uint64(255)).astype(np.int64)
+        table = np.bincount(at, minlength=256 * len(counts)).reshape(-1, 256)
         ones = table @ _BITS > counts[:, None] / 2
         out |= (ones @ (1 << np.arange(8))).astype(np.uint64) << np.uint64(8 * byte)
     return out
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 3, drop: tuple[str, ...] = ()) -> DataFrame:
-    """docs (without drop) with the fingerprint as a signed long in `fp`."""
-    kept = docs.drop("fp")
+def fingerprints(texts: list[str], width: int = 3) -> np.ndarray:
+    """SimHash of each text as uint64."""
+    return majority(*shingle_hashes(texts, width))
+
+
+def least_hashes(h: np.ndarray, counts: np.ndarray, orders: int) -> np.ndarray:
+    """Least shingle hash of each text under each of some hash orders; the text without a shingle has 0."""
+    out = np.zeros((len(counts), orders), np.uint64)
+    some = np.flatnonzero(counts)
+    begins = (np.cumsum(counts) - counts)[some]
+    for k in range(orders):
+        mixed = (h ^ (h >> np.uint64(29))) * np.uint64(2 * (k + 1) * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1)
+        mixed ^= mixed >> np.uint64(32)
+        if len(some):
+            out[some, k] = np.minimum.reduceat(mixed, begins)
+    return out
+
+
+def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 3, drop: tuple[str, ...] = (), orders: int = 0) -> DataFrame:
+    """docs (without drop) with the fingerprint as a signed long in `fp`, and with orders its least hashes in `shares`."""
+    kept = docs.drop("fp", *["shares"] * bool(orders))
     at = kept.columns.index(text)
     names = [c for c in kept.columns if c not in drop]
-    schema = T.StructType([*(kept.schema[c] for c in names), T.StructField("fp", T.LongType())])
+    added = [T.StructField("fp", T.LongType())]
+    if orders:
+        added.append(T.StructField("shares", T.ArrayType(T.LongType())))
+    schema = T.StructType([*(kept.schema[c] for c in names), *added])
 
     def run(batches):
         for batch in batches:
-            parts = [fingerprints(part, width) for _, part in chunks(batch.column(at).to_pylist())]
-            fp = np.concatenate(parts).view(np.int64) if parts else np.array([], np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fp)], names=schema.fieldNames())
+            parts = [shingle_hashes(part, width) for _, part in chunks(batch.column(at).to_pylist())]
+            fp = np.concatenate([majority(*p) for p in parts]) if parts else np.zeros(0, np.uint64)
+            more = [pa.array(fp.view(np.int64))]
+            if orders:
+                least = np.concatenate([least_hashes(*p, orders) for p in parts]) if parts else np.zeros((0, orders), np.uint64)
+                more.append(pa.array(list(least.view(np.int64)), pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *more], names=schema.fieldNames())
 
     return kept.mapInArrow(lean(run), schema)
 
@@ -103,23 +146,44 @@ def close(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, limi
     return near
 
 
+def with_pivots(fps: DataFrame) -> DataFrame:
+    """fps with the column pivots: the distances of fp to the reference fingerprints, a byte each."""
+    schema = T.StructType([*fps.drop("pivots").schema.fields, T.StructField("pivots", T.BinaryType())])
+    kept, pivots = fps.drop("pivots"), _pivots()
+    at = kept.columns.index("fp")
+
+    def run(batches):
+        for batch in batches:
+            table = distance_table(batch.column(at).to_numpy().view(np.uint64), pivots)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in table], pa.binary())], names=schema.fieldNames())
+
+    return kept.mapInArrow(lean(run), schema)
+
+
 def bucket_links(fps: np.ndarray, table: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links in one bucket, as index pairs."""
+    """A spanning forest of the links in one bucket, as index pairs.
+
+    In order of the first pivot distance, each member meets those after it as long as they are in
+    its distance interval.
+    """
+    order = np.argsort(table[:, 0], kind="stable")
+    fps, table = fps[order], table[order]
     n, out = len(fps), []
     label = np.arange(n)
-    every = np.arange(n)
+    reach = np.searchsorted(table[:, 0], table[:, 0] + limit, side="right")  # end of each one's interval
+    far = np.arange(n)
     for step in range(1, n):
-        i, j = every[:-step], every[step:]
-        apart = label[i] != label[j]
-        i, j = i[apart], j[apart]
-        if not len(i):
-            continue
+        far = far[reach[far] > far + step]
+        if not len(far):
+            break
+        i = far[label[far] != label[far + step]]
+        j = i + step
         near = close(fps, table, i, j, limit)
         for a, b in zip(i[near].tolist(), j[near].tolist()):
             if label[a] != label[b]:
                 low, high = sorted((label[a], label[b]))
                 label[label == high] = low
-                out.append((a, b))
+                out.append((int(order[a]), int(order[b])))
         if not label.any():
             break
     return out
@@ -144,118 +208,150 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _compare(limit: int, most: int):
-    """Map task over rows (mask, bucket, fp) sorted by bucket: kind 0 rows are links, kind 1 rows members of cut buckets."""
-    pivots = _pivots()
+def _compare(limit: int, most: int | None):
+    """Map task over rows (mask, bucket, fp, pivots) sorted by bucket: kind 0 rows are links, kind 1 rows members of buckets to cut.
 
-    def small(fps, size, begin):
-        """Buckets of up to 8, all at once."""
+    Without most no bucket is cut. A bucket is held until it ends, or until it has more than most.
+    """
+
+    def small(fps, table, size, begin):
+        """Links in buckets of up to 8, all at once."""
         rows = np.flatnonzero((size > 1) & (size <= 8))
         if not len(rows):
-            return [], []
+            return None
         own = np.repeat(begin[rows], size[rows])
         at = own + (np.arange(len(own)) - np.repeat(np.cumsum(size[rows]) - size[rows], size[rows]))
         end = np.repeat(begin[rows] + size[rows], size[rows])
-        sub = fps[at]
-        table = distance_table(sub, pivots)
+        sub, near_table = fps[at], table[at]
         a, b = [], []
         for step in range(1, 8):
             i = np.flatnonzero(at + step < end)
-            near = close(sub, table, i, i + step, limit)
+            near = close(sub, near_table, i, i + step, limit)
             a.append(sub[i[near]])
             b.append(sub[i[near] + step])
-        return a, b
-
-    def emit(kind, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["kind", "a", "b"])
+        return emit(0, 0, np.concatenate(a), np.concatenate(b))
 
-    def linked(fps):
-        pairs = bucket_links(fps, distance_table(fps, pivots), limit)
-        return emit(0, fps[[p[0] for p in pairs]], fps[[p[1] for p in pairs]]) if pairs else None
+    def emit(kind, mask, a, b):
+        n = len(a)
+        cols = [pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, mask, np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))]
+        return pa.RecordBatch.from_arrays(cols, names=["kind", "mask", "a", "b"])
 
-    def cut(mask, fps):
-        for m in finer_masks(int(mask) & (1 << 64) - 1):
-            yield emit(1, np.full(len(fps), m, np.uint64), fps)
+    def large(mask, bucket, fps, table):
+        if most is not None and len(fps) > most:
+            yield emit(1, mask, np.full(len(fps), bucket, np.int64), fps)
+        elif len(fps) > 1 and (pairs := bucket_links(fps, table, limit)):
+            yield emit(0, 0, fps[[p[0] for p in pairs]], fps[[p[1] for p in pairs]])
 
     def run(batches):
-        held: list[np.ndarray] = []  # the bucket that the last batch ended in
-        at, over = None, False
+        at, held, over = None, [], False  # the bucket that the last batch ended in; over: it is to be cut
+
+        def end():
+            if held:
+                yield from large(*at, *(np.concatenate(x) for x in zip(*held)))
+
         for batch in batches:
-            mask, bucket, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            fps = fps.view(np.uint64)
+            if not batch.num_rows:
+                continue
+            mask, bucket, fps = (batch.column(k).to_numpy() for k in range(3))
+            fps, raw = fps.view(np.uint64), batch.column(3)
+            table = np.frombuffer(raw.buffers()[2], np.int8)
+            first = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset]
+            table = table[first : first + PIVOTS * len(fps)].reshape(-1, PIVOTS)
             begin = np.flatnonzero(np.r_[True, (mask[1:] != mask[:-1]) | (bucket[1:] != bucket[:-1])])
             size = np.diff(np.r_[begin, len(fps)])
-            a, b = [], []
-            if not len(fps):
-                continue
+            low, last = 0, len(begin) - 1
             if at == (mask[0], bucket[0]):
-                first = fps[: size[0]]
                 if over:
-                    yield from cut(mask[0], first)
+                    yield emit(1, mask[0], np.full(size[0], bucket[0], np.int64), fps[: size[0]])
                 else:
-                    held.append(first)
-                skip = True
-            else:
-                skip = False
-            last = len(begin) - 1
-            if held and (not skip or last > 0):
-                whole = np.concatenate(held)
-                if len(whole) > most:
-                    yield from cut(at[0], whole)
-                elif len(whole) > 1 and (out := linked(whole)) is not None:
+                    held.append((fps[: size[0]], table[: size[0]]))
+                low = 1
+            if low <= last:
+                yield from end()
+                inner = slice(low, last)
+                if (out := small(fps, table, size[inner], begin[inner])) is not None:
                     yield out
-                held = []
-            if not skip or last > 0:
-                over = False
-            inner = slice(1 if skip else 0, last)
-            if last > 0:
-                x, y = small(fps, size[inner], begin[inner])
-                a += x
-                b += y
-                for k in range(1 if skip else 0, last):
+                for k in range(low, last):
                     if size[k] > 8:
-                        own = fps[begin[k] : begin[k] + size[k]]
-                        if size[k] > most:
-                            yield from cut(mask[begin[k]], own)
-                        elif (out := linked(own)) is not None:
-                            yield out
-            if not (skip and last == 0):
-                held = [fps[begin[last] :].copy()]
-                at = (mask[begin[last]], bucket[begin[last]])
-            if sum(map(len, held)) > most:  # grows no further: what has come and what comes is cut
-                yield from cut(at[0], np.concatenate(held))
+                        own = slice(begin[k], begin[k] + size[k])
+                        yield from large(mask[begin[k]], bucket[begin[k]], fps[own], table[own])
+                at, over = (mask[begin[last]], bucket[begin[last]]), False
+                held = [(fps[begin[last] :].copy(), table[begin[last] :].copy())]
+            if most is not None and sum(len(x[0]) for x in held) > most:  # what has come and what comes is cut
+                yield from end()
                 held, over = [], True
-            if a:
-                yield emit(0, np.concatenate(a), np.concatenate(b))
-        if held:
-            whole = np.concatenate(held)
-            if len(whole) > 1 and (out := linked(whole)) is not None:
-                yield out
+        yield from end()
 
     return lean(run)
 
 
+def _compared(rows: DataFrame, limit: int, most: int | None) -> DataFrame:
+    """Links and members to cut of rows (mask, bucket, fp, pivots)."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("mask", "bucket", "fp", "pivots").repartition(parts, "mask", "bucket")
+    rows = rows.sortWithinPartitions("mask", "bucket", "fp")
+    return materialize(rows.mapInArrow(_compare(limit, most), "kind int, mask long, a long, b long"), "simhash")
+
+
 def links(fps: DataFrame, limit: int = LIMIT, most: int = MOST) -> DataFrame:
-    """(src, dst): enough links between distinct fingerprints (column fp) to span every component."""
+    """(src, dst): enough links between distinct fingerprints (column fp, and pivots if there) to span every component; exact."""
     if limit > LIMIT:
         raise ValueError(f"the blocks are made for {LIMIT} bits")
-    spark = fps.sparkSession
-    keys = fps.select("fp").distinct().select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in block_masks()])).alias("mask"))
+    own = fps if "pivots" in fps.columns else with_pivots(fps.select("fp").distinct())
+    keys = own.select("fp", "pivots", F.explode(F.array(*[F.lit(_signed(m)) for m in block_masks()])).alias("mask"))
     out = None
     for level in range(4):
-        rows = keys.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("bucket"), "fp")
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.repartition(parts, "mask", "bucket").sortWithinPartitions("mask", "bucket", "fp")
-        found = materialize(rows.mapInArrow(_compare(limit, most if level < 3 else 1 << 14), "kind int, a long, b long"), "simhash")
-        own = found.where("kind = 0").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-        out = own if out is None else out.union(own)
+        rows = keys.withColumn("bucket", F.col("mask").bitwiseAND(F.col("fp")))
+        found = _compared(rows, limit, most if level < 3 else None)
+        linked = found.where("kind = 0").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+        out = linked if out is None else out.union(linked)
         cut = found.where("kind = 1")
-        if cut.isEmpty():
+        if level == 3 or cut.isEmpty():
             return out
-        keys = cut.select(F.col("b").alias("fp"), F.col("a").alias("mask")).distinct()
+        masks = {r[0]: [_signed(m) for m in finer_masks(r[0] & (1 << 64) - 1)] for r in cut.select("mask").distinct().collect()}
+        finer = F.create_map(*[x for m, fine in masks.items() for x in (F.lit(m), F.array(*map(F.lit, fine)))])  # 20 masks, then 80, 320
+        again = cut.select(F.col("b").alias("fp"), F.explode(finer[F.col("mask")]).alias("mask")).distinct()
+        keys = again.join(own.select("fp", "pivots"), "fp")
     return out
 
 
+def similar_links(own: DataFrame, limit: int = FAR, crowd: int = CROWD, orders: int = SHARES) -> DataFrame:
+    """(src, dst): links between rows of own (id, fp, pivots, shares) within limit bits, over the buckets of equal least hashes.
+
+    ids are of distinct (fp, shares). Sizes are counted before anything is gathered: no task gets
+    more than about `crowd` rows of a bucket.
+    """
+    one = lambda k: F.lit(1 << k).cast("long")
+    has = lambda k: F.col("mask").bitwiseAND(one(k)) != 0
+    chosen = F.array(*[F.when(has(k), F.col("shares")[k]) for k in range(orders)])
+    bucket = F.xxhash64("mask", chosen)
+    kept = ("mask", "bucket", "fp", "pivots", "shares")
+    rows = own.select("fp", "pivots", "shares", F.explode(F.array(*[one(k) for k in range(orders)])).alias("mask"))
+    rows = rows.withColumn("bucket", bucket).select(*kept)
+    crowds = materialize(_crowds(rows, crowd), "crowds")
+    out = _compared(rows.join(crowds, ["mask", "bucket"], "left_anti"), limit, None).select("a", "b")
+    if not crowds.isEmpty():  # there, two orders must agree
+        more = F.filter(F.array(*[one(k) for k in range(orders)]), lambda m: F.col("mask").bitwiseAND(m) == 0)
+        pairs = rows.join(crowds, ["mask", "bucket"]).withColumn("mask", F.explode(F.transform(more, lambda m: F.col("mask").bitwiseOR(m))))
+        pairs = materialize(pairs.withColumn("bucket", bucket).select(*kept).distinct(), "crowded")
+        crowds = materialize(_crowds(pairs, crowd), "crowds")
+        out = out.union(_compared(pairs.join(crowds, ["mask", "bucket"], "left_anti"), limit, None).select("a", "b"))
+        if not crowds.isEmpty():  # every two slices of a bucket meet in a bucket of their own
+            slices = F.ceil(F.col("n") / (crowd / 2)).cast("long")
+            cut = pairs.join(crowds, ["mask", "bucket"]).withColumn("i", F.pmod(F.xxhash64("fp", "shares"), slices))
+            cut = cut.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)))
+            cut = cut.withColumn("bucket", F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j"))).select(*kept)
+            out = out.union(_compared(cut, limit, None).select("a", "b"))
+    by_fp = own.groupBy("fp").agg(F.min("id").alias("src"))
+    equal = own.select("id", "fp").join(by_fp, "fp").where("id <> src").select("src", F.col("id").alias("dst"))
+    a, b = by_fp.select(F.col("fp").alias("a"), "src"), by_fp.select(F.col("fp").alias("b"), F.col("src").alias("dst"))
+    return out.where("a <> b").distinct().join(a, "a").join(b, "b").select("src", "dst").union(equal)
+
+
+def _crowds(rows: DataFrame, crowd: int) -> DataFrame:
+    return rows.groupBy("mask", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, limit: int = LIMIT) -> DataFrame:
     """(doc_id, fp, component_id): the smallest document id reachable over links, itself included."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -265,7 +361,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def _components(marked: DataFrame, limit: int) -> DataFrame:
     """marked with component_id."""
-    own = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
+    own = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    own = materialize(with_pivots(own), "fingerprints")
     stars = star_components(links(own, limit))
     named = own.join(stars.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     named = materialize(named, "components")
@@ -274,21 +371,31 @@ def _components(marked: DataFrame, limit: int) -> DataFrame:
     return marked.join(materialize(by_fp, "components"), "fp", "left")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, limit: int = LIMIT) -> DataFrame:
-    """docs without near-duplicates: of each component the row of the smallest id stays, with all its columns.
+def similar(docs: DataFrame, text: str = "text", row: str = "__row", width: int = 5, limit: int = FAR) -> DataFrame:
+    """(row, group): rows of docs in groups of near-duplicates: the fingerprints of their five-word shingles agree in 80 % of the bits.
 
-    Among repeated rows of that id the one with the smallest (text hash, row number) stays; rows
-    with a null id are no one's copy and stay as they are.
+    group is the least row of a group.
     """
-    full = docs.withColumn("__row", F.monotonically_increasing_id())
-    full = materialize(full, "simhash_docs")
-    rows = full.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "__row")
-    marked = materialize(with_fingerprint(rows, "text", width, drop=("text",)), "fingerprints")
-    grouped = _components(marked, limit).where("doc_id is not null and doc_id = component_id")
-    kept = grouped.groupBy("component_id").agg(F.min("__row").alias("__row")).select("__row")
-    kept = kept.union(marked.where("doc_id is null").select("__row"))
-    out = full.join(kept, "__row", "left_semi").drop("__row")
-    return out
+    rows = docs.select(F.col(row).alias("id"), F.col(text).cast("string").alias("text"))
+    marked = materialize(with_fingerprint(rows, "text", width, drop=("text",), orders=SHARES), "similar")
+    texts = marked.groupBy("fp", "shares").agg(F.min("id").alias("id"))
+    texts = materialize(with_pivots(texts), "similar")
+    stars = materialize(star_components(similar_links(texts, limit)), "similar")
+    named = texts.select("fp", "shares", "id").join(stars, "id", "left").select("fp", "shares", F.coalesce("component", "id").alias("group"))
+    return marked.join(named, ["fp", "shares"]).select(F.col("id").alias(row), "group")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, limit: int = FAR) -> DataFrame:
+    """docs without near-duplicates (see similar): of each group the row of the smallest id stays, with all its columns.
+
+    Null ids come last. Among repeated rows of that id the one with the smallest row number stays.
+    """
+    full = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash_docs")
+    groups = similar(full, text, "__row", width, limit)
+    ids = full.select("__row", F.col(doc_id).alias("__id"))
+    order = F.struct(F.col("__id").isNull(), "__id", "__row")
+    kept = groups.join(ids, "__row").groupBy("group").agg(F.min(order)["__row"].alias("__row"))
+    return full.join(kept.select("__row"), "__row", "left_semi").drop("__row")
 
 
 def hex_fingerprint(column: str = "fp"):
