@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -293,6 +294,40 @@ def test_mixing(spark, docs):
     assert sum(f for (p, s), f in flow.items() if s == "a") == 15 and sum(f for (p, s), f in flow.items() if s == "b") == 12 and flow[1, "b"] >= 10
 
 
+def test_flow_is_the_cheapest():
+    """Route against an exhaustive search: quotas as full as can be, at the least cost of repetition."""
+    rng = random.Random(14)
+    for _ in range(60):
+        n, names = rng.randint(1, 3), "abc"
+        capacity = {p: rng.randint(1, 3) for p in range(n)}
+        members = {p: sorted(rng.sample(names, rng.randint(1, 2))) for p in range(n)}
+        quota = {s: rng.randint(0, 6) for s in sorted({s for m in members.values() for s in m})}
+        cost = lambda p, f: sum(max(0, f - k * capacity[p]) for k in (1, 2))
+        arcs = [(p, s) for p in capacity for s in members[p]]
+        best = None
+        for flow in itertools.product(*(range(min(quota[s], 3 * capacity[p]) + 1) for p, s in arcs)):
+            out, into = collections.Counter(), collections.Counter()
+            for (p, s), f in zip(arcs, flow):
+                out[p] += f
+                into[s] += f
+            if all(out[p] <= 3 * capacity[p] for p in capacity) and all(into[s] <= quota[s] for s in quota):
+                key = (-sum(flow), sum(cost(p, out[p]) for p in capacity))
+                best = key if best is None or key < best else best
+        got = mixing.route(capacity, members, quota)
+        assert (-sum(got.values()), sum(cost(p, f) for p, f in got.items())) == best
+    want = mixing.quotas({"a": 10, "b": 1000, "c": 0, "d": 5}, {"a": 5, "b": 1, "c": 3}, 1015)
+    assert want == {"d": 0.0, "c": 0.0, "a": 30.0, "b": 985.0}
+
+
+def test_mixing_of_very_many_sources(spark):
+    rows = [(i, " ".join(["w"] * (1 + i % 5)), f"s{i % 2500}", "x", "y") for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, target string, sources string")
+    out = mixing.mix(df, F.array("source"), keep=("target", "sources"))
+    assert out.count() == 5000 and out.where("taken > 3 * size or kept.target <> 'x'").count() == 0
+    few = mixing.mix(df, F.array("source"), weights={"s1": 1}).where("taken > 0").select(F.col("sources")[0]).distinct().collect()
+    assert few == [("s1",)] and mixing.mix(df, F.array("source"), weights={}).where("taken > 0").count() == 0
+
+
 def test_mixing_goes_on_after_a_long_document(spark):
     """Short documents behind a long one in hash order are not passed over, however many are needed."""
     rng = random.Random(3)
@@ -468,6 +503,10 @@ def test_pii(spark):
     assert len(got) == df.count() and got[5]["spans"] == "" and got[10]["n_ip"] == 1
     terms = {r["text"][s["begin"] : s["end"]] for r in got.values() for s in r["all_spans"] if s["kind"] == 4}
     assert terms == {"zanzibar"}
+    clash = df.withColumns({c: F.lit("c") for c in ("terms", "words", "entities", "copy", "share", "row")})
+    again = {r["doc_id"]: r for r in pii.find(clash).withColumn("spans", pii.spans_text()).collect()}
+    assert all(again[i]["spans"] == got[i]["spans"] and again[i]["terms"] == again[i]["copy"] == "c" for i in got)
+    assert pii.find(df.where("false")).count() == 0 and pii.find(df.where("doc_id in (5, 6)")).where("size(all_spans) = 0").count() == 2
     clean = {r["doc_id"]: r["text"] for r in pii.sanitize(df).collect()}
     assert "10.1.2.3" not in clean[10] and "zanzibar" not in clean[10] and clean[20] == plain[5] and clean[5] is None
 

@@ -1,7 +1,11 @@
 """Mixing sources to target weights by min-cost flow.
 
 A document may belong to several sources. Documents are aggregated by membership pattern, the
-only thing the driver sees (``max_patterns`` is checked; more is an error, not a truncation).
+only thing the driver sees: a row a pattern, whatever their number. Patterns that no source
+connects are independent, so the flow is solved part by part, and a part of one pattern and one
+source, such as disjoint sources give, needs no search. Tables of patterns are broadcast up to
+``SMALL`` rows and joined by a shuffle beyond.
+
 Targets: sources share the whole size by weight, none above ``repeats`` times its own size, what
 is cut is shared anew. A min-cost flow routes each pattern's tokens to its sources' quotas; a
 pattern's k-th pass over its documents costs k - 1 a token, so repetition is spread evenly
@@ -17,7 +21,9 @@ A null text has size 0; a document of size 0 is never taken. A null source is a
 own, ordered last; an empty list of sources belongs to none and is never taken. Ties and repeated
 rows: equal (id, size) have equal hashes; a threshold that would split them is resolved by the
 row number, and as such rows are alike the result is the same at any order. Reruns agree.
-An empty table gives no rows. Columns named as the results are replaced.
+A source without a weight where weights are given has weight 0, and so target 0. An empty table
+gives no rows; a text of any length is counted whole. Only the id, the text, the sources and the
+columns to keep are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -31,6 +37,8 @@ from pyspark.sql import types as T
 from weftgraph.llm.common import materialize
 
 DIGIT = 12
+#: Rows up to which a table of patterns is broadcast.
+SMALL = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -40,7 +48,7 @@ def word_count(text: Column) -> Column:
 
 def quotas(sizes: dict, weights: dict, total: int, repeats: int = 3) -> dict:
     """Targets by water-filling: the total shared by weight, capped at repeats times a source's size."""
-    out, open_ = {}, set(sizes)
+    out, open_ = {s: 0.0 for s in sizes if not weights.get(s)}, {s for s in sizes if weights.get(s)}
     rest = float(total)
     while open_:
         weight = sum(weights[s] for s in sorted(open_, key=str))
@@ -55,6 +63,39 @@ def quotas(sizes: dict, weights: dict, total: int, repeats: int = 3) -> dict:
     return out
 
 
+def connected(members: dict) -> list[list]:
+    """The patterns (keys of members) in parts that have no source in common."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for p, sources in members.items():
+        for s in sources:
+            root[find(("s", s))] = find(("p", p))
+    parts: dict = {}
+    for p in members:
+        parts.setdefault(find(("p", p)), []).append(p)
+    return list(parts.values())
+
+
+def route(capacity: dict, members: dict, quota: dict, repeats: int = 3) -> dict:
+    """Words from each pattern at least total cost, part by part."""
+    out = dict.fromkeys(capacity, 0)
+    for part in connected({p: members[p] for p in capacity}):
+        asked = {s: quota[s] for p in part for s in members[p]}
+        if len(part) == 1:  # all its quotas may be filled from it, as far as it reaches
+            out[part[0]] = min(repeats * capacity[part[0]], sum(asked.values()))
+            continue
+        flow = min_cost_flow({p: capacity[p] for p in part}, {p: members[p] for p in part}, asked, repeats)
+        for (p, _), f in flow.items():
+            out[p] += f
+    return out
+
+
 def min_cost_flow(capacity: dict, members: dict, quota: dict, repeats: int = 3) -> dict:
     """Words from each (pattern, source), at least total cost; all arguments by small integers.
 
@@ -128,6 +169,11 @@ def _from(t1: str, t2: str) -> Column:
     return (k1 > F.col(t1)) | ((k1 == F.col(t1)) & (k2 >= F.col(t2)))
 
 
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """A table of a row a pattern (numbers only, under 200 bytes each): broadcast if it is small."""
+    return F.broadcast(table) if rows <= SMALL else table
+
+
 def thresholds(rows: DataFrame, rest: dict[int, int], begin: dict[int, tuple[int, int]]) -> tuple[dict[int, tuple[int, int]], dict[int, int], set[int]]:
     """By pattern: the bounds below which a document's two 60-bit keys put it in the extra pass, and the words still missing; and the patterns with a document that did not fit.
 
@@ -142,8 +188,10 @@ def thresholds(rows: DataFrame, rest: dict[int, int], begin: dict[int, tuple[int
     for level in range(10):
         if not live:
             break
-        where = spark.createDataFrame([(p, left[p], rest[p], *begin[p], *prefix[p]) for p in sorted(live)], ", ".join(["pattern int", "most long", "rest long", "b1 long", "b2 long", *(f"d{i} long" for i in range(level))]))
-        own = rows.join(F.broadcast(where), "pattern").where((F.col("size") > 0) & (F.col("size") <= F.col("rest")) & _from("b1", "b2"))  # a row a pattern: bounded by max_patterns
+        names = ["pattern int", "most long", "rest long", "b1 long", "b2 long", *(f"d{i} long" for i in range(level))]
+        table = [(p, left[p], rest[p], *begin[p], *prefix[p]) for p in sorted(live)]
+        own = rows.join(_small(spark.createDataFrame(table, ", ".join(names)), len(table)), "pattern")
+        own = own.where((F.col("size") > 0) & (F.col("size") <= F.col("rest")) & _from("b1", "b2"))
         for i in range(level):
             own = own.where(_digit(i) == F.col(f"d{i}"))
         counts = own.groupBy("pattern", "most", _digit(level).alias("digit")).agg(F.sum("size").alias("words"), F.count("*").alias("n")).withColumn("upto", F.sum("words").over(order))
@@ -186,53 +234,72 @@ def _nearest(rows: DataFrame, left: dict[int, int], repeats: int) -> list[int]:
     if not open_:
         return []
     want = rows.sparkSession.createDataFrame(open_, "pattern int, missing long")
-    free = rows.join(F.broadcast(want), "pattern").where((F.col("full") + F.col("extra") < repeats) & (F.col("size") > 0))
+    free = rows.join(_small(want, len(open_)), "pattern").where((F.col("full") + F.col("extra") < repeats) & (F.col("size") > 0))
     gap = F.abs(F.col("missing") - F.col("size"))
     best = free.where(gap < F.col("missing")).groupBy("pattern").agg(F.min(F.struct(gap.alias("gap"), "extra", "__k1", "__row")).alias("b")).collect()
     return [r["b"]["__row"] for r in best]
 
 
-def mix(docs: DataFrame, sources: Column, weights: dict | None = None, seed: int = 0, repeats: int = 3, max_patterns: int = 2_000, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    sources: Column,
+    weights: dict | None = None,
+    seed: int = 0,
+    repeats: int = 3,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
     """doc_id, size, sources, source_size, target, taken, passes of every row of docs, and the columns named in keep as a struct `kept`.
 
     sources: an array of source names (a null name is a source). source_size and target are sums
     over the row's sources. weights default to 1, 2, 3, 1, ... in code-point order, null last.
     """
     spark = docs.sparkSession
-    added = {"__size": word_count(F.col(text)), "__sources": F.array_sort(F.array_distinct(sources)), "__row": F.monotonically_increasing_id()}
-    rows = docs.withColumns(added)
     whole = [F.struct(*[F.col(c) for c in keep]).alias("kept")] if keep else []
-    rows = rows.select(F.col(doc_id).alias("doc_id"), *whole, *added)
-    rows = materialize(rows.withColumns({"__k1": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("__size")), "__k2": F.xxhash64(F.lit(seed), "__row")}), "mix")
-    patterns = rows.groupBy("__sources").agg(F.sum("__size").alias("words")).limit(max_patterns + 1).collect()
-    if len(patterns) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
+    own = [word_count(F.col(text)).alias("__size"), F.array_sort(F.array_distinct(sources)).alias("__sources")]
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *whole, *own, F.monotonically_increasing_id().alias("__row"))
+    keys = {"__k1": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("__size")), "__k2": F.xxhash64(F.lit(seed), "__row")}
+    rows = materialize(rows.withColumns(keys), "mix")
+    patterns = rows.groupBy("__sources").agg(F.sum("__size").alias("words")).collect()
     patterns.sort(key=lambda r: [(s is None, s or "") for s in r[0] or []])
     pattern_of = {tuple(r[0]) if r[0] is not None else None: i for i, r in enumerate(patterns)}
     names = sorted({s for key in pattern_of for s in key or ()}, key=lambda s: (s is None, s or ""))
-    weights = weights or {s: i % 3 + 1 for i, s in enumerate(names)}
+    weights = weights if weights is not None else {s: i % 3 + 1 for i, s in enumerate(names)}
     words = {i: r["words"] or 0 for i, r in enumerate(patterns)}
     members = {i: list(key or ()) for key, i in pattern_of.items()}
-    sizes = {s: sum(words[i] for i in words if s in members[i]) for s in names}
+    sizes = dict.fromkeys(names, 0)
+    for i, n in words.items():
+        for s in members[i]:
+            sizes[s] += n
     goal = quotas(sizes, weights, sum(words[i] for i in words if members[i]), repeats)  # a document counts once in the total
-    flow = min_cost_flow({i: w for i, w in words.items() if w and members[i]}, members, {s: round(q) for s, q in goal.items()}, repeats)
-    routed = {i: 0 for i in words}
-    for (i, _), f in flow.items():
-        routed[i] += f
+    capacity = {i: w for i, w in words.items() if w and members[i]}
+    routed = dict.fromkeys(words, 0) | route(capacity, members, {s: round(q) for s, q in goal.items()}, repeats)
     full = {i: min(repeats, routed[i] // words[i]) if words[i] else 0 for i in words}
     rest = {i: routed[i] - full[i] * words[i] for i in words}
-    table = [(list(key) if key is not None else None, i, full[i], sum(sizes[s] for s in members[i]), sum(goal[s] for s in members[i])) for key, i in pattern_of.items()]
-    schema = T.StructType([T.StructField("__sources", T.ArrayType(T.StringType())), T.StructField("pattern", T.IntegerType()), T.StructField("full", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
-    facts = spark.createDataFrame(table, schema)
-    known = rows.withColumnRenamed("__size", "size").join(F.broadcast(facts), rows["__sources"].eqNullSafe(facts["__sources"])).drop(facts["__sources"])
-    rounds, left = fill(known.select("pattern", "size", "__k1", "__k2"), {p: r for p, r in rest.items() if r > 0}, full, repeats)
-    limits = spark.createDataFrame([(p, rounds.get(p, [])) for p in words], "pattern int, __rounds array<struct<most:long,b1:long,b2:long,e1:long,e2:long>>")
+    table = [
+        (list(key) if key is not None else None, i, full[i], sum(sizes[s] for s in members[i]), float(sum(goal[s] for s in members[i])))
+        for key, i in pattern_of.items()
+    ]
+    kinds = (T.ArrayType(T.StringType()), T.IntegerType(), T.IntegerType(), T.LongType(), T.DoubleType())
+    fields = zip(("__sources", "pattern", "full", "source_size", "target"), kinds)
+    facts = spark.createDataFrame(table, T.StructType([T.StructField(n, k) for n, k in fields]))
+    light = len(table) <= SMALL and sum(len(s or "") for key in pattern_of for s in key or ()) < 10_000_000
+    facts = F.broadcast(facts) if light else facts
+    known = rows.withColumnRenamed("__size", "size").join(facts, rows["__sources"].eqNullSafe(facts["__sources"])).drop(facts["__sources"])
+    open_ = {p: r for p, r in rest.items() if r > 0}
+    rounds, left = fill(known.select("pattern", "size", "__k1", "__k2"), open_, full, repeats)
+    kind = "pattern int, __rounds array<struct<most:long,b1:long,b2:long,e1:long,e2:long>>"
+    limits = spark.createDataFrame([(p, rounds.get(p, [])) for p in words], kind)
     k1, k2 = F.shiftrightunsigned("__k1", 4), F.shiftrightunsigned("__k2", 4)
     beyond = lambda r, t: (k1 > r[t + "1"]) | ((k1 == r[t + "1"]) & (k2 >= r[t + "2"]))
     taken = F.size(F.filter("__rounds", lambda r: (F.col("size") <= r["most"]) & beyond(r, "b") & ~beyond(r, "e")))
-    marked = known.join(F.broadcast(limits), "pattern").withColumn("extra", F.when(F.col("size") > 0, taken).otherwise(0)).drop("__rounds")
-    picks = spark.createDataFrame([(r, 1) for r in _nearest(marked, left, repeats)], "__row long, __pick int")
-    out = marked.join(F.broadcast(picks), "__row", "left")  # at most a row a pattern
+    marked = known.join(_small(limits, len(words)), "pattern")
+    marked = marked.withColumn("extra", F.when(F.col("size") > 0, taken).otherwise(0)).drop("__rounds")
+    picked = [(r, 1) for r in _nearest(marked, left, repeats)]
+    picks = spark.createDataFrame(picked, "__row long, __pick int")
+    out = marked.join(_small(picks, len(picked)), "__row", "left")  # at most a row a pattern
     passes = F.col("full") + F.col("extra") + F.coalesce("__pick", F.lit(0))
-    out = out.withColumn("taken", (F.col("size") * passes).cast("bigint")).withColumn("passes", F.when(F.col("size") > 0, passes).otherwise(0))
+    out = out.withColumn("taken", (F.col("size") * passes).cast("bigint"))
+    out = out.withColumn("passes", F.when(F.col("size") > 0, passes).otherwise(0))
     return out.select("doc_id", *["kept"] * bool(keep), "size", F.col("__sources").alias("sources"), "source_size", "target", "taken", "passes")

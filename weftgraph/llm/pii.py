@@ -12,8 +12,10 @@ corpus is large enough to call it rare. Copies of a text with entities count as
 formed of a text's entities and those of its terms that are rare enough for the share (an exact
 bound), and meet their occurrences in a join, never in a broadcast of unknown size.
 
-A null text is empty. A table without entities has no terms. Repeated rows get equal spans.
-Extra columns are ignored. Every scan is linear in the text, whatever its runs of characters.
+A null text is empty. A table without entities has no terms, an empty table gives no rows. Repeated
+rows get equal spans. Extra columns are kept, those named as the results replaced; names that begin
+with two underscores are the operator's own. Every scan is linear in the text, whatever its length
+and its runs of characters.
 """
 
 from __future__ import annotations
@@ -106,30 +108,46 @@ def words_outside(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
 
 
 SPAN = "struct<begin:int,kind:int,end:int>"
-BASE = f"n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<{SPAN}>, words array<struct<term:string,begin:int,end:int>>, entities array<string>, copy string"
+COUNTS = ("n_email", "n_ip", "n_card", "n_phone")
+BASE = (
+    ", ".join(f"{c} long" for c in COUNTS)
+    + f", base_sha256 string, base array<{SPAN}>, __words array<struct<term:string,begin:int,end:int>>"
+    + ", __entities array<string>, __copy string, __text string"
+)
 _SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 _WORDS = pa.list_(pa.struct([("term", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
 
 
 def find_base(docs: DataFrame, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
-    """docs (without drop) with the base spans of every whole text, their entities, and of texts with entities the other words and a hash."""
+    """docs (without drop) with the base spans of every whole text.
+
+    Texts with entities also get these, their other words, a hash and themselves (__entities,
+    __words, __copy, __text); for other texts these columns are empty or null.
+    """
     added = T.StructType.fromDDL(BASE)
     kept = docs.drop(*added.fieldNames())
     at = kept.columns.index(text)
     names = [c for c in kept.columns if c not in drop]
     schema = T.StructType([*(kept.schema[c] for c in names), *added.fields])
+    kinds = (*[pa.int64()] * 4, pa.string(), _SPANS, _WORDS, pa.list_(pa.string()), pa.string(), pa.string())
+
+    def described(t: str | None) -> tuple:
+        spans = base_spans(t) if t else []
+        counts = (sum(x[1] == k for x in spans) for k in range(4))
+        digest = hashlib.sha256(joined(spans).encode()).hexdigest()
+        if not spans:
+            return (*counts, digest, [], [], [], None, None)
+        own = [{"begin": b, "kind": k, "end": e} for b, k, e in spans]
+        entities = sorted({_entity(k, t[b:e]) for b, k, e in spans})
+        copy = hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+        return (*counts, digest, own, words_outside(t, spans), entities, copy, t)
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for t in batch.column(at).to_pylist():
-                spans = base_spans(t) if t else []
-                own = [{"begin": b, "kind": k, "end": e} for b, k, e in spans]
-                names_ = sorted({_entity(k, t[b:e]) for b, k, e in spans})
-                rows.append((*(sum(x[1] == k for x in spans) for k in range(4)), hashlib.sha256(joined(spans).encode()).hexdigest(), own, words_outside(t, spans) if spans else [], names_, hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if spans else None))
-            cols = list(zip(*rows)) or [[]] * 9
-            kinds = (*[pa.int64()] * 4, pa.string(), _SPANS, _WORDS, pa.list_(pa.string()), pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=schema.fieldNames())
+            rows = [described(t) for t in batch.column(at).to_pylist()]
+            cols = list(zip(*rows)) or [[]] * len(kinds)
+            more = [pa.array(c, k) for c, k in zip(cols, kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *more], names=schema.fieldNames())
 
     return kept.mapInArrow(lean(run), schema)
 
@@ -197,16 +215,16 @@ def disclosing(docs: DataFrame, found: DataFrame, text: str = "text", least: flo
     found: find_base() with a row number __row. Of the copies of a text with entities one is
     counted, in N and n(t) as well.
     """
-    known = found.where("copy is not null")
-    copies = materialize(known.groupBy("copy").agg(F.min("__row").alias("__row"), F.count("*").alias("copies")), "pii_copies")
+    known = found.where("__copy is not null")
+    copies = materialize(known.groupBy("__copy").agg(F.min("__row").alias("__row"), F.count("*").alias("copies")), "pii_copies")
     more = copies.agg(F.sum(F.col("copies") - 1)).first()[0]
     if more is None:
         return None
     n = docs.count() - more
     first = copies.select("__row", "copies")
-    entities = known.select("__row", F.explode("entities").alias("entity"))
+    entities = known.select("__row", F.explode("__entities").alias("entity"))
     n_e = entities.join(first, "__row", "left_semi").groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = materialize(known.select("__row", F.explode(F.array_distinct("words.term")).alias("term")).join(first, "__row", "left"), "pii_terms")
+    terms = materialize(known.select("__row", F.explode(F.array_distinct("__words.term")).alias("term")).join(first, "__row", "left"), "pii_terms")
     extra = terms.groupBy("term").agg(F.sum(F.coalesce(F.col("copies") - 1, F.lit(0))).alias("extra"))
     n_t = extra.join(term_counts(docs, extra, text), "term").select("term", (F.col("n_t") - F.col("extra")).alias("n_t"))
     # PMI >= least * IC needs n(t) <= N^(1 - least) n(e)^least, as n(t,e) <= n(e)
@@ -227,18 +245,42 @@ def disclosing(docs: DataFrame, found: DataFrame, text: str = "text", least: flo
 
 
 def find(docs: DataFrame, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
-    """docs (without drop) with counts, base_sha256, base, and all_spans: base and disclosing terms in order, terms with their share."""
-    found = materialize(find_base(docs, text, drop).withColumn("__row", F.monotonically_increasing_id()), "pii")
+    """docs (without drop) with counts, base_sha256, base, all_spans and clean.
+
+    all_spans: base and disclosing terms in order, terms with their share. clean: the sanitised
+    text (see masked) where the text has spans, null where it has none and is its own clean text.
+    """
+    found = find_base(docs, text, drop).withColumn("__row", F.monotonically_increasing_id())
+    found = materialize(found.drop("all_spans", "clean"), "pii")
     telling = disclosing(docs, found, text)
     ordered = "array<struct<begin:int,kind:int,end:int,share:double>>"
-    base = F.transform("base", lambda x: F.struct(x["begin"].alias("begin"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(None).cast("double").alias("share")))
-    if telling is None:
-        return found.withColumn("all_spans", base.cast(ordered)).drop("__row", "words", "entities", "copy")
-    words = found.where("copy is not null").select("__row", F.explode("words").alias("x")).select("__row", "x.*")
-    hits = words.join(telling, ["__row", "term"])
-    spans = hits.groupBy("__row").agg(F.collect_list(F.struct("begin", F.lit(4).alias("kind"), "end", "share")).alias("terms"))  # of one text
-    every = F.array_sort(F.concat(base.cast(ordered), F.coalesce(F.col("terms").cast(ordered), F.array().cast(ordered))))
-    return found.join(spans, "__row", "left").withColumn("all_spans", every).drop("__row", "words", "entities", "copy", "terms")
+    share = F.lit(None).cast("double").alias("share")
+    base = F.transform("base", lambda x: F.struct(x["begin"].alias("begin"), x["kind"].alias("kind"), x["end"].alias("end"), share))
+    known = found.where("__copy is not null").select("__row", "__text", base.cast(ordered).alias("__base"), "__words")
+    if telling is not None:
+        words = known.select("__row", F.explode("__words").alias("x")).select("__row", "x.*")
+        place = F.struct("begin", F.lit(4).alias("kind"), "end", "share")
+        terms = words.join(telling, ["__row", "term"]).groupBy("__row").agg(F.collect_list(place).alias("__terms"))  # of one text
+        every = F.concat("__base", F.coalesce(F.col("__terms").cast(ordered), F.array().cast(ordered)))
+        known = known.join(terms, "__row", "left").select("__row", "__text", F.array_sort(every).alias("all_spans"))
+    else:
+        known = known.select("__row", "__text", F.col("__base").alias("all_spans"))
+    rest = [c for c in found.columns if not c.startswith("__")]
+    out = found.select(*rest, "__row").join(_cleaned(known), "__row", "left").drop("__row")
+    return out.withColumn("all_spans", F.coalesce("all_spans", F.array().cast(ordered)))
+
+
+def _cleaned(known: DataFrame) -> DataFrame:
+    """(__row, all_spans, clean) of (__row, __text, all_spans)."""
+    schema = T.StructType([known.schema["__row"], known.schema["all_spans"], T.StructField("clean", T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            row, text, spans = batch.columns
+            clean = [masked(t, s) for t, s in zip(text.to_pylist(), spans.to_pylist())]
+            yield pa.RecordBatch.from_arrays([row, spans, pa.array(clean, pa.string())], names=schema.fieldNames())
+
+    return known.mapInArrow(lean(run), schema)
 
 
 def spans_text(column: str = "all_spans"):
@@ -260,14 +302,6 @@ def masked(text: str | None, spans: list[dict]) -> str | None:
 
 
 def sanitize(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with their texts masked, and all_spans (offsets in the original)."""
+    """docs with their texts masked, and the columns of find() but clean (offsets are those of the original)."""
     found = find(docs, text)
-    at, schema = found.columns.index(text), found.schema
-
-    def run(batches):
-        for batch in batches:
-            cols = list(batch.columns)
-            cols[at] = pa.array([masked(t, s or []) for t, s in zip(cols[at].to_pylist(), batch.column("all_spans").to_pylist())], pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
-
-    return found.mapInArrow(lean(run), schema)
+    return found.withColumn(text, F.coalesce("clean", F.col(text))).drop("clean")

@@ -72,7 +72,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = pii.find(docs, drop=("text",))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", pii.spans_text().alias("spans"))
+    terms = F.size(F.filter("all_spans", lambda x: x["kind"] == 4)).cast("bigint").alias("n_terms")
+    digest = ("doc_id", *pii.COUNTS, "base_sha256", pii.spans_text().alias("spans"))
+    return out.select(*digest, terms, F.sha2(F.encode("clean", "UTF-8"), 256).alias("clean_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
