@@ -226,7 +226,8 @@ def disclosing(docs: DataFrame, found: DataFrame, text: str = "text", least: flo
     n_e = entities.join(first, "__row", "left_semi").groupBy("entity").agg(F.count("*").alias("n_e"))
     terms = materialize(known.select("__row", F.explode(F.array_distinct("__words.term")).alias("term")).join(first, "__row", "left"), "pii_terms")
     extra = terms.groupBy("term").agg(F.sum(F.coalesce(F.col("copies") - 1, F.lit(0))).alias("extra"))
-    n_t = extra.join(term_counts(docs, extra, text), "term").select("term", (F.col("n_t") - F.col("extra")).alias("n_t"))
+    counts = materialize(term_counts(docs, extra, text), "pii_counts")  # the texts are read once, whatever the plan below
+    n_t = extra.join(counts, "term").select("term", (F.col("n_t") - F.col("extra")).alias("n_t"))
     # PMI >= least * IC needs n(t) <= N^(1 - least) n(e)^least, as n(t,e) <= n(e)
     rare = F.col("n_t") <= F.pow(F.lit(float(n)), F.lit(1 - least)) * F.pow("n_e", F.lit(least)) * (1 + 1e-9)
     pairs = entities.join(n_e, "entity").join(terms.join(n_t, "term"), "__row").where(rare)

@@ -126,7 +126,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         return next(self.encode_many(pa.array([text])))
 
-    def encode_many(self, texts: pa.Array, most: int = 10_000_000) -> Iterator[bytes]:
+    def encode_many(self, texts: pa.Array, most: int = 5_000_000) -> Iterator[bytes]:
         """Ids of each text (null: empty), computed in slices of about `most` bytes."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not self.plain:
@@ -244,7 +244,9 @@ def _frames(tokenizer: str, dictionary: bytes, width: int, end: int, level: int)
                 n.append(len(ids) // 4)
                 crc.append(zlib.crc32(ids))
                 frames.append(pack.compress(_narrow(ids, width)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(frames, pa.binary())], names=["doc_id", "n", "crc", "frame"])
+            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(frames, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "crc", "frame"])
+        encoder.pieces.old = {}  # what an idle worker keeps is the newest generation
 
     return lean(run)
 
