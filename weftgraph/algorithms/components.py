@@ -7,71 +7,110 @@ from pyspark.sql import functions as F
 
 from weftgraph.model import Graph
 from weftgraph.operators.messages import request
-from weftgraph.plans.supersteps import Context, Program, Run, run
+from weftgraph.plans.supersteps import NotConverged, Program, Run, run
 from weftgraph.storage import discard, materialize
 
 
-def min_label_run(graph: Graph, tau: int | None = None, seeds=None) -> Run:
+def min_label_run(graph: Graph, tau: int | None = None, seeds=None, report: int = 0, max_steps: int = 10_000) -> Run:
     """Label of a vertex: the least id that reaches it along edges. Only improved vertices send.
 
     seeds: a condition on vertices; only these start with a label (their id), others with null.
     """
     first = F.col("id") if seeds is None else F.when(seeds, F.col("id"))
+    better = F.col("label").isNotNull() & ~F.col("label").eqNullSafe(F.col("old_label"))
     program = Program(
         initial={"label": first},
         compute=lambda c: {} if c.step == 1 else {"label": F.least("label", "msg_label")},
         message={"label": F.col("label")},
         combine={"label": F.min("label")},
-        send=lambda c: F.col("label").isNotNull() if c.step == 1 else F.col("label").isNotNull() & ~F.col("label").eqNullSafe(F.col("old_label")),
+        send=lambda c: F.col("label").isNotNull() if c.step == 1 else better,
     )
-    return run(graph, program, tau=tau)
+    return run(graph, program, tau=tau, report=report, max_steps=max_steps)
 
 
-def hash_min(graph: Graph, tau: int | None = None) -> DataFrame:
+def hash_min(graph: Graph, tau: int | None = None, max_steps: int = 10_000) -> DataFrame:
     """(id, component); tau mirrors vertices of that degree or more, with the same result."""
-    return min_label_run(graph, tau).state.select("id", F.col("label").alias("component"))
+    return min_label_run(graph, tau, max_steps=max_steps).state.select("id", F.col("label").alias("component"))
+
+
+def keeping_adjacency(graph: Graph) -> DataFrame:
+    """(id, color, nbr): every edge with the component of its source; a vertex without edges has one row, nbr null."""
+    colors = hash_min(graph).withColumnRenamed("component", "color")
+    near = graph.edges.select(F.col("src").alias("id"), F.col("dst").alias("nbr"))
+    return colors.join(near, "id", "left").select("id", "color", "nbr")
+
+
+def _hooks(seen: DataFrame, at: str) -> DataFrame:
+    """(id, hook): the least label beside the members of each root that is less than the root."""
+    return seen.where(F.col("near") < F.col(at)).groupBy(F.col(at).alias("id")).agg(F.min("near").alias("hook"))
+
+
+def _near(edges: DataFrame, pointers: DataFrame) -> DataFrame:
+    """(id, near): the least pointer among a vertex's neighbours."""
+    beside = pointers.select(F.col("id").alias("dst"), "d")
+    return edges.join(beside, "dst").groupBy(F.col("src").alias("id")).agg(F.min("d").alias("near"))
+
+
+def stars(up: DataFrame) -> DataFrame:
+    """(id, d) of the vertices in stars, trees in which all point to the root. up: (id, d, dd), dd the pointer's pointer.
+
+    A vertex that does not point to its root marks its pointer's pointer; a root that is marked is
+    no star's.
+    """
+    deep = up.where("d <> dd").select(F.col("dd").alias("d")).distinct()
+    return up.where("d = dd").join(deep, "d", "left_anti").select("id", "d")
 
 
 def pointer_jumping(graph: Graph, star_hook: bool = False, lookup: bool = False, max_rounds: int = 64) -> DataFrame:
-    """(id, component) in a logarithmic number of rounds: roots hook onto smaller neighbouring roots, then pointers jump.
+    """(id, component) in a logarithmic number of rounds: roots hook onto smaller neighbouring labels, then pointers jump.
 
-    star_hook adds hooking of stagnant stars after the root hook (fewer rounds on some graphs, one
-    join more); lookup asks for D[D[v]] once a distinct pointer. All forms give the least id.
+    star_hook looks for stars after the first hooking and lets these hook once more by the new
+    labels beside them (fewer rounds on some graphs, three joins more); lookup asks for D[D[v]]
+    once a distinct pointer. All forms give the least id.
     """
-    edges = graph.by_source()
+    edges = graph.edges.select("src", "dst")
     least = edges.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m"))
-    state = materialize(graph.vertices.select("id").join(least, "id", "left").select("id", F.least("id", "m").alias("d")), "jump")
+    first = graph.vertices.select("id").join(least, "id", "left").select("id", F.least("id", "m").alias("d"))
+    state = materialize(first, "jump")
     for _ in range(max_rounds):
         pointers = state.select("id", "d")
-        near = edges.join(pointers.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("d").alias("near"))
         up = request(pointers, pointers, "d", {"dd": F.col("d")}, distinct=lookup)
-        seen = up.join(near, "id", "left")
-        # the root of v hooks onto the least label seen beside v
-        proposals = seen.where(F.col("near") < F.col("dd")).groupBy(F.col("dd").alias("id")).agg(F.min("near").alias("hook"))
-        if star_hook:  # a root that is no neighbour's hook yet may also hook through its members' pointers
-            proposals = proposals.unionByName(seen.where(F.col("near") < F.col("d")).groupBy(F.col("d").alias("id")).agg(F.min("near").alias("hook"))).groupBy("id").agg(F.min("hook").alias("hook"))
-        hooked = up.join(proposals, "id", "left").select("id", F.col("d").alias("was"), F.least("d", "dd", "hook").alias("d"))
+        seen = up.join(_near(edges, pointers), "id", "left")
+        hooked = up.join(_hooks(seen, "dd"), "id", "left")
+        hooked = hooked.select("id", F.col("d").alias("was"), F.least("d", "dd", "hook").alias("d"))
+        middle = None
+        if star_hook:
+            middle = materialize(hooked, "hooked")
+            now = middle.select("id", "d")
+            again = request(now, now, "d", {"dd": F.col("d")}, distinct=lookup)
+            beside = stars(again).join(_near(edges, now), "id")
+            hooked = middle.join(_hooks(beside, "d"), "id", "left").select("id", "was", F.least("d", "hook").alias("d"))
         target = hooked.select(F.col("id").alias("d"), F.col("d").alias("dd"))
-        watch = Observation()
         new = hooked.join(target, "d", "left").select("id", "was", F.least("d", "dd").alias("d"))
-        after = materialize(new.observe(watch, F.count_if(F.col("d") != F.col("was")).alias("changed")).select("id", "d"), "jump")
-        changed = watch.get["changed"]
-        discard(state)
+        watch = Observation()
+        moved = F.count_if(F.col("d") != F.col("was")).alias("moved")
+        after = materialize(new.observe(watch, moved).select("id", "d"), "jump")
+        moved = watch.get["moved"]
+        for old in (state, *([middle] if middle is not None else [])):
+            discard(old)
         state = after
-        if not changed:
-            break
-    graph.release()
-    return state.select("id", F.col("d").alias("component"))
+        if not moved:
+            return state.select("id", F.col("d").alias("component"))
+    raise NotConverged(f"pointers still move after {max_rounds} rounds")
 
 
 def component_sizes(components: DataFrame) -> DataFrame:
     return components.groupBy("component").agg(F.count("*").alias("size"))
 
 
-def message_report(graph: Graph) -> DataFrame:
-    """(step, n_messages) of min-label propagation: messages after combining, as vertices that get one or more."""
-    log = min_label_run(graph).steps
-    return graph.vertices.sparkSession.createDataFrame([(r["phase"], r["step"], r["computed"], r["sent"]) for r in log], "phase long, step long, computed long, senders long")
-
+def message_report(graph: Graph, workers: int = 0) -> DataFrame:
+    """(step, n_messages) of min-label propagation: messages after combining that were delivered in each step.
 
-__all__ = ["Context", "component_sizes", "hash_min", "message_report", "min_label_run", "pointer_jumping"]
+    With workers, (step, worker, n_messages) by that many hash partitions of the targets.
+    """
+    steps = min_label_run(graph, report=workers).steps
+    spark = graph.vertices.sparkSession
+    if workers:
+        rows = [(s["step"], w, s["workers"].get(w, 0)) for s in steps for w in range(workers)]
+        return spark.createDataFrame(rows, "step long, worker long, n_messages long")
+    return spark.createDataFrame([(s["step"], s["received"]) for s in steps], "step long, n_messages long")

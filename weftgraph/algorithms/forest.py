@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.model import Graph, edge_once
 from weftgraph.operators.messages import request
+from weftgraph.plans.supersteps import NotConverged
 from weftgraph.storage import discard, materialize
 
 
@@ -21,8 +22,8 @@ def jump_to_roots(parents: DataFrame, lookup: bool = False, max_rounds: int = 64
         discard(state)
         state = after
         if not watch.get["moved"]:
-            break
-    return state
+            return state
+    raise NotConverged(f"pointers still move after {max_rounds} rounds")
 
 
 def spanning_forest_edges(graph: Graph, lookup: bool = False, max_rounds: int = 64) -> DataFrame:
@@ -34,7 +35,7 @@ def spanning_forest_edges(graph: Graph, lookup: bool = False, max_rounds: int =
     once = edge_once(graph.edges)
     live = materialize(once.select("u", "v", "weight", F.col("u").alias("a"), F.col("v").alias("b")), "msf")
     picked = []
-    for _ in range(max_rounds):
+    for _ in range(max_rounds + 1):
         order = F.struct("weight", F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo"))
         both = live.select(F.col("a").alias("id"), F.col("b").alias("other"), order.alias("e")).union(live.select("b", "a", order))
         best = materialize(both.groupBy("id").agg(F.min(F.struct("e", "other")).alias("m")).select("id", "m.e", "m.other"), "msf")
@@ -50,6 +51,8 @@ def spanning_forest_edges(graph: Graph, lookup: bool = False, max_rounds: int =
         after = materialize(new, "msf")
         discard(live)
         live = after
+    else:
+        raise NotConverged(f"edges between trees after {max_rounds} rounds")
     if not picked:
         return once.where("false").select("u", "v", "weight")
     every = picked[0]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.model import Graph
-from weftgraph.operators.messages import along_edges, request
+from weftgraph.operators.messages import along_edges, push, request
 from weftgraph.plans.supersteps import Context, Program, run
 from weftgraph.storage import materialize
 
@@ -75,3 +75,14 @@ def field_broadcast(graph: Graph, fields: DataFrame, directed: bool = True, look
     ends = ("src", "dst") if directed else ("dst", "src")
     asks = graph.edges.select(F.col(ends[0]).alias("id"), F.col(ends[1]).alias("nbr"))
     return request(asks, fields, "nbr", {"field": F.col("field")}, {"field": default} if default is not None else None, distinct=lookup).select("id", "nbr", "field")
+
+
+def field_pushed(graph: Graph, fields: DataFrame, default: int | None = None) -> DataFrame:
+    """(id, nbr, field): out-neighbours with the field that they have pushed here along an edge of their own, else the default.
+
+    The same as field_broadcast on symmetric edges; nothing is asked for.
+    """
+    told = push(graph.edges.select(F.col("dst").alias("id"), F.col("src").alias("by")), fields, {"field": F.col("field")})
+    asks = graph.edges.select(F.col("src").alias("id"), F.col("dst").alias("nbr"))
+    out = asks.join(told.withColumnRenamed("by", "nbr"), ["id", "nbr"], "left")
+    return out.select("id", "nbr", F.coalesce("field", F.lit(default)).alias("field") if default is not None else "field")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.plans.supersteps import NotConverged
 from weftgraph.storage import discard, materialize
 
 
@@ -46,5 +47,7 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
         seen = _signature(current)
         if seen == before:
             break
+    else:
+        raise NotConverged(f"no stars yet after {max_rounds} rounds")
     stars = current.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return nodes.distinct().join(stars, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -7,87 +7,117 @@ from pyspark.sql import functions as F
 
 from weftgraph.algorithms.components import min_label_run
 from weftgraph.model import Graph
+from weftgraph.operators.sort import global_rank
+from weftgraph.plans.supersteps import NotConverged
 from weftgraph.storage import discard, materialize
 
+#: Rests of at most so many vertices are left open where the number of rounds is given.
 SMALL = 3
 
 
 def trim(graph: Graph, max_rounds: int = 10_000) -> DataFrame:
     """(id, trimmed): vertices that cyclic trimming removes, those left without in- or out-edges, again and again.
 
-    Self-loops hold nothing: a vertex with no other cycle is trimmed.
+    Self-loops hold nothing: a vertex with no other cycle is trimmed. A round is one job over the
+    edges that are left, and peels a layer on both sides.
     """
-    live = materialize(graph.edges.select("src", "dst").where("src <> dst").distinct(), "trim")
+    watch = Observation()
+    live = graph.edges.select("src", "dst").where("src <> dst").distinct()
+    live = materialize(live.observe(watch, F.count("*").alias("n")), "trim")
+    n = watch.get["n"]
     for _ in range(max_rounds):
+        if not n:
+            break
         sources, targets = live.select("src").distinct(), live.select("dst").distinct()
         watch = Observation()
         # an edge stays if something enters its source and something leaves its target
-        kept = live.join(targets.select(F.col("dst").alias("src")), "src", "left_semi").join(sources.select(F.col("src").alias("dst")), "dst", "left_semi")
-        after = materialize(kept.observe(watch, F.count("*").alias("n")).select("src", "dst"), "trim")
-        n, before = watch.get["n"], live.count()
+        kept = live.join(targets.select(F.col("dst").alias("src")), "src", "left_semi")
+        kept = kept.join(sources.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst")
+        after = materialize(kept.observe(watch, F.count("*").alias("n")), "trim")
+        before, n = n, watch.get["n"]
         discard(live)
         live = after
-        if n == before or not n:
+        if n == before:
             break
+    else:
+        raise NotConverged(f"still trimming after {max_rounds} rounds")
     core = live.select(F.col("src").alias("id")).intersect(live.select(F.col("dst").alias("id")))
-    return graph.vertices.select("id").join(core.withColumn("core", F.lit(True)), "id", "left").select("id", F.col("core").isNull().alias("trimmed"))
+    marked = graph.vertices.select("id").join(core.withColumn("core", F.lit(True)), "id", "left")
+    return marked.select("id", F.col("core").isNull().alias("trimmed"))
 
 
 def min_labels(graph: Graph) -> DataFrame:
     """(id, min_forward, min_backward): the least id that reaches a vertex; the least root (own least id) that it reaches, -1 if none."""
     forward = materialize(min_label_run(graph).state.withColumnRenamed("label", "min_forward"), "forward")
     roots = Graph(forward, graph.edges).reversed()
-    backward = min_label_run(roots, seeds=F.col("min_forward") == F.col("id")).state.withColumnRenamed("label", "min_backward")
-    return forward.join(backward, "id").select("id", "min_forward", F.coalesce("min_backward", F.lit(-1)).cast("bigint").alias("min_backward"))
+    backward = min_label_run(roots, seeds=F.col("min_forward") == F.col("id")).state
+    label = F.coalesce("label", F.lit(-1)).cast("bigint").alias("min_backward")
+    return forward.join(backward, "id").select("id", "min_forward", label)
 
 
-def decompose(graph: Graph, labels: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """(id, color, tag), and the edges within one color.
+def _groups(labels: DataFrame) -> DataFrame:
+    return labels.groupBy("min_forward", "min_backward").agg(F.count("*").alias("n"))
 
-    A color is the rank of its (min_forward, min_backward) pair. tag 1: an SCC is found (both
-    equal); -1: a rest of at most `small` vertices; 0: to be split further.
-    """
-    from weftgraph.operators.sort import global_rank
 
-    pairs = labels.groupBy("min_forward", "min_backward").agg(F.count("*").alias("n"))
-    colors = global_rank(pairs, ["min_forward", "min_backward"], "color")
-    tag = F.when(F.col("min_forward") == F.col("min_backward"), 1).when(F.col("n") <= small, -1).otherwise(0)
-    found = labels.join(colors, ["min_forward", "min_backward"]).select("id", "color", tag.alias("tag"))
+def decompose(graph: Graph, labels: DataFrame, small: int = SMALL, next_color: int = 0) -> tuple[DataFrame, DataFrame, dict]:
+    """(id, color, tag), the edges within one color, and {next_color, largest}.
+
+    A color is next_color and the rank of its (min_forward, min_backward) pair. tag 1: an SCC is
+    found (both equal); -1: a rest of at most `small` vertices; 0: to be split further. largest is
+    the size of the greatest group that is no SCC.
+    """
+    colors = materialize(global_rank(_groups(labels), ["min_forward", "min_backward"], "color"), "colors")
+    same = F.col("min_forward") == F.col("min_backward")
+    facts = colors.agg(F.count("*"), F.max(F.when(~same, F.col("n")))).first()
+    tag = F.when(same, 1).when(F.col("n") <= small, -1).otherwise(0)
+    color = (F.col("color") + next_color).alias("color")
+    found = labels.join(colors, ["min_forward", "min_backward"]).select("id", color, tag.alias("tag"))
     ends = found.select("id", "color")
-    inner = graph.edges.join(ends.select(F.col("id").alias("src"), F.col("color").alias("cs")), "src").join(ends.select(F.col("id").alias("dst"), F.col("color").alias("cd")), "dst").where("cs = cd")
-    return found, inner.select("src", "dst")
+    inner = graph.edges.join(ends.select(F.col("id").alias("src"), F.col("color").alias("cs")), "src")
+    inner = inner.join(ends.select(F.col("id").alias("dst"), F.col("color").alias("cd")), "dst").where("cs = cd")
+    return found, inner.select("src", "dst"), {"next_color": next_color + facts[0], "largest": facts[1] or 0}
 
 
-def strong_components(graph: Graph, rounds: int | None = None, small: int = SMALL) -> DataFrame:
+def strong_components(graph: Graph, rounds: int | None = None, small: int = SMALL, max_rounds: int = 10_000) -> DataFrame:
     """(id, component): the least member of each vertex's SCC.
 
-    Each round trims, labels and cuts all vertices without a component at once. With rounds, what
-    is then unsettled gets null.
+    Each round trims, labels and cuts all vertices without a component at once. With rounds, groups
+    of at most `small` vertices that are no SCC are left open as they come up, and what is then
+    unsettled, too; both get null.
     """
     vertices = materialize(graph.vertices.select("id"), "scc")
     live = materialize(graph.edges.select("src", "dst").where("src <> dst").distinct(), "scc")
     done, k = [], 0
     while rounds is None or k < rounds:
         k += 1
-        part = Graph(vertices, live)
-        trimmed = materialize(trim(part), "scc")
+        if k > max_rounds:
+            raise NotConverged(f"vertices without a component after {max_rounds} rounds")
+        trimmed = materialize(trim(Graph(vertices, live)), "scc")
         done.append(trimmed.where("trimmed").select("id", F.col("id").alias("component")))
-        core = materialize(trimmed.where(~F.col("trimmed")).select("id"), "scc")
-        if core.isEmpty():
-            vertices = core
+        vertices = materialize(trimmed.where(~F.col("trimmed")).select("id"), "scc")
+        if vertices.isEmpty():
             break
-        inside = live.join(core.select(F.col("id").alias("src")), "src", "left_semi").join(core.select(F.col("id").alias("dst")), "dst", "left_semi")
-        labels = materialize(min_labels(Graph(core, materialize(inside, "scc"))), "scc")
+        inside = live.join(vertices.select(F.col("id").alias("src")), "src", "left_semi")
+        inside = materialize(inside.join(vertices.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"), "scc")
+        labels = materialize(min_labels(Graph(vertices, inside)), "scc")
         equal = F.col("min_forward") == F.col("min_backward")
         done.append(labels.where(equal).select("id", F.col("min_forward").alias("component")))
         rest = labels.where(~equal)
+        if rounds is not None:
+            rest = materialize(rest.join(_groups(rest), ["min_forward", "min_backward"]), "scc")
+            done.append(rest.where(F.col("n") <= small).select("id", F.lit(None).cast("bigint").alias("component")))
+            rest = rest.where(F.col("n") > small)
         vertices = materialize(rest.select("id"), "scc")
-        a = rest.select(F.col("id").alias("src"), F.struct("min_forward", "min_backward").alias("ps"))
-        b = rest.select(F.col("id").alias("dst"), F.struct("min_forward", "min_backward").alias("pd"))
-        live = materialize(inside.join(a, "src").join(b, "dst").where("ps = pd").select("src", "dst"), "scc")
+        pair = F.struct("min_forward", "min_backward")
+        a = rest.select(F.col("id").alias("src"), pair.alias("ps"))
+        b = rest.select(F.col("id").alias("dst"), pair.alias("pd"))
+        cut = materialize(inside.join(a, "src").join(b, "dst").where("ps = pd").select("src", "dst"), "scc")
+        discard(live)
+        discard(inside)
+        live = cut
         if vertices.isEmpty():
             break
-    out = done[0]
-    for more in done[1:]:
+    out = vertices.select("id", F.lit(None).cast("bigint").alias("component"))
+    for more in done:
         out = out.union(more)
-    return out.union(vertices.select("id", F.lit(None).cast("bigint")))
+    return out

@@ -4,38 +4,39 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.messages import Spread, spread
+
 
 @dataclass
 class Graph:
     """vertices(id, ...) and edges(src, dst[, weight]); an undirected graph has a row in each direction.
 
-    ``by_source()`` gives the edges hash-partitioned by source and persisted: every superstep joins
-    them where they lie and only the states move.
+    ``spread()`` gives the edges persisted, partitioned by source but for those of hubs, which are
+    dealt over all partitions: every superstep joins them where they lie and only the states move.
     """
 
     vertices: DataFrame
     edges: DataFrame
     _cached: dict = field(default_factory=dict, repr=False)
 
-    def by_source(self) -> DataFrame:
-        if "src" not in self._cached:
-            n = int(self.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            self._cached["src"] = self.edges.repartition(n, "src").persist(StorageLevel.MEMORY_AND_DISK)
-        return self._cached["src"]
+    def spread(self, tau: int | None = None) -> Spread:
+        if tau not in self._cached:
+            self._cached[tau] = spread(self.edges, tau)
+        return self._cached[tau]
 
     def release(self) -> None:
-        for df in self._cached.values():
-            df.unpersist()
+        for own in self._cached.values():
+            own.release()
         self._cached.clear()
 
     def degrees(self) -> DataFrame:
         """(id, degree): out-edges of every vertex, parallel ones counted, 0 for none."""
         out = self.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
-        return self.vertices.select("id").join(out, "id", "left").select("id", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"))
+        degree = F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree")
+        return self.vertices.select("id").join(out, "id", "left").select("id", degree)
 
     def reversed(self) -> Graph:
         names = [c for c in self.edges.columns if c not in ("src", "dst")]
@@ -60,6 +61,15 @@ def from_edges(edges: DataFrame, vertices: DataFrame | None = None, undirected:
     return Graph(vertices, edges)
 
 
+def merged(*graphs: Graph) -> Graph:
+    """One graph of several inputs: all vertices once, all edges; columns that one lacks are null."""
+    vertices, edges = graphs[0].vertices.select("id"), graphs[0].edges
+    for g in graphs[1:]:
+        vertices = vertices.unionByName(g.vertices.select("id"))
+        edges = edges.unionByName(g.edges, allowMissingColumns=True)
+    return Graph(vertices.distinct(), edges)
+
+
 def edge_once(edges: DataFrame) -> DataFrame:
     """Simple undirected edges (u < v) with the least weight of parallel ones; self-loops are dropped."""
     ends = [F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")]

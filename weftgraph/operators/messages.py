@@ -2,36 +2,99 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: States of mirrored vertices that may be broadcast; more are salted.
-MIRRORED = 100_000
+#: Bytes of mirrored states that may be broadcast; more are salted.
+BROADCAST = 32 << 20
 SALTS = 16
+#: Out-edges from which a vertex is a hub, whatever the number of partitions.
+HUB = 20_000
+_WIDTH = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.FloatType: 4, T.DoubleType: 8}
 
 
-def along_edges(states: DataFrame, edges: DataFrame, tau: int | None = None, degrees: DataFrame | None = None) -> DataFrame:
-    """states joined to their out-edges (by id = src).
+def row_bytes(schema: T.StructType) -> int | None:
+    """Bytes of a row's values; None if a type has no fixed width."""
+    total = 0
+    for f in schema.fields:
+        own = row_bytes(f.dataType) if isinstance(f.dataType, T.StructType) else _WIDTH.get(type(f.dataType))
+        if own is None:
+            return None
+        total += own + 8
+    return total
 
-    With tau, states of degree >= tau are mirrored: they reach their edges without a shuffle by
-    source, by broadcast if their checked number allows it and over salted keys beyond that; the
-    others are joined on the key. The rows are the same.
-    """
+
+@dataclass
+class Spread:
+    """Edges split once: those of ordinary vertices, partitioned by source, and those of hubs, dealt over all partitions."""
+
+    cold: DataFrame
+    hot: DataFrame | None = None
+    hubs: DataFrame | None = None  # (id)
+    n_hubs: int = 0
+
+    def along(self, states: DataFrame) -> DataFrame:
+        """states joined to their out-edges (by id = src); the rows do not depend on the split.
+
+        States of hubs reach their edges without a shuffle of these: by broadcast where their
+        number and width prove it small, over salted keys beyond that.
+        """
+        rows = states.join(self.cold, F.col("id") == F.col("src"))
+        if self.hot is None:
+            return rows
+        own = states.join(self.hubs, "id", "left_semi")
+        width = row_bytes(states.schema)
+        if width is not None and width * self.n_hubs <= BROADCAST:
+            return rows.unionByName(F.broadcast(own).join(self.hot, F.col("id") == F.col("src")))
+        salted = self.hot.withColumn("__salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int"))
+        copies = own.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        on = (F.col("id") == F.col("src")) & (copies["__salt"] == salted["__salt"])
+        return rows.unionByName(copies.join(salted, on).drop("__salt"))
+
+    def mirrored(self, states: DataFrame) -> int:
+        """How many of the states go out by mirrors."""
+        return 0 if self.hubs is None else states.join(self.hubs, "id", "left_semi").count()
+
+    def release(self) -> None:
+        for df in (self.cold, self.hot):
+            if df is not None:
+                df.unpersist()
+
+
+def spread(edges: DataFrame, tau: int | None = None, persist: bool = True) -> Spread:
+    """edges split at degree tau; without it at a quarter of a partition's even share, ``HUB`` at least."""
+    if tau is not None and tau < 1:
+        raise ValueError("tau must be at least 1")
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    degrees = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    if tau is None:
+        total, most = degrees.agg(F.sum("degree"), F.max("degree")).first()
+        tau = max(HUB, (total or 0) // (4 * parts))
+        n = 0 if (most or 0) < tau else 1
+    else:
+        n = 1
+    keep = (lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)) if persist else (lambda df: df)
+    if n:
+        hubs = degrees.where(F.col("degree") >= tau).select("id").persist(StorageLevel.MEMORY_AND_DISK)
+        n = hubs.count()
+    if not n:
+        return Spread(keep(edges.repartition(parts, "src") if persist else edges))
+    ids = hubs.withColumnRenamed("id", "src")
+    cold, hot = edges.join(ids, "src", "left_anti"), edges.join(ids, "src", "left_semi")
+    if persist:
+        cold, hot = cold.repartition(parts, "src"), hot.repartition(parts, "src", "dst")
+    return Spread(keep(cold.select(*edges.columns)), keep(hot.select(*edges.columns)), hubs, n)
+
+
+def along_edges(states: DataFrame, edges: DataFrame, tau: int | None = None) -> DataFrame:
+    """states joined to their out-edges once (by id = src); with tau, vertices of that degree or more are mirrored."""
     if tau is None:
         return states.join(edges, F.col("id") == F.col("src"))
-    if tau < 1:
-        raise ValueError("tau must be at least 1")
-    if degrees is None:
-        degrees = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
-    hot_ids = degrees.where(F.col("degree") >= tau).select("id")
-    hot, cold = states.join(hot_ids, "id", "left_semi"), states.join(hot_ids, "id", "left_anti")
-    cold_rows = cold.join(edges, F.col("id") == F.col("src"))
-    if hot_ids.limit(MIRRORED + 1).count() <= MIRRORED:
-        return cold_rows.unionByName(F.broadcast(hot).join(edges, F.col("id") == F.col("src")))
-    salted = edges.withColumn("__salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)))
-    copies = hot.withColumn("__salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
-    hot_rows = copies.join(salted, (F.col("id") == F.col("src")) & (copies["__salt"] == salted["__salt"])).drop("__salt")
-    return cold_rows.unionByName(hot_rows)
+    return spread(edges, tau, persist=False).along(states)
 
 
 def combine(messages: DataFrame, to: str = "dst", **how: Column) -> DataFrame:
@@ -44,7 +107,14 @@ def deliver(states: DataFrame, combined: DataFrame) -> DataFrame:
     return states.join(combined, "id", "left")
 
 
-def request(requests: DataFrame, states: DataFrame, target: str, respond: dict[str, Column], default: dict | None = None, distinct: bool = False) -> DataFrame:
+def request(
+    requests: DataFrame,
+    states: DataFrame,
+    target: str,
+    respond: dict[str, Column],
+    default: dict | None = None,
+    distinct: bool = False,
+) -> DataFrame:
     """requests with what their target vertex responds: an equi-join on the target's id.
 
     respond: name -> Column over the target's state. A missing target gives null, or the default.
@@ -58,3 +128,22 @@ def request(requests: DataFrame, states: DataFrame, target: str, respond: dict[s
     for name, value in (default or {}).items():
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value)))
     return out
+
+
+def push(pushes: DataFrame, states: DataFrame, respond: dict[str, Column]) -> DataFrame:
+    """(id, by, answers): what vertices tell without being asked. pushes: (by, id), by tells id; repeated ones count once.
+
+    Pushes by vertices that do not exist tell nothing.
+    """
+    answers = states.select(F.col("id").alias("by"), *[c.alias(n) for n, c in respond.items()])
+    return pushes.select("id", "by").distinct().join(answers, "by").select("id", "by", *respond)
+
+
+def request_counts(requests: DataFrame, states: DataFrame, target: str) -> DataFrame:
+    """One row (asked, requests, responses, has_responses): all asks, different targets, and those that exist."""
+    asked = requests.where(F.col(target).isNotNull()).groupBy(F.col(target).alias("id")).agg(F.count("*").alias("n"))
+    known = states.select("id").distinct().withColumn("__known", F.lit(True))
+    out = asked.join(known, "id", "left").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("asked"), F.count("*").alias("requests"), F.count("__known").alias("responses")
+    )
+    return out.withColumn("has_responses", F.col("responses") > 0)

@@ -1,4 +1,4 @@
-"""Graphs derived from relational tables; filters and columns reach the Parquet scan."""
+"""Graphs derived from whole relational tables; columns are pruned at the Parquet scan."""
 
 from __future__ import annotations
 
@@ -8,30 +8,51 @@ from pyspark.sql import functions as F
 from weftgraph.model import Graph, from_edges
 from weftgraph.operators.sort import lag_in_order
 
-#: Keeps supplier vertices apart from part vertices.
-SUPPLIER = 1_000_000
+#: What keeps the ids of suppliers, orders and order lines apart from those of parts and customers.
+SUPPLIER, ORDER, LINE = 1_000_000_000, 10_000_000_000, 1_000_000_000_000
 
 
-def bipartite_edges(spark: SparkSession, sf_dir: str, quantity: float, discount: float) -> DataFrame:
-    """(src part, dst supplier, weight), one row a pair, from large discounted line items."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where((F.col("l_quantity") >= quantity) & (F.col("l_discount") >= discount))
-    weight = F.min((F.col("l_quantity") * 100 + F.col("l_linenumber")).cast("bigint")).alias("weight")
-    return rows.groupBy(F.col("l_partkey").alias("src"), (F.lit(SUPPLIER) + F.col("l_suppkey")).alias("dst")).agg(weight)
+def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
+
+
+def sales_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Undirected forest: every customer with all orders, every order with all its lines; customers without orders stand alone."""
+    orders = _read(spark, sf_dir, "orders", "o_custkey", "o_orderkey")
+    lines = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber")
+    order = lambda key: (F.lit(ORDER) + F.col(key)).alias
+    line = F.lit(LINE) + F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    edges = orders.select(F.col("o_custkey").alias("src"), order("o_orderkey")("dst"))
+    edges = edges.union(lines.select(order("l_orderkey")("src"), line.alias("dst"))).distinct()
+    customers = _read(spark, sf_dir, "customer", "c_custkey").select(F.col("c_custkey").alias("id")).distinct()
+    return from_edges(edges, customers, undirected=True)
 
 
-def sparse_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Undirected, many small components."""
-    return from_edges(bipartite_edges(spark, sf_dir, 50, 0.08), undirected=True)
+def supply_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Undirected, with cycles: every part with all its suppliers, over all order lines; the weight is least of any line."""
+    rows = _read(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey", "l_quantity", "l_linenumber")
+    weight = F.min((F.col("l_quantity") * 100 + F.col("l_linenumber")).cast("bigint")).alias("weight")
+    ends = (F.col("l_partkey").alias("src"), (F.lit(SUPPLIER) + F.col("l_suppkey")).alias("dst"))
+    return from_edges(rows.groupBy(*ends).agg(weight), undirected=True)
 
 
-def cyclic_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Undirected, few components with cycles."""
-    return from_edges(bipartite_edges(spark, sf_dir, 49, 0.07), undirected=True)
+def _consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ts, event_id, before, user_id): every event but the first with the user of the one before."""
+    events = _read(spark, sf_dir, "events", "ts", "event_id", "user_id")
+    return lag_in_order(events, ["ts", "event_id"], "user_id", "before").where("before is not null")
 
 
 def event_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Directed: the user of the event before -> the user of a large purchase."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_id", "user_id", "event_type", "value")
-    rows = lag_in_order(events, ["ts", "event_id"], "user_id", "before")
-    rows = rows.where("event_type = 'purchase' and value >= 80 and before is not null and before <> user_id")
+    """Directed: the user of every event -> the user of the next one, if another."""
+    rows = _consecutive(spark, sf_dir).where("before <> user_id")
     return from_edges(rows.select(F.col("before").alias("src"), F.col("user_id").alias("dst")).distinct())
+
+
+def visit_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Directed and sparse: every user -> whoever comes after its first event, and after its last one, over all events."""
+    order = F.struct("ts", "event_id")
+    rows = _consecutive(spark, sf_dir).groupBy(F.col("before").alias("src"))
+    rows = rows.agg(F.array(F.min_by("user_id", order), F.max_by("user_id", order)).alias("next"))
+    edges = rows.select("src", F.explode("next").alias("dst")).distinct()
+    users = _read(spark, sf_dir, "events", "user_id").select(F.col("user_id").alias("id")).where("id is not null").distinct()
+    return from_edges(edges, users)

@@ -1,7 +1,8 @@
 """Where intermediate tables go so that a lost executor costs a task, not the job.
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``, the folder that all
-executors share. Only where that setting is absent (tests, notebooks) a local folder is used.
+executors share. Only where that setting is absent and the master is local (tests, notebooks) a
+local folder is used; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; set to a fresh local one only if unset."""
+    """The folder named by ``spark.checkpoint.dir``; set to a fresh local one only if unset on a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
