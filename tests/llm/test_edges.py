@@ -2,17 +2,19 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from weftgraph.llm import queries
+from weftgraph.llm import quality, queries
 from weftgraph.llm.queries import tokenizer_file
 
 EN, FR = "the cat sat on that mat with this hat and then there was rain", "le chat est sur une table avec des fleurs et puis il pleut encore"
@@ -120,3 +122,42 @@ def test_pipeline_decisions(spark, tables):
         assert r["n_tokens"] == len(encode(texts[r["doc_id"]], add_special_tokens=False).ids) + 1
     order = sorted(got, key=lambda r: r["start"])
     assert order[0]["start"] == 0 and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(order, order[1:]))
+
+
+def _plain_statistics(text):
+    """The statistics by their names, a character and a word at a time."""
+    words, lines = text.split(), [x for x in text.split("\n") if x]
+    m, chars, plain = len(words), max(1, len(text)), ".,;:'\"-()?"
+    symbol = lambda c: ord(c) < 0x3000 and not (c.isspace() or c.isdigit() or c.isupper() or c.isalpha() or c in plain or c in "!|")
+    digit = lambda c: c.isdigit() and ord(c) < 0x3000
+    share = lambda p: sum(map(p, text)) / chars
+    out = dict.fromkeys(quality.STATS, 0.0) | {
+        "n_chars": math.log1p(len(text)), "upper": share(lambda c: c.isupper() and not c.isdigit() and ord(c) < 0x3000), "digits": share(digit),
+        "symbols": share(symbol), "exclaims": text.count("!") / chars, "pipes": text.count("|") / chars,
+    }
+    if m:
+        out |= {
+            "n_words": math.log1p(m), "mean_word": sum(map(len, words)) / m, "distinct_words": len(set(words)) / m,
+            "repeated_next": sum(a == b for a, b in zip(words, words[1:])) / m, "top_word": max(map(words.count, words)) / m,
+            "marked_words": sum(not w[-1].isalpha() and w[-1] not in ".," for w in words) / m, "distinct_lines": len(set(lines)) / max(1, len(lines)),
+            "line_words": math.log1p(m / max(1, len(lines))), "punct_ends": sum(w.endswith(".") for w in words) / m,
+        }
+    return [out[k] for k in quality.STATS]
+
+
+def test_statistics_by_definition():
+    rng = random.Random(8)
+    texts = ["", " ", "\n\n", EN, LONG[:5000], "A|b!c 1. 1.\n1. x, é Ü ² 中 \U0001f600\x85"]
+    texts += ["".join(rng.choices("aB1 .,!|\n#é Ü²中\U0001f600\x85 ", k=rng.randrange(80))) for _ in range(300)]
+    assert np.allclose(quality.statistics(texts), [_plain_statistics(t) for t in texts])
+
+
+def test_quality_of_held_out_documents(spark):
+    """Ranks of held-out documents against their labels, at sf0.01."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").collect()}
+    rows = [(r["score"], labels.get(r["doc_id"])) for r in queries.op9_quality(spark, sf).collect() if r["held_out"]]
+    good, bad = ([s for s, y in rows if y == k] for k in (1, 0))
+    auc = np.mean([(g > b) + (g == b) / 2 for g in good for b in bad])
+    print("held-out AUC", auc, len(good), len(bad))
+    assert auc >= 0.95
