@@ -422,17 +422,47 @@ def test_similar_texts(spark, docs):
     assert not kept & {9001, 9003} and len([i for i in kept if i and 5000 < i < 5400]) == 0
     high = [i for i, j in near.items() if j >= 0.8]
     assert len(high) > 300 and sum(i in kept for i in high) <= 0.02 * len(high)
-    marked = simhash.with_fingerprint(df.select("doc_id", "text", "id").withColumn("id", F.monotonically_increasing_id()), "text", 5, orders=simhash.SHARES)
-    texts = simhash.with_pivots(marked.groupBy("fp", "shares").agg(F.min("id").alias("id")))
-    from weftgraph.algorithms.stars import star_components
-
-    plain, cut = ({(r[0], r[1]) for r in star_components(simhash.similar_links(texts, crowd=m)).collect()} for m in (4096, 12))
-    assert abs(len({c for _, c in plain}) - len({c for _, c in cut})) <= 3
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and kept.where("doc_id = 5 or doc_id = 1").count() == 0 and kept.where("doc_id = 159").count() == 1
     assert simhash.keep_one(docs.where("false")).count() == 0
 
 
+def test_similar_groups_by_definition(spark):
+    """Groups are the closure of all pairs that share 80 % of their distinct five-word shingles, at any size of buckets and slices."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    texts = [None, "", " ", "one two", "ONE two", "one two three four five six", "tock " * 90, "tock " * 60 + "tick", "word " * 40]
+    for n in (12, 30, 80, 200, 600):
+        for _ in range(8):
+            base = [word() for _ in range(n)]
+            texts.append(" ".join(base))
+            for _ in range(10):
+                changed = list(base)
+                for _ in range(rng.randint(0, max(1, n // 30))):
+                    changed[rng.randrange(n)] = word()
+                texts.append(" ".join(changed * rng.choice([1, 1, 1, 2]) + [word() for _ in range(rng.choice([0, 0, 1, n // 8]))]))
+    shared = " ".join(word() for _ in range(60))  # one passage in many texts that are not alike
+    texts += [shared + " " + " ".join(word() for _ in range(60)) for _ in range(60)]
+    rng.shuffle(texts)
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if (a == b or 5 * len(a & b) >= 4 * len(a | b)) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert 60 < len(set(root)) < len(texts) - 100
+    df = spark.createDataFrame(list(enumerate(texts)), "__row long, text string")
+    for crowd, weight in ((512, 2_000_000), (8, 900)):
+        got = {r[0]: r[1] for r in simhash.similar(df, crowd=crowd, weight=weight).collect()}
+        assert len(got) == len(texts)
+        assert all(root[g] == root[i] for i, g in got.items())  # nothing else is grouped
+        assert sum(got[i] == root[i] for i in got) >= 0.98 * len(got)  # the hash orders may miss a link
+
+
 def test_decontamination(spark, docs):
     items = [(1, EN), (1, EN), (2, "a B"), (3, None), (None, FR), (4, "le chat est sur une table avec des fleurs")]
     bench = spark.createDataFrame(items, "item_id long, text string")

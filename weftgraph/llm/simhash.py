@@ -18,11 +18,14 @@ Pivots alone would leave a third of all pairs, so what may share a bucket is nar
   loses no link. A bucket of more than ``MOST`` members is not compared but cut again: the bits not
   yet fixed are split in 4 parts, of which one must be equal. Members are distinct, so after the
   last cut a bucket has at most 2**15: tasks stay bounded and the result exact.
-* beyond (``similar``, texts that share 80 % of their shingles and more): a bucket holds the texts
-  that have the same least shingle hash under one of ``SHARES`` hash orders; texts of similarity j
-  miss all of them with probability (1 - j)**SHARES, 0.0003 at 0.8. In a bucket of more than
-  ``CROWD`` a second order must agree (missed by 0.7 % at 0.8); a bucket that has more than that
-  even so is cut into slices, of which every two meet. Texts of an equal fingerprint are linked.
+* texts that share 80 % of their five-word shingles and more (``similar``): fingerprints are of the
+  distinct shingles, and a bucket holds the texts that have the same least shingle hash under one
+  of ``SHARES`` hash orders; texts of similarity j miss all of them with probability
+  (1 - j)**SHARES, 0.0003 at 0.8. In a bucket of more than ``CROWD`` a second order must agree
+  (missed by 0.7 % at 0.8); a bucket that has more than that even so is cut into slices, of which
+  every two meet. Members with a partner within ``FAR`` bits (at 0.8 some 10 bits differ, with a
+  deviation of 3) are the candidates; at so many bits the pivots discard little. The shingle sets
+  of candidates then decide: a link is a pair of which they share 80 %, counted exactly.
 
 A null text is empty; without a word the fingerprint is 0. Empty documents link like any other.
 Texts of any length are read whole. Repeated rows share a fingerprint. An empty table gives no row.
@@ -41,13 +44,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.algorithms.stars import star_components
-from weftgraph.llm.common import chunks, lean, materialize
+from weftgraph.llm.common import chunks, discard, lean, materialize
 
 LIMIT = 3
 PIVOTS = 16
 MOST = 4096
 #: Bits of 64 by which texts of shingle similarity 0.8 and more differ, hash orders that bring them together, rows of a bucket.
-FAR, SHARES, CROWD = 12, 5, 512
+FAR, SHARES, CROWD = 22, 5, 512
+#: Per cent of their distinct shingles that similar texts share; shingles of a bucket that one task holds.
+SHARED, WEIGHT = 80, 2_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
@@ -72,6 +77,13 @@ def shingle_hashes(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray
     return np.array(hashes, np.uint64), np.array(counts, np.int64)
 
 
+def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text in ascending order, and their number."""
+    h, counts = shingle_hashes(texts, width)
+    own = [np.unique(x) for x in np.split(h, np.cumsum(counts)[:-1])] if len(counts) else []
+    return np.concatenate([np.zeros(0, np.uint64), *own]), np.array([len(x) for x in own], np.int64)
+
+
 def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Fingerprint of each text: a bit is 1 if it is in over half of the text's hashes."""
     out = np.zeros(len(counts), np.uint64)
@@ -103,7 +115,13 @@ def least_hashes(h: np.ndarray, counts: np.ndarray, orders: int) -> np.ndarray:
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 3, drop: tuple[str, ...] = (), orders: int = 0) -> DataFrame:
-    """docs (without drop) with the fingerprint as a signed long in `fp`, and with orders its least hashes in `shares`."""
+    """docs (without drop) with the fingerprint as a signed long in `fp`.
+
+    With orders the fingerprint is of the distinct shingles, and `shares` has their least hash under
+    each order and at last a hash of their whole set.
+    """
+    from xxhash import xxh64_intdigest as digest
+
     kept = docs.drop("fp", *["shares"] * bool(orders))
     at = kept.columns.index(text)
     names = [c for c in kept.columns if c not in drop]
@@ -114,12 +132,16 @@ def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 3, drop:
 
     def run(batches):
         for batch in batches:
-            parts = [shingle_hashes(part, width) for _, part in chunks(batch.column(at).to_pylist())]
-            fp = np.concatenate([majority(*p) for p in parts]) if parts else np.zeros(0, np.uint64)
-            more = [pa.array(fp.view(np.int64))]
+            fps, shares = [np.zeros(0, np.uint64)], [np.zeros((0, orders + 1), np.uint64)]
+            for _, part in chunks(batch.column(at).to_pylist()):
+                h, counts = (shingle_sets if orders else shingle_hashes)(part, width)
+                fps.append(majority(h, counts))
+                if orders:
+                    whole = [digest(x.tobytes(), 42) for x in np.split(h, np.cumsum(counts)[:-1])]
+                    shares.append(np.column_stack([least_hashes(h, counts, orders), np.array(whole, np.uint64)]))
+            more = [pa.array(np.concatenate(fps).view(np.int64))]
             if orders:
-                least = np.concatenate([least_hashes(*p, orders) for p in parts]) if parts else np.zeros((0, orders), np.uint64)
-                more.append(pa.array(list(least.view(np.int64)), pa.list_(pa.int64())))
+                more.append(pa.array(list(np.concatenate(shares).view(np.int64)), pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *more], names=schema.fieldNames())
 
     return kept.mapInArrow(lean(run), schema)
@@ -315,41 +337,108 @@ def links(fps: DataFrame, limit: int = LIMIT, most: int = MOST) -> DataFrame:
     return out
 
 
-def similar_links(own: DataFrame, limit: int = FAR, crowd: int = CROWD, orders: int = SHARES) -> DataFrame:
-    """(src, dst): links between rows of own (id, fp, pivots, shares) within limit bits, over the buckets of equal least hashes.
+def candidates(own: DataFrame, limit: int = FAR, crowd: int = CROWD, orders: int = SHARES) -> DataFrame:
+    """(mask, bucket, id, fp): buckets of equal least hashes, of those rows of own that have a partner within limit bits.
 
-    ids are of distinct (fp, shares). Sizes are counted before anything is gathered: no task gets
-    more than about `crowd` rows of a bucket.
+    own has id, fp, pivots and shares, ids are of distinct (fp, shares). Sizes are counted before
+    anything is gathered: no task gets more than about `crowd` rows of a bucket.
     """
     one = lambda k: F.lit(1 << k).cast("long")
     has = lambda k: F.col("mask").bitwiseAND(one(k)) != 0
     chosen = F.array(*[F.when(has(k), F.col("shares")[k]) for k in range(orders)])
     bucket = F.xxhash64("mask", chosen)
-    kept = ("mask", "bucket", "fp", "pivots", "shares")
-    rows = own.select("fp", "pivots", "shares", F.explode(F.array(*[one(k) for k in range(orders)])).alias("mask"))
-    rows = rows.withColumn("bucket", bucket).select(*kept)
-    crowds = materialize(_crowds(rows, crowd), "crowds")
-    out = _compared(rows.join(crowds, ["mask", "bucket"], "left_anti"), limit, None).select("a", "b")
+    kept = ("mask", "bucket", "id", "fp", "pivots")
+    rows = own.withColumn("mask", F.explode(F.array(*[one(k) for k in range(orders)]))).withColumn("bucket", bucket)
+    sizes = materialize(_sizes(rows, F.count("*")), "buckets")
+    placed = rows.join(sizes.where(F.col("n") <= crowd), ["mask", "bucket"]).select(*kept)
+    crowds = sizes.where(F.col("n") > crowd)
     if not crowds.isEmpty():  # there, two orders must agree
         more = F.filter(F.array(*[one(k) for k in range(orders)]), lambda m: F.col("mask").bitwiseAND(m) == 0)
         pairs = rows.join(crowds, ["mask", "bucket"]).withColumn("mask", F.explode(F.transform(more, lambda m: F.col("mask").bitwiseOR(m))))
         pairs = materialize(pairs.withColumn("bucket", bucket).select(*kept).distinct(), "crowded")
-        crowds = materialize(_crowds(pairs, crowd), "crowds")
-        out = out.union(_compared(pairs.join(crowds, ["mask", "bucket"], "left_anti"), limit, None).select("a", "b"))
-        if not crowds.isEmpty():  # every two slices of a bucket meet in a bucket of their own
-            slices = F.ceil(F.col("n") / (crowd / 2)).cast("long")
-            cut = pairs.join(crowds, ["mask", "bucket"]).withColumn("i", F.pmod(F.xxhash64("fp", "shares"), slices))
-            cut = cut.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)))
-            cut = cut.withColumn("bucket", F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j"))).select(*kept)
-            out = out.union(_compared(cut, limit, None).select("a", "b"))
-    by_fp = own.groupBy("fp").agg(F.min("id").alias("src"))
-    equal = own.select("id", "fp").join(by_fp, "fp").where("id <> src").select("src", F.col("id").alias("dst"))
-    a, b = by_fp.select(F.col("fp").alias("a"), "src"), by_fp.select(F.col("fp").alias("b"), F.col("src").alias("dst"))
-    return out.where("a <> b").distinct().join(a, "a").join(b, "b").select("src", "dst").union(equal)
+        placed = placed.union(_cut(pairs, _sizes(pairs, F.count("*")), crowd).select(*kept))
+    placed = materialize(placed, "placed")
+    near = _compared(placed, limit, None)
+    fps = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    return placed.join(fps, "fp", "left_semi").select("mask", "bucket", "id", "fp")
+
+
+def _sizes(rows: DataFrame, size) -> DataFrame:
+    """(mask, bucket, n): the size, an aggregate, of each bucket with two rows or more."""
+    return rows.groupBy("mask", "bucket").agg(size.alias("n"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+
+
+def _cut(rows: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """Rows in their buckets; of a bucket larger than most every two slices meet in a bucket of their own."""
+    slices = F.when(F.col("n") > most, F.ceil(F.col("n") / (most / 2))).otherwise(1).cast("long")
+    out = rows.join(sizes, ["mask", "bucket"]).withColumn("__slices", slices).withColumn("__i", F.pmod(F.xxhash64("id"), F.col("__slices")))
+    out = out.withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__slices") - 1)))
+    return out.withColumn("bucket", F.xxhash64("bucket", F.least("__i", "__j"), F.greatest("__i", "__j"))).drop("n", "__slices", "__i", "__j")
+
+
+def with_sets(rows: DataFrame, width: int) -> DataFrame:
+    """(id, n, shingles) of rows (id, text): the number of distinct shingles and their hashes as ascending 64-bit integers."""
 
+    def run(batches):
+        for batch in batches:
+            for begin, part in chunks(batch.column(1).to_pylist()):
+                h, counts = shingle_sets(part, width)
+                sets = [x.tobytes() for x in np.split(h, np.cumsum(counts)[:-1])]
+                cols = [batch.column(0).slice(begin, len(part)), pa.array(counts), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "shingles"])
+
+    return rows.select("id", "text").mapInArrow(lean(run), "id long, n long, shingles binary")
+
+
+def set_links(fps: np.ndarray, sets: list[np.ndarray], limit: int, shared: int = SHARED) -> list[tuple[int, int]]:
+    """A spanning forest of the links among some texts, as index pairs; a link's sets share `shared` per cent or more."""
+    size, label, out = np.array([len(x) for x in sets]), np.arange(len(sets)), []
+    for i in range(len(sets) - 1):
+        rest = slice(i + 1, None)
+        near = (label[rest] != label[i]) & (np.bitwise_count(fps[rest] ^ fps[i]) <= limit)
+        near &= 100 * np.minimum(size[rest], size[i]) >= shared * np.maximum(np.maximum(size[rest], size[i]), 1)
+        j = np.flatnonzero(near) + i + 1
+        if not len(j):
+            continue
+        others = np.concatenate([sets[k] for k in j])
+        hit = sets[i][np.minimum(np.searchsorted(sets[i], others), size[i] - 1)] == others
+        common = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[j]) - size[j])
+        for k in j[100 * common >= shared * (size[i] + size[j] - common)].tolist():
+            if label[k] != label[i]:
+                label[label == label[k]] = label[i]
+                out.append((i, k))
+    return out
+
+
+def exact_links(members: DataFrame, sets: DataFrame, limit: int = FAR, weight: int = WEIGHT) -> DataFrame:
+    """(src, dst): links between members (mask, bucket, id, fp) of a bucket, decided by their shingle sets (id, n, shingles)."""
+    sized = members.join(sets.select("id", "n").withColumnRenamed("n", "own"), "id")
+    placed = _cut(sized, _sizes(sized, F.sum("own")), weight).join(sets.select("id", "shingles"), "id")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = placed.select("mask", "bucket", "id", "fp", "shingles").repartition(parts, "mask", "bucket")
+    rows = rows.sortWithinPartitions("mask", "bucket", "id")
+
+    def run(batches):
+        at, held = None, []
+
+        def end():
+            ids, fps, sets = zip(*held)
+            pairs = set_links(np.array(fps, np.int64).view(np.uint64), [np.frombuffer(x, np.uint64) for x in sets], limit)
+            cols = [pa.array([ids[p[k]] for p in pairs], pa.int64()) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays(cols, names=["src", "dst"])
+
+        for batch in batches:
+            mask, bucket, ids, fps = (batch.column(k).to_pylist() for k in range(4))
+            for k in range(batch.num_rows):
+                if at != (mask[k], bucket[k]):
+                    if len(held) > 1:
+                        yield end()
+                    at, held[:] = (mask[k], bucket[k]), []
+                held.append((ids[k], fps[k], batch.column(4)[k].as_py()))
+        if len(held) > 1:
+            yield end()
 
-def _crowds(rows: DataFrame, crowd: int) -> DataFrame:
-    return rows.groupBy("mask", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+    return rows.mapInArrow(lean(run), "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, limit: int = LIMIT) -> DataFrame:
@@ -371,16 +460,19 @@ def _components(marked: DataFrame, limit: int) -> DataFrame:
     return marked.join(materialize(by_fp, "components"), "fp", "left")
 
 
-def similar(docs: DataFrame, text: str = "text", row: str = "__row", width: int = 5, limit: int = FAR) -> DataFrame:
-    """(row, group): rows of docs in groups of near-duplicates: the fingerprints of their five-word shingles agree in 80 % of the bits.
+def similar(docs: DataFrame, text: str = "text", row: str = "__row", width: int = 5, limit: int = FAR, crowd: int = CROWD, weight: int = WEIGHT) -> DataFrame:
+    """(row, group): rows of docs in groups of near-duplicates, texts that share 80 % or more of their distinct five-word shingles.
 
-    group is the least row of a group.
+    group is the least row of a group; groups are closed over chains of links.
     """
     rows = docs.select(F.col(row).alias("id"), F.col(text).cast("string").alias("text"))
     marked = materialize(with_fingerprint(rows, "text", width, drop=("text",), orders=SHARES), "similar")
     texts = marked.groupBy("fp", "shares").agg(F.min("id").alias("id"))
     texts = materialize(with_pivots(texts), "similar")
-    stars = materialize(star_components(similar_links(texts, limit)), "similar")
+    members = materialize(candidates(texts, limit, crowd), "candidates")
+    sets = materialize(with_sets(rows.join(members.select("id").distinct(), "id"), width), "shingles")
+    stars = materialize(star_components(exact_links(members, sets, limit, weight)), "similar")
+    discard(sets)
     named = texts.select("fp", "shares", "id").join(stars, "id", "left").select("fp", "shares", F.coalesce("component", "id").alias("group"))
     return marked.join(named, ["fp", "shares"]).select(F.col("id").alias(row), "group")
 
