@@ -456,7 +456,7 @@ def test_similar_groups_by_definition(spark):
                 root = [low if r == high else r for r in root]
     assert 60 < len(set(root)) < len(texts) - 100
     df = spark.createDataFrame(list(enumerate(texts)), "__row long, text string")
-    for crowd, weight in ((512, 2_000_000), (8, 900)):
+    for crowd, weight in ((512, 2_000_000), (8, 9000)):
         got = {r[0]: r[1] for r in simhash.similar(df, crowd=crowd, weight=weight).collect()}
         assert len(got) == len(texts)
         assert all(root[g] == root[i] for i, g in got.items())  # nothing else is grouped

@@ -22,10 +22,11 @@ Pivots alone would leave a third of all pairs, so what may share a bucket is nar
   distinct shingles, and a bucket holds the texts that have the same least shingle hash under one
   of ``SHARES`` hash orders; texts of similarity j miss all of them with probability
   (1 - j)**SHARES, 0.0003 at 0.8. In a bucket of more than ``CROWD`` a second order must agree
-  (missed by 0.7 % at 0.8); a bucket that has more than that even so is cut into slices, of which
-  every two meet. Members with a partner within ``FAR`` bits (at 0.8 some 10 bits differ, with a
-  deviation of 3) are the candidates; at so many bits the pivots discard little. The shingle sets
-  of candidates then decide: a link is a pair of which they share 80 %, counted exactly.
+  (missed by 0.7 % at 0.8) and all are candidates; elsewhere those with a partner within ``FAR``
+  bits are (at 0.8 some 10 bits differ, with a deviation of 3; at so many bits the pivots discard
+  little). The shingle sets of candidates then decide: a link is a pair within the bits of which
+  they share 80 %, counted exactly. Of buckets with the same members one is looked at. One of more
+  than ``WEIGHT`` shingles is cut into slices, of which every two meet.
 
 A null text is empty; without a word the fingerprint is 0. Empty documents link like any other.
 Texts of any length are read whole. Repeated rows share a fingerprint. An empty table gives no row.
@@ -51,8 +52,8 @@ PIVOTS = 16
 MOST = 4096
 #: Bits of 64 by which texts of shingle similarity 0.8 and more differ, hash orders that bring them together, rows of a bucket.
 FAR, SHARES, CROWD = 22, 5, 512
-#: Per cent of their distinct shingles that similar texts share; shingles of a bucket that one task holds.
-SHARED, WEIGHT = 80, 2_000_000
+#: Per cent of their distinct shingles that similar texts share; shingles of a bucket that one task holds, and for how many a row counts besides.
+SHARED, WEIGHT, ROW = 80, 2_000_000, 256
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
@@ -341,31 +342,36 @@ def candidates(own: DataFrame, limit: int = FAR, crowd: int = CROWD, orders: int
     """(mask, bucket, id, fp): buckets of equal least hashes, of those rows of own that have a partner within limit bits.
 
     own has id, fp, pivots and shares, ids are of distinct (fp, shares). Sizes are counted before
-    anything is gathered: no task gets more than about `crowd` rows of a bucket.
+    anything is gathered: buckets of more than `crowd` rows are not compared, their rows must agree
+    in a second order and are candidates as they are.
     """
     one = lambda k: F.lit(1 << k).cast("long")
     has = lambda k: F.col("mask").bitwiseAND(one(k)) != 0
     chosen = F.array(*[F.when(has(k), F.col("shares")[k]) for k in range(orders)])
     bucket = F.xxhash64("mask", chosen)
-    kept = ("mask", "bucket", "id", "fp", "pivots")
+    found_by, found = ("mask", "bucket", "id", "fp"), None
     rows = own.withColumn("mask", F.explode(F.array(*[one(k) for k in range(orders)]))).withColumn("bucket", bucket)
-    sizes = materialize(_sizes(rows, F.count("*")), "buckets")
-    placed = rows.join(sizes.where(F.col("n") <= crowd), ["mask", "bucket"]).select(*kept)
+    sizes = rows.groupBy("mask", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = materialize(sizes, "buckets")
+    placed = rows.join(sizes.where(F.col("n") <= crowd), ["mask", "bucket"]).select(*found_by, "pivots")
     crowds = sizes.where(F.col("n") > crowd)
     if not crowds.isEmpty():  # there, two orders must agree
         more = F.filter(F.array(*[one(k) for k in range(orders)]), lambda m: F.col("mask").bitwiseAND(m) == 0)
         pairs = rows.join(crowds, ["mask", "bucket"]).withColumn("mask", F.explode(F.transform(more, lambda m: F.col("mask").bitwiseOR(m))))
-        pairs = materialize(pairs.withColumn("bucket", bucket).select(*kept).distinct(), "crowded")
-        placed = placed.union(_cut(pairs, _sizes(pairs, F.count("*")), crowd).select(*kept))
+        found = materialize(pairs.withColumn("bucket", bucket).select(*found_by).distinct(), "crowded")
     placed = materialize(placed, "placed")
     near = _compared(placed, limit, None)
     fps = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    return placed.join(fps, "fp", "left_semi").select("mask", "bucket", "id", "fp")
+    close_by = placed.join(fps, "fp", "left_semi").select(*found_by)
+    return close_by if found is None else close_by.union(found)
 
 
-def _sizes(rows: DataFrame, size) -> DataFrame:
-    """(mask, bucket, n): the size, an aggregate, of each bucket with two rows or more."""
-    return rows.groupBy("mask", "bucket").agg(size.alias("n"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+def _weights(members: DataFrame) -> DataFrame:
+    """(mask, bucket, n): the weight, shingles and some for each row, of one bucket of those with the same members, two or more."""
+    hashes = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in range(2)]
+    sums = members.groupBy("mask", "bucket").agg(F.sum(F.col("own") + ROW).alias("n"), F.count("*").alias("rows"), F.min("id").alias("least"), *hashes)
+    alike = sums.where("rows > 1").groupBy("n", "rows", "least", "h0", "h1").agg(F.min(F.struct("mask", "bucket")).alias("one"))
+    return alike.select("one.mask", "one.bucket", "n")
 
 
 def _cut(rows: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
@@ -413,7 +419,7 @@ def set_links(fps: np.ndarray, sets: list[np.ndarray], limit: int, shared: int =
 def exact_links(members: DataFrame, sets: DataFrame, limit: int = FAR, weight: int = WEIGHT) -> DataFrame:
     """(src, dst): links between members (mask, bucket, id, fp) of a bucket, decided by their shingle sets (id, n, shingles)."""
     sized = members.join(sets.select("id", "n").withColumnRenamed("n", "own"), "id")
-    placed = _cut(sized, _sizes(sized, F.sum("own")), weight).join(sets.select("id", "shingles"), "id")
+    placed = _cut(sized, _weights(sized), weight).join(sets.select("id", "shingles"), "id")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = placed.select("mask", "bucket", "id", "fp", "shingles").repartition(parts, "mask", "bucket")
     rows = rows.sortWithinPartitions("mask", "bucket", "id")
@@ -438,7 +444,7 @@ def exact_links(members: DataFrame, sets: DataFrame, limit: int = FAR, weight: i
         if len(held) > 1:
             yield end()
 
-    return rows.mapInArrow(lean(run), "src long, dst long").distinct()
+    return materialize(rows.mapInArrow(lean(run), "src long, dst long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, limit: int = LIMIT) -> DataFrame:
