@@ -489,11 +489,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     Null ids come last. Among repeated rows of that id the one with the smallest row number stays.
     """
     full = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash_docs")
-    groups = similar(full, text, "__row", width, limit)
+    groups = materialize(similar(full, text, "__row", width, limit), "groups")
     ids = full.select("__row", F.col(doc_id).alias("__id"))
     order = F.struct(F.col("__id").isNull(), "__id", "__row")
-    kept = groups.join(ids, "__row").groupBy("group").agg(F.min(order)["__row"].alias("__row"))
-    return full.join(kept.select("__row"), "__row", "left_semi").drop("__row")
+    least = groups.join(ids, "__row").groupBy("group").agg(F.min(order)["__row"].alias("__keep"), F.count("*").alias("n")).where("n > 1")
+    gone = materialize(groups.join(least, "group").where("__row <> __keep").select("__row"), "gone")
+    return full.join(gone, "__row", "left_anti").drop("__row")
 
 
 def hex_fingerprint(column: str = "fp"):
