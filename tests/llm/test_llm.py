@@ -463,6 +463,53 @@ def test_similar_groups_by_definition(spark):
         assert sum(got[i] == root[i] for i in got) >= 0.98 * len(got)  # the hash orders may miss a link
 
 
+def test_similar_loses_no_link(spark):
+    """Every pair at 80 % is grouped: short texts whose fingerprints differ much, and partners inside a crowd of texts with one passage."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts, pairs = [], 0
+    for _ in range(6000):  # 4 of 5 shingles
+        own = [word() for _ in range(9)]
+        texts += [" ".join(own[:8]), " ".join(own)]
+        pairs += 1
+    passage = [word() for _ in range(40)]
+    for _ in range(700):  # 36 shingles of the passage and 24 of its own; the partner has 8 of these not: 52 of 60
+        own = [word() for _ in range(24)]
+        texts += [" ".join(passage + own), " ".join(passage + own[:16])]
+        pairs += 1
+    df = spark.createDataFrame(list(enumerate(texts)), "__row long, text string")
+    for crowd in (4096, 100):
+        got = {r[0]: r[1] for r in simhash.similar(df, crowd=crowd).collect()}
+        assert got == {i: i - i % 2 for i in range(2 * pairs)}
+
+
+def test_similar_keys_and_bitmaps(spark):
+    """Linked sets have a key in common in any order of the shingles and are not ruled out by their bitmaps; a common passage alone ties few."""
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 40), 63, 64, 65, 128, 129, 1000, 5000]:
+        for _ in range(5):
+            a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            gone = int(rng.integers(0, n - simhash.least_shared(n) + 1))
+            new = rng.integers(0, 1 << 64, int(rng.integers(0, max(1, int(0.25 * (n - gone)) - gone + 1))), dtype=np.uint64)
+            b = np.unique(np.concatenate([rng.permutation(a)[gone:], new]))
+            common = len(np.intersect1d(a, b))
+            if 100 * common < 80 * (len(a) + len(b) - common):
+                continue
+            keys = [x[: len(x) - simhash.least_shared(len(x)) + 1] for x in (a, b)]
+            assert len(np.intersect1d(*keys))
+            label = simhash.may_link([simhash.bitmap(a), simhash.bitmap(b)], np.array([len(a), len(b)]), np.arange(2))
+            assert label[0] == label[1]
+    word = lambda: "".join(map(chr, rng.integers(97, 107, 6)))
+    passage = " ".join(word() for _ in range(40))
+    texts = [passage + " " + " ".join(word() for _ in range(40)) for _ in range(400)]
+    texts += [t + " more" for t in texts[:3]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for known in (simhash.frequent_shingles(rows, 5), none):
+        got = {r["id"]: r["bucket"] for r in simhash.clusters(simhash.with_marks(rows, 5, *known)).collect()}
+        assert all(got[i] == got[400 + i] for i in range(3)) and len(got) < 100  # near fingerprints tie a few others
+
+
 def test_decontamination(spark, docs):
     items = [(1, EN), (1, EN), (2, "a B"), (3, None), (None, FR), (4, "le chat est sur une table avec des fleurs")]
     bench = spark.createDataFrame(items, "item_id long, text string")

@@ -18,15 +18,14 @@ Pivots alone would leave a third of all pairs, so what may share a bucket is nar
   loses no link. A bucket of more than ``MOST`` members is not compared but cut again: the bits not
   yet fixed are split in 4 parts, of which one must be equal. Members are distinct, so after the
   last cut a bucket has at most 2**15: tasks stay bounded and the result exact.
-* texts that share 80 % of their five-word shingles and more (``similar``): fingerprints are of the
-  distinct shingles, and a bucket holds the texts that have the same least shingle hash under one
-  of ``SHARES`` hash orders; texts of similarity j miss all of them with probability
-  (1 - j)**SHARES, 0.0003 at 0.8. In a bucket of more than ``CROWD`` a second order must agree
-  (missed by 0.7 % at 0.8) and all are candidates; elsewhere those with a partner within ``FAR``
-  bits are (at 0.8 some 10 bits differ, with a deviation of 3; at so many bits the pivots discard
-  little). The shingle sets of candidates then decide: a link is a pair within the bits of which
-  they share 80 %, counted exactly. Of buckets with the same members one is looked at. One of more
-  than ``WEIGHT`` shingles is cut into slices, of which every two meet.
+* texts that share 80 % of their five-word shingles and more (``similar``): two such sets have a
+  shingle in common among the first fifth of each, in any one order of all shingles. Those found
+  often in a sample come last in it, which keeps groups of a common first shingle small. In a group
+  the texts within ``TIED`` bits (fingerprints of the distinct shingles, pivots first) are tied, and
+  of the others those whose sizes and bitmaps do not rule a link out; ties make clusters, each text
+  is in one. The whole shingle sets of a cluster then decide. No step loses a link. A group of more
+  than ``CROWD`` members, or a cluster of more than ``WEIGHT`` shingles, is cut into slices, of
+  which every two meet.
 
 A null text is empty; without a word the fingerprint is 0. Empty documents link like any other.
 Texts of any length are read whole. Repeated rows share a fingerprint. An empty table gives no row.
@@ -50,10 +49,14 @@ from weftgraph.llm.common import chunks, discard, lean, materialize
 LIMIT = 3
 PIVOTS = 16
 MOST = 4096
-#: Bits of 64 by which texts of shingle similarity 0.8 and more differ, hash orders that bring them together, rows of a bucket.
-FAR, SHARES, CROWD = 22, 5, 512
-#: Per cent of their distinct shingles that similar texts share; shingles of a bucket that one task holds, and for how many a row counts besides.
+#: Bits of 64 within which texts of a group are tied without a look at their bitmaps, members of a group that meet in one task.
+TIED, CROWD = 10, 4096
+#: Per cent of their distinct shingles that similar texts share; shingles of a cluster that one task holds, and for how many a row counts besides.
 SHARED, WEIGHT, ROW = 80, 2_000_000, 256
+#: One text of so many is asked for frequent shingles, in how many of them one is frequent, and how many the driver holds.
+ASKED, OFTEN, KNOWN = 16, 4, 200_000
+#: Ids up to which a table of them is sent to the texts; beyond, the texts are shuffled.
+SENT = 1_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
@@ -102,48 +105,18 @@ def fingerprints(texts: list[str], width: int = 3) -> np.ndarray:
     return majority(*shingle_hashes(texts, width))
 
 
-def least_hashes(h: np.ndarray, counts: np.ndarray, orders: int) -> np.ndarray:
-    """Least shingle hash of each text under each of some hash orders; the text without a shingle has 0."""
-    out = np.zeros((len(counts), orders), np.uint64)
-    some = np.flatnonzero(counts)
-    begins = (np.cumsum(counts) - counts)[some]
-    for k in range(orders):
-        mixed = (h ^ (h >> np.uint64(29))) * np.uint64(2 * (k + 1) * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1)
-        mixed ^= mixed >> np.uint64(32)
-        if len(some):
-            out[some, k] = np.minimum.reduceat(mixed, begins)
-    return out
-
-
-def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 3, drop: tuple[str, ...] = (), orders: int = 0) -> DataFrame:
-    """docs (without drop) with the fingerprint as a signed long in `fp`.
-
-    With orders the fingerprint is of the distinct shingles, and `shares` has their least hash under
-    each order and at last a hash of their whole set.
-    """
-    from xxhash import xxh64_intdigest as digest
-
-    kept = docs.drop("fp", *["shares"] * bool(orders))
+def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 3, drop: tuple[str, ...] = ()) -> DataFrame:
+    """docs (without drop) with the fingerprint as a signed long in `fp`."""
+    kept = docs.drop("fp")
     at = kept.columns.index(text)
     names = [c for c in kept.columns if c not in drop]
-    added = [T.StructField("fp", T.LongType())]
-    if orders:
-        added.append(T.StructField("shares", T.ArrayType(T.LongType())))
-    schema = T.StructType([*(kept.schema[c] for c in names), *added])
+    schema = T.StructType([*(kept.schema[c] for c in names), T.StructField("fp", T.LongType())])
 
     def run(batches):
         for batch in batches:
-            fps, shares = [np.zeros(0, np.uint64)], [np.zeros((0, orders + 1), np.uint64)]
-            for _, part in chunks(batch.column(at).to_pylist()):
-                h, counts = (shingle_sets if orders else shingle_hashes)(part, width)
-                fps.append(majority(h, counts))
-                if orders:
-                    whole = [digest(x.tobytes(), 42) for x in np.split(h, np.cumsum(counts)[:-1])]
-                    shares.append(np.column_stack([least_hashes(h, counts, orders), np.array(whole, np.uint64)]))
-            more = [pa.array(np.concatenate(fps).view(np.int64))]
-            if orders:
-                more.append(pa.array(list(np.concatenate(shares).view(np.int64)), pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *more], names=schema.fieldNames())
+            fps = [np.zeros(0, np.uint64)]
+            fps += [fingerprints(part, width) for _, part in chunks(batch.column(at).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.concatenate(fps).view(np.int64))], names=schema.fieldNames())
 
     return kept.mapInArrow(lean(run), schema)
 
@@ -338,113 +311,256 @@ def links(fps: DataFrame, limit: int = LIMIT, most: int = MOST) -> DataFrame:
     return out
 
 
-def candidates(own: DataFrame, limit: int = FAR, crowd: int = CROWD, orders: int = SHARES) -> DataFrame:
-    """(mask, bucket, id, fp): buckets of equal least hashes, of those rows of own that have a partner within limit bits.
+def least_shared(n, shared: int = SHARED):
+    """Shingles that a set of n has in common with any set it is linked to, at the least."""
+    return -(-shared * n // 100)
+
+
+def frequent_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles found in `OFTEN` or more of every `ASKED`-th text of rows (id, text), ascending, and their counts.
 
-    own has id, fp, pivots and shares, ids are of distinct (fp, shares). Sizes are counted before
-    anything is gathered: buckets of more than `crowd` rows are not compared, their rows must agree
-    in a second order and are candidates as they are.
+    They only decide an order, so which texts are asked changes the work and not the result.
     """
-    one = lambda k: F.lit(1 << k).cast("long")
-    has = lambda k: F.col("mask").bitwiseAND(one(k)) != 0
-    chosen = F.array(*[F.when(has(k), F.col("shares")[k]) for k in range(orders)])
-    bucket = F.xxhash64("mask", chosen)
-    found_by, found = ("mask", "bucket", "id", "fp"), None
-    rows = own.withColumn("mask", F.explode(F.array(*[one(k) for k in range(orders)]))).withColumn("bucket", bucket)
-    sizes = rows.groupBy("mask", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = materialize(sizes, "buckets")
-    placed = rows.join(sizes.where(F.col("n") <= crowd), ["mask", "bucket"]).select(*found_by, "pivots")
-    crowds = sizes.where(F.col("n") > crowd)
-    if not crowds.isEmpty():  # there, two orders must agree
-        more = F.filter(F.array(*[one(k) for k in range(orders)]), lambda m: F.col("mask").bitwiseAND(m) == 0)
-        pairs = rows.join(crowds, ["mask", "bucket"]).withColumn("mask", F.explode(F.transform(more, lambda m: F.col("mask").bitwiseOR(m))))
-        found = materialize(pairs.withColumn("bucket", bucket).select(*found_by).distinct(), "crowded")
-    placed = materialize(placed, "placed")
-    near = _compared(placed, limit, None)
-    fps = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    close_by = placed.join(fps, "fp", "left_semi").select(*found_by)
-    return close_by if found is None else close_by.union(found)
-
-
-def _weights(members: DataFrame) -> DataFrame:
-    """(mask, bucket, n): the weight, shingles and some for each row, of one bucket of those with the same members, two or more."""
-    hashes = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in range(2)]
-    sums = members.groupBy("mask", "bucket").agg(F.sum(F.col("own") + ROW).alias("n"), F.count("*").alias("rows"), F.min("id").alias("least"), *hashes)
-    alike = sums.where("rows > 1").groupBy("n", "rows", "least", "h0", "h1").agg(F.min(F.struct("mask", "bucket")).alias("one"))
-    return alike.select("one.mask", "one.bucket", "n")
-
-
-def _cut(rows: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
-    """Rows in their buckets; of a bucket larger than most every two slices meet in a bucket of their own."""
-    slices = F.when(F.col("n") > most, F.ceil(F.col("n") / (most / 2))).otherwise(1).cast("long")
-    out = rows.join(sizes, ["mask", "bucket"]).withColumn("__slices", slices).withColumn("__i", F.pmod(F.xxhash64("id"), F.col("__slices")))
-    out = out.withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__slices") - 1)))
-    return out.withColumn("bucket", F.xxhash64("bucket", F.least("__i", "__j"), F.greatest("__i", "__j"))).drop("n", "__slices", "__i", "__j")
+
+    def run(batches):
+        for batch in batches:
+            for _, part in chunks(batch.column(0).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(part, width)[0].view(np.int64))], names=["shingle"])
+
+    asked = rows.where(F.pmod(F.xxhash64("id"), F.lit(ASKED)) == 0).select("text").mapInArrow(lean(run), "shingle long")
+    counted = asked.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    table = counted.orderBy(F.desc("n"), "shingle").limit(KNOWN).toArrow()
+    known, n = table["shingle"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    order = np.argsort(known)
+    return known[order], n[order]
+
+
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bit for each value of the hashes' low bits, one bit a shingle or more: whether an odd number of them has it.
+
+    Every bit in which two bitmaps differ stands for a shingle that is in one set only. A bitmap of
+    twice the length, its halves xored, is the one of the length.
+    """
+    bits = max(64, 1 << max(0, len(shingles) - 1).bit_length())
+    at = (shingles & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def with_sets(rows: DataFrame, width: int) -> DataFrame:
-    """(id, n, shingles) of rows (id, text): the number of distinct shingles and their hashes as ascending 64-bit integers."""
+def with_marks(rows: DataFrame, width: int, known: np.ndarray, often: np.ndarray) -> DataFrame:
+    """(id, fp, n, whole, more, bitmap, keys) of rows (id, text).
+
+    n is the number of distinct shingles, fp the fingerprint of these, whole and more are two hashes
+    of their set. keys are its first shingles in one order of all shingles, the known ones last and
+    the most frequent of them at the very end: so many that two sets which are linked have a key in
+    common.
+    """
+    from xxhash import xxh64_intdigest as digest
+
+    names = ["id", "fp", "n", "whole", "more", "bitmap", "keys"]
+    place = np.empty(len(known), np.int64)
+    place[np.lexsort((known, often))] = np.arange(1, len(known) + 1)
 
     def run(batches):
         for batch in batches:
             for begin, part in chunks(batch.column(1).to_pylist()):
                 h, counts = shingle_sets(part, width)
-                sets = [x.tobytes() for x in np.split(h, np.cumsum(counts)[:-1])]
-                cols = [batch.column(0).slice(begin, len(part)), pa.array(counts), pa.array(sets, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "shingles"])
+                late = np.zeros(len(h), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    late = np.where(known[at] == h, place[at], 0)
+                ends = np.cumsum(counts)[:-1]
+                sets, keys = np.split(h, ends), []
+                for own, own_late in zip(sets, np.split(late, ends)):
+                    first = len(own) - least_shared(len(own)) + 1 if len(own) else 0
+                    keys.append((own[np.argsort(own_late, kind="stable")] if own_late[:first].any() else own)[:first].view(np.int64))
+                whole, more = (pa.array(np.array([digest(x.tobytes(), seed) for x in sets], np.uint64).view(np.int64)) for seed in (42, 43))
+                cols = [batch.column(0).slice(begin, len(part)), pa.array(majority(h, counts).view(np.int64)), pa.array(counts), whole, more]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([bitmap(x) for x in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=names)
+
+    return rows.select("id", "text").mapInArrow(lean(run), "id long, fp long, n long, whole long, more long, bitmap binary, keys array<long>")
+
 
-    return rows.select("id", "text").mapInArrow(lean(run), "id long, n long, shingles binary")
+def _sent(ids: DataFrame) -> DataFrame:
+    """ids, a table of files, marked as sent to all tasks if it is not too long."""
+    return F.broadcast(ids) if ids.count() <= SENT else ids
 
 
-def set_links(fps: np.ndarray, sets: list[np.ndarray], limit: int, shared: int = SHARED) -> list[tuple[int, int]]:
+def key_groups(keys: DataFrame) -> DataFrame:
+    """(bucket, id, members): the ids of rows (key, id) that have a key in common; groups with the same members are one."""
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = keys.repartition(parts, "key").sortWithinPartitions("key", "id")
+
+    def run(batches):
+        seen = set()
+
+        def groups(key, ids):
+            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[begin, len(key)])
+            mixed = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            bucket = np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), begin)
+            some = np.flatnonzero(size > 1)
+            some = some[np.unique(bucket[some], return_index=True)[1]]
+            new = [k for k, x in zip(some.tolist(), bucket[some].tolist()) if x not in seen]
+            if len(seen) > 200_000:
+                seen.clear()
+            seen.update(bucket[new].tolist())
+            at = np.concatenate([np.zeros(0, np.int64), *(np.arange(begin[k], begin[k] + size[k]) for k in new)])
+            cols = [np.repeat(bucket[new], size[new]).view(np.int64), ids[at], np.repeat(size[new], size[new])]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["bucket", "id", "members"])
+
+        held = []  # what the last key has so far
+        for batch in batches:
+            key, ids = (batch.column(k).to_numpy() for k in range(2))
+            if not len(key):
+                continue
+            last = int(np.searchsorted(key, key[-1]))
+            if held and held[0][0][0] == key[-1]:
+                held.append((key.copy(), ids.copy()))
+                continue
+            own = [*held, (key[:last], ids[:last])]
+            held = [(key[last:].copy(), ids[last:].copy())]
+            if sum(len(x[0]) for x in own):
+                yield groups(*(np.concatenate(x) for x in zip(*own)))
+        if held:
+            yield groups(*(np.concatenate(x) for x in zip(*held)))
+
+    return rows.mapInArrow(lean(run), "bucket long, id long, members long").distinct()
+
+
+def _sliced(rows: DataFrame, size: str, most: int) -> DataFrame:
+    """Rows of buckets of a size; of one larger than most every two slices meet in a bucket of their own."""
+    slices = F.when(F.col(size) > most, F.ceil(F.col(size) / (most / 2))).otherwise(1).cast("long")
+    out = rows.withColumn("__slices", slices).withColumn("__i", F.pmod(F.xxhash64("id"), F.col("__slices")))
+    out = out.withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__slices") - 1)))
+    bucket = F.when(F.col("__slices") > 1, F.xxhash64("bucket", F.least("__i", "__j"), F.greatest("__i", "__j"))).otherwise(F.col("bucket"))
+    return out.withColumn("bucket", bucket).drop(size, "__slices", "__i", "__j")
+
+
+def may_link(maps: list[bytes], size: np.ndarray, label: np.ndarray, shared: int = SHARED) -> np.ndarray:
+    """label with all texts under one label that may be linked by their sizes and bitmaps; no link is missed.
+
+    Two sets that share the per cent differ in at most 100 - shared of 100 + shared parts of the
+    sum of their sizes. Bitmaps of linked sets have the same length or one has twice the other's.
+    """
+    length = np.array([len(m) for m in maps])
+    for n in np.unique(length).tolist():
+        at = np.flatnonzero((length == n) | (length == 2 * n))
+        bits = np.empty((len(at), n), np.uint8)
+        for row, k in enumerate(at.tolist()):
+            own = np.frombuffer(maps[k], np.uint8)
+            bits[row] = own if len(own) == n else own[:n] ^ own[n:]
+        bits, own_size = bits.view(np.uint64), size[at]
+        for row in np.flatnonzero(length[at] == n).tolist():
+            other = label[at] != label[at[row]]
+            other &= 100 * np.minimum(own_size, own_size[row]) >= shared * np.maximum(own_size, own_size[row])
+            other = np.flatnonzero(other)
+            if not len(other):
+                continue
+            differ = np.bitwise_count(bits[other] ^ bits[row]).sum(axis=1, dtype=np.int64)
+            for k in other[(100 + shared) * differ <= (100 - shared) * (own_size[other] + own_size[row])].tolist():
+                if label[at[k]] != label[at[row]]:
+                    label[label == label[at[k]]] = label[at[row]]
+    return label
+
+
+def _tied(batches):
+    """Map task over rows (bucket, id, fp, n, bitmap) sorted by bucket: pairs that tie all texts of a bucket that may be linked."""
+    at, held = None, []
+    pivots = _pivots()
+
+    def end():
+        ids, fps, size, maps = zip(*held)
+        fps, size = np.array(fps, np.int64).view(np.uint64), np.array(size)
+        label = np.arange(len(ids))
+        for a, b in bucket_links(fps, distance_table(fps, pivots), TIED):
+            label[label == label[a]] = label[b]
+        label = may_link(maps, size, label)
+        first = {}
+        pairs = [(ids[first[x]], ids[k]) for k, x in enumerate(label.tolist()) if first.setdefault(x, k) != k]
+        cols = [pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays(cols, names=["src", "dst"])
+
+    for batch in batches:
+        for bucket, *row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            if at != bucket:
+                if len(held) > 1:
+                    yield end()
+                at, held = bucket, []
+            held.append(row)
+    if len(held) > 1:
+        yield end()
+
+
+def clusters(marks: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(id, bucket): texts of marks that may be linked to another one; linked texts have the same bucket."""
+    parts = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = materialize(key_groups(marks.select(F.explode("keys").alias("key"), "id")), "groups")
+    rows = _sliced(groups, "members", crowd).join(marks.select("id", "fp", "n", "bitmap"), "id")
+    rows = rows.select("bucket", "id", "fp", "n", "bitmap").repartition(parts, "bucket").sortWithinPartitions("bucket", "id")
+    ties = materialize(rows.mapInArrow(lean(_tied), "src long, dst long").distinct(), "ties")
+    discard(groups)
+    out = materialize(star_components(ties).withColumnRenamed("component", "bucket"), "clusters")
+    discard(ties)
+    return out
+
+
+def set_links(sets: list[np.ndarray], shared: int = SHARED) -> list[tuple[int, int]]:
     """A spanning forest of the links among some texts, as index pairs; a link's sets share `shared` per cent or more."""
     size, label, out = np.array([len(x) for x in sets]), np.arange(len(sets)), []
     for i in range(len(sets) - 1):
         rest = slice(i + 1, None)
-        near = (label[rest] != label[i]) & (np.bitwise_count(fps[rest] ^ fps[i]) <= limit)
+        near = label[rest] != label[i]
         near &= 100 * np.minimum(size[rest], size[i]) >= shared * np.maximum(np.maximum(size[rest], size[i]), 1)
-        j = np.flatnonzero(near) + i + 1
-        if not len(j):
-            continue
-        others = np.concatenate([sets[k] for k in j])
-        hit = sets[i][np.minimum(np.searchsorted(sets[i], others), size[i] - 1)] == others
-        common = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[j]) - size[j])
-        for k in j[100 * common >= shared * (size[i] + size[j] - common)].tolist():
-            if label[k] != label[i]:
-                label[label == label[k]] = label[i]
-                out.append((i, k))
+        every = np.flatnonzero(near) + i + 1
+        for part in range(0, len(every), 256):
+            j = every[part : part + 256]
+            j = j[label[j] != label[i]]
+            if not len(j):
+                continue
+            others = np.concatenate([sets[k] for k in j])
+            hit = sets[i][np.minimum(np.searchsorted(sets[i], others), size[i] - 1)] == others
+            common = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[j]) - size[j])
+            for k in j[100 * common >= shared * (size[i] + size[j] - common)].tolist():
+                if label[k] != label[i]:
+                    label[label == label[k]] = label[i]
+                    out.append((i, k))
     return out
 
 
-def exact_links(members: DataFrame, sets: DataFrame, limit: int = FAR, weight: int = WEIGHT) -> DataFrame:
-    """(src, dst): links between members (mask, bucket, id, fp) of a bucket, decided by their shingle sets (id, n, shingles)."""
-    sized = members.join(sets.select("id", "n").withColumnRenamed("n", "own"), "id")
-    placed = _cut(sized, _weights(sized), weight).join(sets.select("id", "shingles"), "id")
+def exact_links(members: DataFrame, rows: DataFrame, width: int, weight: int = WEIGHT) -> DataFrame:
+    """(src, dst): links between members (bucket, id, n) of a bucket, decided by the shingle sets of their texts in rows (id, text)."""
+    sums = members.groupBy("bucket").agg(F.sum(F.col("n") + ROW).alias("weight"))
+    placed = materialize(_sliced(members.join(sums, "bucket").drop("n"), "weight", weight), "placed")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = placed.select("mask", "bucket", "id", "fp", "shingles").repartition(parts, "mask", "bucket")
-    rows = rows.sortWithinPartitions("mask", "bucket", "id")
+    texts = rows.select("id", "text").join(_sent(placed), "id")
+    texts = texts.select("bucket", "id", "text").repartition(parts, "bucket").sortWithinPartitions("bucket", "id")
 
     def run(batches):
-        at, held = None, []
+        at, ids, sets = None, [], []
 
         def end():
-            ids, fps, sets = zip(*held)
-            pairs = set_links(np.array(fps, np.int64).view(np.uint64), [np.frombuffer(x, np.uint64) for x in sets], limit)
+            pairs = set_links(sets)
             cols = [pa.array([ids[p[k]] for p in pairs], pa.int64()) for k in (0, 1)]
             return pa.RecordBatch.from_arrays(cols, names=["src", "dst"])
 
         for batch in batches:
-            mask, bucket, ids, fps = (batch.column(k).to_pylist() for k in range(4))
-            for k in range(batch.num_rows):
-                if at != (mask[k], bucket[k]):
-                    if len(held) > 1:
-                        yield end()
-                    at, held[:] = (mask[k], bucket[k]), []
-                held.append((ids[k], fps[k], batch.column(4)[k].as_py()))
-        if len(held) > 1:
+            buckets, own = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for begin, part in chunks(batch.column(2).to_pylist()):
+                h, counts = shingle_sets(part, width)
+                for k, x in enumerate(np.split(h, np.cumsum(counts)[:-1]), begin):
+                    if at != buckets[k]:
+                        if len(ids) > 1:
+                            yield end()
+                        at, ids, sets = buckets[k], [], []
+                    ids.append(own[k])
+                    sets.append(x.copy())
+        if len(ids) > 1:
             yield end()
 
-    return materialize(rows.mapInArrow(lean(run), "src long, dst long").distinct(), "links")
+    out = materialize(texts.mapInArrow(lean(run), "src long, dst long").distinct(), "links")
+    discard(placed)
+    return out
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, limit: int = LIMIT) -> DataFrame:
@@ -466,35 +582,41 @@ def _components(marked: DataFrame, limit: int) -> DataFrame:
     return marked.join(materialize(by_fp, "components"), "fp", "left")
 
 
-def similar(docs: DataFrame, text: str = "text", row: str = "__row", width: int = 5, limit: int = FAR, crowd: int = CROWD, weight: int = WEIGHT) -> DataFrame:
+def similar(docs: DataFrame, text: str = "text", row: str = "__row", width: int = 5, crowd: int = CROWD, weight: int = WEIGHT) -> DataFrame:
     """(row, group): rows of docs in groups of near-duplicates, texts that share 80 % or more of their distinct five-word shingles.
 
-    group is the least row of a group; groups are closed over chains of links.
+    group is the least row of a group; groups are closed over chains of links. No link is missed.
     """
     rows = docs.select(F.col(row).alias("id"), F.col(text).cast("string").alias("text"))
-    marked = materialize(with_fingerprint(rows, "text", width, drop=("text",), orders=SHARES), "similar")
-    texts = marked.groupBy("fp", "shares").agg(F.min("id").alias("id"))
-    texts = materialize(with_pivots(texts), "similar")
-    members = materialize(candidates(texts, limit, crowd), "candidates")
-    sets = materialize(with_sets(rows.join(members.select("id").distinct(), "id"), width), "shingles")
-    stars = materialize(star_components(exact_links(members, sets, limit, weight)), "similar")
-    discard(sets)
-    named = texts.select("fp", "shares", "id").join(stars, "id", "left").select("fp", "shares", F.coalesce("component", "id").alias("group"))
-    return marked.join(named, ["fp", "shares"]).select(F.col("id").alias(row), "group")
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, limit: int = FAR) -> DataFrame:
+    marks = materialize(with_marks(rows, width, *frequent_shingles(rows, width)), "marks")
+    equal = ["n", "fp", "whole", "more"]
+    least = marks.groupBy(*equal).agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    copies = materialize(marks.select("id", *equal).join(least, equal).where("id <> first").select("id", "first"), "copies")
+    texts = marks.join(_sent(copies.select("id")), "id", "left_anti")
+    members = materialize(clusters(texts, crowd).join(marks.select("id", "n"), "id"), "members")
+    links = exact_links(members, rows, width, weight)
+    stars = materialize(star_components(links), "similar")
+    named = marks.select("id").join(copies, "id", "left").select("id", F.coalesce("first", "id").alias("first"))
+    named = named.join(stars.withColumnRenamed("id", "first"), "first", "left")
+    out = materialize(named.select(F.col("id").alias(row), F.coalesce("component", "first").alias("group")), "similar")
+    for table in (marks, copies, members, links, stars):
+        discard(table)
+    return out
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
     """docs without near-duplicates (see similar): of each group the row of the smallest id stays, with all its columns.
 
     Null ids come last. Among repeated rows of that id the one with the smallest row number stays.
     """
     full = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash_docs")
-    groups = materialize(similar(full, text, "__row", width, limit), "groups")
+    groups = similar(full, text, "__row", width)
     ids = full.select("__row", F.col(doc_id).alias("__id"))
     order = F.struct(F.col("__id").isNull(), "__id", "__row")
     least = groups.join(ids, "__row").groupBy("group").agg(F.min(order)["__row"].alias("__keep"), F.count("*").alias("n")).where("n > 1")
     gone = materialize(groups.join(least, "group").where("__row <> __keep").select("__row"), "gone")
-    return full.join(gone, "__row", "left_anti").drop("__row")
+    discard(groups)
+    return full.join(_sent(gone), "__row", "left_anti").drop("__row")
 
 
 def hex_fingerprint(column: str = "fp"):
