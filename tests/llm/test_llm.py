@@ -398,6 +398,29 @@ def test_pivots_discard_no_link(spark):
         assert (own == label).all()
 
 
+def test_known_pieces_cost_a_lookup(monkeypatch):
+    """Ids equal the tokenizer's through all generations of kept pieces; a piece that is kept is not matched again."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcde\u00e9\u4e2d1", k=rng.randint(1, 9))) + rng.choice(["", "", ".", "?!", "),", "$\u00e9", "<|", "..\u4e2d."])
+    texts = [rng.choice([" ", "\n", "  ", " \n\t"]).join(word() for _ in range(rng.randint(1, 60))) for _ in range(300)] + ["", None, " ", ".", "\n.", "a<|endoftext|>b"]
+    expected = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for kept in (450_000, 500, 0):
+        monkeypatch.setattr(token_binary, "_KEPT", kept)
+        encoder = token_binary.Encoder(Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json")))
+        for begin in range(0, 600, 50):
+            part = [k % len(texts) for k in range(begin, begin + 50)]
+            assert list(encoder.encode_many(pa.array([texts[k] for k in part]))) == [expected[k] for k in part]
+    encoder = token_binary.Encoder(Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json")))
+    monkeypatch.setattr(token_binary, "_KEPT", 450_000)
+    first = list(encoder.encode_many(pa.array(texts)))
+    matched, match = [], token_binary.pc.match_substring_regex
+    monkeypatch.setattr(token_binary.pc, "match_substring_regex", lambda x, *a, **k: matched.append(len(x)) or match(x, *a, **k))
+    assert list(encoder.encode_many(pa.array(texts))) == first == expected and not sum(matched)
+
+
 def test_similar_texts(spark, docs):
     """keep_one drops copies and texts that share 80 % of their five-word shingles, and leaves others alone."""
     rng = random.Random(21)

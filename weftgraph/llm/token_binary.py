@@ -28,6 +28,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,9 @@ _HEAD, _ENTRY = struct.Struct("<5sB32sI"), struct.Struct("<BqQIQ")
 _SAFE = re.compile(r"[!-~\w]")
 #: Pieces that can be encoded many at a time, and pieces with a tail of signs after a letter or digit.
 _EASY = "^\n?[!-~\u00c0-\u024f]+$"
-_TAILED = "^(?P<bare>(?s:.*)[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])(?P<tail>[.,;:!?|*#&%$@()]+)$"
+_SIGNS = ".,;:!?|*#&%$@()"
+_TAILED = f"^(?P<bare>(?s:.*)[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])(?P<tail>[{_SIGNS}]+)$"
+_NEW = object()
 _KEPT = 450_000
 #: Ids of a training sample of the dictionary.
 PIECE = 4096
@@ -86,26 +89,34 @@ class Pieces(dict):
         for p, a, b in zip(pieces, cuts, cuts[1:]):
             self[p] = data[4 * a : 4 * b] if p[0] == "\n" else data[4 * a + 4 : 4 * b]
 
-    def ids(self, pieces: list[str], easy: list[bool]) -> list[bytes | None]:
-        old = self.old
-        missing = []
-        for p, plain in zip(pieces, easy):
-            if p not in self:
-                if p in old:
-                    self[p] = old[p]
-                elif plain and "<|" not in p:
+    def ids(self, pieces: pa.Array) -> list[bytes | None]:
+        old, texts = self.old, pieces.to_numpy(zero_copy_only=False).tolist()
+        out = list(map(self.get, texts, repeat(_NEW)))
+        new = [k for k, v in enumerate(out) if v is _NEW]
+        if old:
+            for k in new:
+                if (v := old.get(texts[k], _NEW)) is not _NEW:
+                    self[texts[k]] = out[k] = v
+            new = [k for k in new if out[k] is _NEW]
+        if new:
+            easy = pc.match_substring_regex(pieces.take(pa.array(new)), _EASY).to_numpy(zero_copy_only=False).tolist()
+            missing = []
+            for k, plain in zip(new, easy):
+                p = texts[k]
+                if plain and "<|" not in p:
                     missing.append(p)
+                    continue
+                rest = p[1:] if p[:1] == "\n" else p
+                if not _SAFE.match(rest):
+                    self[p] = None
+                elif rest is p:
+                    self[p] = self.whole(" " + p)
                 else:
-                    rest = p[1:] if p[:1] == "\n" else p
-                    if not _SAFE.match(rest):
-                        self[p] = None
-                    elif rest is p:
-                        self[p] = self.whole(" " + p)
-                    else:
-                        self[p] = self.newline + self.whole(rest)
-        if missing:
-            self.learn(missing)
-        out = [self[p] for p in pieces]
+                    self[p] = self.newline + self.whole(rest)
+            if missing:
+                self.learn(missing)
+            for k in new:
+                out[k] = self[texts[k]]
         if len(self) > _KEPT:  # two generations: what was not asked for during one is forgotten
             self.old = dict(self)
             self.clear()
@@ -146,10 +157,14 @@ class Encoder:
         split = pc.split_pattern(lines, " ")
         coded = split.values.dictionary_encode()
         codes, known = coded.indices.to_numpy(), coded.dictionary
-        cut = pc.extract_regex(known, _TAILED)
-        bare = pc.coalesce(pc.struct_field(cut, "bare"), known).dictionary_encode()
-        tail = pc.fill_null(pc.struct_field(cut, "tail"), "").dictionary_encode()
-        heads = self.pieces.ids(bare.dictionary.to_pylist(), pc.match_substring_regex(bare.dictionary, _EASY).to_pylist())
+        signed = np.flatnonzero(pc.not_equal(pc.ascii_rtrim(known, _SIGNS), known).to_numpy(zero_copy_only=False))
+        cut = pc.extract_regex(known.take(pa.array(signed)), _TAILED)  # null: no tail
+        place = np.full(len(known), -1)
+        place[signed] = np.arange(len(signed))
+        place = pa.array(place, mask=place < 0)
+        bare = pc.coalesce(pc.struct_field(cut, "bare").take(place), known).dictionary_encode()
+        tail = pc.fill_null(pc.struct_field(cut, "tail").take(place), "").dictionary_encode()
+        heads = self.pieces.ids(bare.dictionary)
         tails = [self.pieces.whole(t) for t in tail.dictionary.to_pylist()]
         bad = np.fromiter((h is None for h in heads), bool, len(heads))[bare.indices.to_numpy()]
         ids = [*(h or b"" for h in heads), *tails]
@@ -166,7 +181,7 @@ class Encoder:
         special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
         # The first piece of each text is the empty one before its first newline: it is known as wrong.
         whole = special | (wrong[offsets[1:]] - wrong[offsets[:-1]] > 1)
-        del codes, known, cut, bare, tail, heads, tails, both, n, flat, start, split, coded, lines
+        del codes, known, signed, cut, place, bare, tail, heads, tails, both, n, flat, start, split, coded, lines
         for k, (a, b, alone) in enumerate(zip(total[offsets[:-1]].tolist(), total[offsets[1:]].tolist(), whole.tolist())):
             if alone:
                 text = texts[k].as_py()
