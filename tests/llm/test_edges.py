@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from weftgraph.llm import quality, queries
 from weftgraph.llm.queries import tokenizer_file
+from weftgraph.storage import shared_dir
 
 EN, FR = "the cat sat on that mat with this hat and then there was rain", "le chat est sur une table avec des fleurs et puis il pleut encore"
 #: Beyond the million characters at which batches of texts are cut.
@@ -161,3 +162,16 @@ def test_quality_of_held_out_documents(spark):
     auc = np.mean([(g > b) + (g == b) / 2 for g in good for b in bad])
     print("held-out AUC", auc, len(good), len(bad))
     assert auc >= 0.95
+
+
+def test_pipeline_leaves_no_table_of_an_earlier_stage(spark):
+    """Once a stage's table is written, the one it was made of goes, and so do the tables of the dedup search; inputs stay."""
+    from pathlib import Path
+
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "weftgraph"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    left = {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p not in before}
+    assert "mixing" in left and not left & {"language_id", "simhash_dedup", "decontamination", "marks", "groups", "ties", "members", "placed", "links"}
+    assert spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count() == docs
