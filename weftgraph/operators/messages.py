@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of mirrored states that may be broadcast; more are salted.
-BROADCAST = 32 << 20
+#: Bytes of states that may be broadcast, by their number and width; of mirrored ones more are salted.
+BROADCAST = 16 << 20
+#: More hubs than this are not mirrored by a given tau, but from ``HUB`` on.
+MIRRORS = 250_000
 SALTS = 16
 #: Out-edges from which a vertex is a hub, whatever the number of partitions.
 HUB = 20_000
@@ -28,6 +30,12 @@ def row_bytes(schema: T.StructType) -> int | None:
     return total
 
 
+def sized(states: DataFrame, n: int | None) -> DataFrame:
+    """states as a side of a join: broadcast if n of them are small, else sorted and merged, whatever their files take."""
+    width = row_bytes(states.schema)
+    return F.broadcast(states) if n is not None and width is not None and width * n <= BROADCAST else states.hint("merge")
+
+
 @dataclass
 class Spread:
     """Edges split once: those of ordinary vertices, partitioned by source, and those of hubs, dealt over all partitions."""
@@ -36,24 +44,27 @@ class Spread:
     hot: DataFrame | None = None
     hubs: DataFrame | None = None  # (id)
     n_hubs: int = 0
+    most: int = 0  # out-edges of a vertex
+    total: int = 0  # of all
+    sources: int = 0
 
-    def along(self, states: DataFrame) -> DataFrame:
+    def along(self, states: DataFrame, n: int | None = None) -> DataFrame:
         """states joined to their out-edges (by id = src); the rows do not depend on the split.
 
         States of hubs reach their edges without a shuffle of these: by broadcast where their
-        number and width prove it small, over salted keys beyond that.
+        number and width prove it small, over salted keys beyond that. n: how many states there are.
         """
-        rows = states.join(self.cold, F.col("id") == F.col("src"))
+        rows = sized(states, n).join(self.cold, F.col("id") == F.col("src"))
         if self.hot is None:
             return rows
-        own = states.join(self.hubs, "id", "left_semi")
+        own = states.join(sized(self.hubs, self.n_hubs), "id", "left_semi")
         width = row_bytes(states.schema)
         if width is not None and width * self.n_hubs <= BROADCAST:
             return rows.unionByName(F.broadcast(own).join(self.hot, F.col("id") == F.col("src")))
         salted = self.hot.withColumn("__salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int"))
         copies = own.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
         on = (F.col("id") == F.col("src")) & (copies["__salt"] == salted["__salt"])
-        return rows.unionByName(copies.join(salted, on).drop("__salt"))
+        return rows.unionByName(copies.hint("merge").join(salted, on).drop("__salt"))
 
     def mirrored(self, states: DataFrame) -> int:
         """How many of the states go out by mirrors."""
@@ -66,28 +77,32 @@ class Spread:
 
 
 def spread(edges: DataFrame, tau: int | None = None, persist: bool = True) -> Spread:
-    """edges split at degree tau; without it at a quarter of a partition's even share, ``HUB`` at least."""
+    """edges split at degree tau; without it at a quarter of a partition's even share, ``HUB`` at least.
+
+    So are they with tau if it makes over ``MIRRORS`` hubs: their states are too many to be sent to
+    every task, and a copy pays only where it serves many edges.
+    """
     if tau is not None and tau < 1:
         raise ValueError("tau must be at least 1")
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     degrees = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
-    if tau is None:
-        total, most = degrees.agg(F.sum("degree"), F.max("degree")).first()
-        tau = max(HUB, (total or 0) // (4 * parts))
-        n = 0 if (most or 0) < tau else 1
-    else:
-        n = 1
-    keep = (lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)) if persist else (lambda df: df)
+    hub = F.col("degree") >= (HUB if tau is None else tau)
+    total, most, n, sources = degrees.agg(F.sum("degree"), F.max("degree"), F.count_if(hub), F.count("*")).first()
+    facts = {"most": most or 0, "total": total or 0, "sources": sources}
+    if tau is None or n > MIRRORS:
+        tau = max(HUB, (total or 0) // (4 * parts), tau or 0)
+    n = int((most or 0) >= tau)
+    keep = (lambda df: df.sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)) if persist else (lambda df: df)
     if n:
         hubs = degrees.where(F.col("degree") >= tau).select("id").persist(StorageLevel.MEMORY_AND_DISK)
         n = hubs.count()
     if not n:
-        return Spread(keep(edges.repartition(parts, "src") if persist else edges))
-    ids = hubs.withColumnRenamed("id", "src")
+        return Spread(keep(edges.repartition(parts, "src") if persist else edges), **facts)
+    ids = sized(hubs.withColumnRenamed("id", "src"), n)
     cold, hot = edges.join(ids, "src", "left_anti"), edges.join(ids, "src", "left_semi")
     if persist:
         cold, hot = cold.repartition(parts, "src"), hot.repartition(parts, "src", "dst")
-    return Spread(keep(cold.select(*edges.columns)), keep(hot.select(*edges.columns)), hubs, n)
+    return Spread(keep(cold.select(*edges.columns)), keep(hot.select(*edges.columns)), hubs, n, **facts)
 
 
 def along_edges(states: DataFrame, edges: DataFrame, tau: int | None = None) -> DataFrame:

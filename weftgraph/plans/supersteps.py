@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.metrics import log
 from weftgraph.model import Graph
-from weftgraph.operators.messages import combine
-from weftgraph.storage import discard, materialize
+from weftgraph.operators.messages import combine, sized
+from weftgraph.storage import discard, written
 
 #: Tables of changes that a state may have before it is merged.
 DELTAS = 3
@@ -90,27 +90,29 @@ class _State:
 
     def __init__(self, table: DataFrame, columns: list[str]):
         self.base, self.changes, self.columns = table, [], columns
+        self.sizes: list[int] = []  # rows of the changes
         self.own = False  # whether base is a table of this run: the caller's vertices are not deleted
 
     def rows(self) -> DataFrame:
         out = self.base.select(*self.columns)
-        for change in self.changes:
-            out = out.join(change.select("id"), "id", "left_anti").unionByName(change.select(*self.columns))
+        for change, n in zip(self.changes, self.sizes, strict=True):
+            out = out.join(sized(change.select("id"), n), "id", "left_anti").unionByName(change.select(*self.columns))
         return out
 
     def replace(self, table: DataFrame) -> None:
         old = [*([self.base] if self.own else []), *self.changes]
-        self.base, self.changes, self.own = table, [], True
+        self.base, self.changes, self.sizes, self.own = table, [], [], True
         for t in old:
             discard(t)
 
-    def change(self, table: DataFrame) -> list[DataFrame]:
-        """Adds a table of changes; returns tables that are no longer part of the state but by that table."""
+    def change(self, table: DataFrame, n: int) -> list[DataFrame]:
+        """Adds a table of n changes; returns tables that are no longer part of the state but by that table."""
         self.changes.append(table)
+        self.sizes.append(n)
         if len(self.changes) <= DELTAS:
             return []
         old = [*([self.base] if self.own else []), *self.changes[:-1]]
-        self.base, self.changes, self.own = materialize(self.rows(), "state"), [], True
+        self.base, self.changes, self.sizes, self.own = written(self.rows(), "state"), [], [], True
         for t in old:
             discard(t)
         return [table]
@@ -157,7 +159,7 @@ def run(
             combined, mirrored = None, None
             if step > 1 and program.combine and sent:
                 senders = last.where("sends").select("id", *values)
-                rows = edges.along(senders) if program.message else None
+                rows = edges.along(senders, sent) if program.message else None
                 if rows is not None:
                     rows = rows.select("dst", *[c.alias(n) for n, c in program.message.items()])
                 if program.messages is not None:
@@ -165,6 +167,8 @@ def run(
                     rows = other if rows is None else rows if other is None else rows.unionByName(other)
                 combined = combine(rows, **{f"msg_{n}": c for n, c in program.combine.items()})
                 combined = combined.withColumn("__got", F.lit(True))
+                if program.messages is None:
+                    combined = sized(combined, sent * edges.most)
                 mirrored = edges.mirrored(senders) if report and program.message else None
             every = wake or active >= vertices or 4 * (active + sent) > vertices
             joined = _eligible(state.rows(), combined, program, every, wake, active)
@@ -178,16 +182,16 @@ def run(
                 F.count("*").alias("rows"),
                 *(c.alias(f"agg_{n}") for n, c in program.aggregates.items()),
             ]
-            written = materialize(picked.observe(watch, *counts), "step")
+            table = written(picked.observe(watch, *counts), "step")
             got = watch.get
             for t in spent:
                 discard(t)
             if every:
-                state.replace(written)
+                state.replace(table)
                 spent = []
             else:
-                spent = state.change(written)
-            last = written
+                spent = state.change(table, got["rows"])
+            last = table
             new_rows = program.add(context, last)
             added = _add(state, new_rows, values) if new_rows is not None else 0
             sent, active, vertices = got["sent"], got["active"] + added, (got["rows"] if every else vertices) + added
@@ -234,12 +238,12 @@ def _add(state: _State, new_rows: DataFrame, values: list[str]) -> int:
     fresh = new_rows.dropDuplicates(["id"]).join(state.rows().select("id"), "id", "left_anti")
     watch = Observation()
     fresh = fresh.select("id", *values).withColumn("active", F.lit(True))
-    table = materialize(fresh.observe(watch, F.count("*").alias("n")), "added")
+    table = written(fresh.observe(watch, F.count("*").alias("n")), "added")
     n = watch.get["n"]
-    state.base, state.changes, state.own = materialize(state.rows().unionByName(table), "state"), [], True
+    state.base, state.changes, state.sizes, state.own = written(state.rows().unionByName(table), "state"), [], [], True
     return n
 
 
 def _counted(last: DataFrame, key: Column, name: str) -> DataFrame:
     """(key, n): computed vertices by key; a table to join, whatever the number of keys."""
-    return materialize(last.where("__on").groupBy(key.alias("key")).agg(F.count("*").alias("n")), name)
+    return written(last.where("__on").groupBy(key.alias("key")).agg(F.count("*").alias("n")), name)
