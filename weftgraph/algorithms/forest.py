@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from weftgraph.model import Graph, edge_once
 from weftgraph.operators.messages import request
 from weftgraph.plans.supersteps import NotConverged
-from weftgraph.storage import discard, materialize
+from weftgraph.storage import discard, written
 
 
 def jump_to_roots(parents: DataFrame, lookup: bool = False, max_rounds: int = 64) -> DataFrame:
     """(id, root) from (id, parent) without cycles but roots' own; pointers double each round."""
-    state = materialize(parents.select("id", F.col("parent").alias("root")), "jump")
+    state = written(parents.select("id", F.col("parent").alias("root")), "jump")
     for _ in range(max_rounds):
         watch = Observation()
         up = request(state, state, "root", {"up": F.col("root")}, distinct=lookup)
         new = up.select("id", F.coalesce("up", "root").alias("root"), (F.col("up") != F.col("root")).alias("moved"))
-        after = materialize(new.observe(watch, F.count_if("moved").alias("moved")).drop("moved"), "jump")
+        after = written(new.observe(watch, F.count_if("moved").alias("moved")).drop("moved"), "jump")
         discard(state)
         state = after
         if not watch.get["moved"]:
@@ -33,12 +33,12 @@ def spanning_forest_edges(graph: Graph, lookup: bool = False, max_rounds: int =
     component's least outgoing edge (a grouped minimum), hooks, contracts and drops inner edges.
     """
     once = edge_once(graph.edges)
-    live = materialize(once.select("u", "v", "weight", F.col("u").alias("a"), F.col("v").alias("b")), "msf")
+    live = written(once.select("u", "v", "weight", F.col("u").alias("a"), F.col("v").alias("b")), "msf")
     picked = []
     for _ in range(max_rounds + 1):
         order = F.struct("weight", F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo"))
         both = live.select(F.col("a").alias("id"), F.col("b").alias("other"), order.alias("e")).union(live.select("b", "a", order))
-        best = materialize(both.groupBy("id").agg(F.min(F.struct("e", "other")).alias("m")).select("id", "m.e", "m.other"), "msf")
+        best = written(both.groupBy("id").agg(F.min(F.struct("e", "other")).alias("m")).select("id", "m.e", "m.other"), "msf")
         if best.isEmpty():
             break
         picked.append(best.select("e").distinct())
@@ -48,7 +48,7 @@ def spanning_forest_edges(graph: Graph, lookup: bool = False, max_rounds: int =
         roots = jump_to_roots(hooks, lookup)
         a, b = roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
         new = live.join(a, "a").join(b, "b").where("ra <> rb").select("u", "v", "weight", F.col("ra").alias("a"), F.col("rb").alias("b"))
-        after = materialize(new, "msf")
+        after = written(new, "msf")
         discard(live)
         live = after
     else:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.model import Graph
 from weftgraph.operators.messages import along_edges, push, request
 from weftgraph.plans.supersteps import Context, Program, run
-from weftgraph.storage import materialize
+from weftgraph.storage import written
 
 
 def page_rank(graph: Graph, updates: int = 10, tau: int | None = None, damping: float = 0.85) -> DataFrame:
@@ -16,7 +16,7 @@ def page_rank(graph: Graph, updates: int = 10, tau: int | None = None, damping:
 
     What is sent to a missing vertex is lost.
     """
-    ranked = Graph(materialize(graph.degrees(), "degrees"), graph.edges)
+    ranked = Graph(written(graph.degrees(), "degrees"), graph.edges)
     dangling = F.sum(F.when((F.col("degree") == 0) & F.col("__on"), F.col("rank")))
 
     def compute(c: Context) -> dict[str, Column]:

@@ -9,7 +9,7 @@ from weftgraph.algorithms.components import min_label_run
 from weftgraph.model import Graph
 from weftgraph.operators.sort import global_rank
 from weftgraph.plans.supersteps import NotConverged
-from weftgraph.storage import discard, materialize
+from weftgraph.storage import discard, written
 
 #: Rests of at most so many vertices are left open where the number of rounds is given.
 SMALL = 3
@@ -23,7 +23,7 @@ def trim(graph: Graph, max_rounds: int = 10_000) -> DataFrame:
     """
     watch = Observation()
     live = graph.edges.select("src", "dst").where("src <> dst").distinct()
-    live = materialize(live.observe(watch, F.count("*").alias("n")), "trim")
+    live = written(live.observe(watch, F.count("*").alias("n")), "trim")
     n = watch.get["n"]
     for _ in range(max_rounds):
         if not n:
@@ -33,7 +33,7 @@ def trim(graph: Graph, max_rounds: int = 10_000) -> DataFrame:
         # an edge stays if something enters its source and something leaves its target
         kept = live.join(targets.select(F.col("dst").alias("src")), "src", "left_semi")
         kept = kept.join(sources.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst")
-        after = materialize(kept.observe(watch, F.count("*").alias("n")), "trim")
+        after = written(kept.observe(watch, F.count("*").alias("n")), "trim")
         before, n = n, watch.get["n"]
         discard(live)
         live = after
@@ -48,7 +48,7 @@ def trim(graph: Graph, max_rounds: int = 10_000) -> DataFrame:
 
 def min_labels(graph: Graph) -> DataFrame:
     """(id, min_forward, min_backward): the least id that reaches a vertex; the least root (own least id) that it reaches, -1 if none."""
-    forward = materialize(min_label_run(graph).state.withColumnRenamed("label", "min_forward"), "forward")
+    forward = written(min_label_run(graph).state.withColumnRenamed("label", "min_forward"), "forward")
     roots = Graph(forward, graph.edges).reversed()
     backward = min_label_run(roots, seeds=F.col("min_forward") == F.col("id")).state
     label = F.coalesce("label", F.lit(-1)).cast("bigint").alias("min_backward")
@@ -66,7 +66,7 @@ def decompose(graph: Graph, labels: DataFrame, small: int = SMALL, next_color: i
     found (both equal); -1: a rest of at most `small` vertices; 0: to be split further. largest is
     the size of the greatest group that is no SCC.
     """
-    colors = materialize(global_rank(_groups(labels), ["min_forward", "min_backward"], "color"), "colors")
+    colors = written(global_rank(_groups(labels), ["min_forward", "min_backward"], "color"), "colors")
     same = F.col("min_forward") == F.col("min_backward")
     facts = colors.agg(F.count("*"), F.max(F.when(~same, F.col("n")))).first()
     tag = F.when(same, 1).when(F.col("n") <= small, -1).otherwise(0)
@@ -85,33 +85,33 @@ def strong_components(graph: Graph, rounds: int | None = None, small: int = SMAL
     of at most `small` vertices that are no SCC are left open as they come up, and what is then
     unsettled, too; both get null.
     """
-    vertices = materialize(graph.vertices.select("id"), "scc")
-    live = materialize(graph.edges.select("src", "dst").where("src <> dst").distinct(), "scc")
+    vertices = written(graph.vertices.select("id"), "scc")
+    live = written(graph.edges.select("src", "dst").where("src <> dst").distinct(), "scc")
     done, k = [], 0
     while rounds is None or k < rounds:
         k += 1
         if k > max_rounds:
             raise NotConverged(f"vertices without a component after {max_rounds} rounds")
-        trimmed = materialize(trim(Graph(vertices, live)), "scc")
+        trimmed = written(trim(Graph(vertices, live)), "scc")
         done.append(trimmed.where("trimmed").select("id", F.col("id").alias("component")))
-        vertices = materialize(trimmed.where(~F.col("trimmed")).select("id"), "scc")
+        vertices = written(trimmed.where(~F.col("trimmed")).select("id"), "scc")
         if vertices.isEmpty():
             break
         inside = live.join(vertices.select(F.col("id").alias("src")), "src", "left_semi")
-        inside = materialize(inside.join(vertices.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"), "scc")
-        labels = materialize(min_labels(Graph(vertices, inside)), "scc")
+        inside = written(inside.join(vertices.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"), "scc")
+        labels = written(min_labels(Graph(vertices, inside)), "scc")
         equal = F.col("min_forward") == F.col("min_backward")
         done.append(labels.where(equal).select("id", F.col("min_forward").alias("component")))
         rest = labels.where(~equal)
         if rounds is not None:
-            rest = materialize(rest.join(_groups(rest), ["min_forward", "min_backward"]), "scc")
+            rest = written(rest.join(_groups(rest), ["min_forward", "min_backward"]), "scc")
             done.append(rest.where(F.col("n") <= small).select("id", F.lit(None).cast("bigint").alias("component")))
             rest = rest.where(F.col("n") > small)
-        vertices = materialize(rest.select("id"), "scc")
+        vertices = written(rest.select("id"), "scc")
         pair = F.struct("min_forward", "min_backward")
         a = rest.select(F.col("id").alias("src"), pair.alias("ps"))
         b = rest.select(F.col("id").alias("dst"), pair.alias("pd"))
-        cut = materialize(inside.join(a, "src").join(b, "dst").where("ps = pd").select("src", "dst"), "scc")
+        cut = written(inside.join(a, "src").join(b, "dst").where("ps = pd").select("src", "dst"), "scc")
         discard(live)
         discard(inside)
         live = cut

@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.storage import materialize
+from weftgraph.storage import written
 
 
 def ranged(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
     """df sorted by keys, with the number of its range partition in __part, written once so that it stays."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()), "sort")
+    return written(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()), "sort")
 
 
 def sort_global(df: DataFrame, keys: list[str]) -> DataFrame:
