@@ -23,7 +23,9 @@ def sales_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     order = lambda key: (F.lit(ORDER) + F.col(key)).alias
     line = F.lit(LINE) + F.col("l_orderkey") * 8 + F.col("l_linenumber")
     edges = orders.select(F.col("o_custkey").alias("src"), order("o_orderkey")("dst"))
-    edges = edges.union(lines.select(order("l_orderkey")("src"), line.alias("dst"))).distinct()
+    edges = edges.union(lines.select(order("l_orderkey")("src"), line.alias("dst")))
+    # hardly a row repeats: dealt first, no scan's task holds all of its rows, which grow with the files
+    edges = edges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src", "dst").distinct()
     customers = _read(spark, sf_dir, "customer", "c_custkey").select(F.col("c_custkey").alias("id"))
     return edges, customers
 
